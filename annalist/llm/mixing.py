@@ -10,6 +10,7 @@ stored or shuffled while fitting, and every step is one aggregation.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,22 +28,28 @@ STEPS, STEP_SIZE = 25, 0.8
 MAX_RATE = 4.0
 SMOOTHING = 0.5
 _WORDS = re.compile(WORD)
-_STRIP = ".,;:!?\"'()[]"
+_MARKS = ".,;:!?\"'()[]{}#*$%&|<>=+-_~^/\\"
 
 
-def _feature(word: str, known: dict[str, int]) -> int:
-    import zlib
-
-    at = known.get(word)
-    if at is None:
-        if len(known) > 500_000:
+def _features(word: str, known: dict[str, tuple[int, ...]]) -> tuple[int, ...]:
+    """Of a word: itself without marks around it, in lower case; the marks after it; and whether it is in capitals."""
+    out = known.get(word)
+    if out is None:
+        if len(known) > 400_000:
             known.clear()
-        at = known[word] = zlib.crc32(word.strip(_STRIP).encode("utf-8", "surrogatepass")) % FEATURES
-    return at
+        low = ascii_lower_text(word)
+        bare = low.strip(_MARKS)
+        parts = [bare, "\x00" + low[len(low.rstrip(_MARKS)) :]]
+        if len(word) > 1 and word.isupper():
+            parts.append("\x00capitals")
+        out = known[word] = tuple({zlib.crc32(p.encode("utf-8", "surrogatepass")) % FEATURES for p in parts})
+    return out
 
 
-def words_of(text: str | None, known: dict[str, int]) -> np.ndarray:
-    return np.array([_feature(w, known) for w in _WORDS.findall(ascii_lower_text(text))] if text else [], dtype=np.int64)
+def features_of(text: str | None, known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, int]:
+    """The different features of a text and its number of words."""
+    words = _WORDS.findall(text) if text else []
+    return np.array(sorted({f for w in set(words) for f in _features(w, known)}), dtype=np.int64), len(words)
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -61,10 +68,10 @@ def learn(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def count(parts: Iterator[dict]) -> Iterator[dict]:
         totals = np.zeros((len(DOMAINS), FEATURES + 1), dtype=np.int64)
-        known: dict[str, int] = {}
+        known: dict[str, tuple[int, ...]] = {}
         for part in parts:
             for text, domain in zip(part["text"], part["domain"], strict=True):
-                totals[domain, np.unique(words_of(text, known))] += 1
+                totals[domain, features_of(text, known)[0]] += 1
                 totals[domain, FEATURES] += 1
         d, f = np.nonzero(totals)
         yield {"domain": d.tolist(), "feature": f.tolist(), "n": totals[d, f].tolist()}
@@ -96,13 +103,13 @@ def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFra
 
     def run(part: dict) -> dict:
         base, of = shared.value
-        known: dict[str, int] = _KNOWN
+        known = _KNOWN
         out: dict[str, list] = {"doc_id": part["doc_id"], "n_tokens": [], "p": []}
         for text in part["text"]:
-            words = words_of(text, known)
-            score = base + of[:, np.unique(words)].sum(axis=1)
+            features, n = features_of(text, known)
+            score = base + of[:, features].sum(axis=1)
             e = np.exp(score - score.max())
-            out["n_tokens"].append(len(words))
+            out["n_tokens"].append(n)
             out["p"].append((e / e.sum()).astype(float).tolist())
         return out
 
@@ -110,7 +117,7 @@ def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFra
     return map_arrow(rows, run, "doc_id long, n_tokens long, p array<double>")
 
 
-_KNOWN: dict[str, int] = {}
+_KNOWN: dict[str, tuple[int, ...]] = {}
 
 
 def _rate(history: list[list[float]]):

@@ -42,9 +42,9 @@ def quality_sql() -> str:
     windows AS (SELECT k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3)),
     again AS (SELECT k, i FROM windows QUALIFY count(*) OVER (PARTITION BY k, s) > 1),
     repeated AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY k),
-    m AS (SELECT t.k, doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS word_chars,
+    m AS (SELECT t.k, doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
-        len(list_filter(w, x -> length(x) > 1 AND upper(x) = x AND lower(x) <> x)) AS n_upper, len(regexp_extract_all(text, '!')) AS n_bang, len(list_filter(w, x -> x = '|')) AS n_pipe
+        len(list_filter(w, lambda x: length(x) > 1 AND upper(x) = x AND lower(x) <> x)) AS n_upper, len(regexp_extract_all(text, '!')) AS n_bang, len(list_filter(w, lambda x: x = '|')) AS n_pipe
         FROM t LEFT JOIN line_counts USING (k) LEFT JOIN repeated USING (k)),
     r AS (SELECT *, {rate_columns}, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed FROM m),
     long AS (SELECT lang, source, metric, bin FROM (UNPIVOT (SELECT lang, source, {", ".join(rates)} FROM r) ON {", ".join(rates)} INTO NAME metric VALUE bin)),
@@ -67,7 +67,7 @@ def jaccard_sql(words: int = 3, percent: int = 90) -> str:
     return rf"""
     WITH RECURSIVE t AS (SELECT doc_id, {_WORDS.format(lowered)} AS w FROM documents),
     s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
-        ELSE list_transform(range(1, len(w) - {words - 2}), i -> {run}) END) AS sh FROM t),
+        ELSE list_transform(range(1, len(w) - {words - 2}), lambda i: {run}) END) AS sh FROM t),
     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
     p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (sh) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
     e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= {percent} * (x.n + y.n - i)),

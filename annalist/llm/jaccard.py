@@ -5,9 +5,10 @@ document), columns are shingles. Only columns that can decide are multiplied: of
 widespread shingles last, the first n - ceil(t n) + 1; two rows linked at threshold t share one of them, and their sizes
 lie within t of each other. The product's overlaps of the pairs left are accumulated exactly and compared.
 
-The product runs in two steps that keep large groups of near copies from being multiplied out. First each column pairs
-its rows with its smallest row alone; links found so make components. Then only pairs across components are multiplied;
-pairs within one can add nothing. No link between different sets is lost to the result, which is the components.
+Overlaps are bounded first by sizes, then by counts of either set's hashes in fixed ranges (the sum of minima); the
+pairs left are computed exactly. The product runs in two steps that keep large groups of near copies from being multiplied out. First each column pairs
+its rows with its smallest row alone; links found so make components. Then only pairs across components are multiplied, block by block of a column's rows, and
+only pairs that pass the bounds leave a block; pairs within a component can add nothing. No link between different sets is lost to the result, which is the components.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ _SLOT_BLOCKS = 32
 PARTIALS = 512
 #: Most rows whose ids are broadcast to pick the sets that a product needs; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 300_000
+#: Ranges of hashes that a set is counted in; rows of a column that one task multiplies with as many others.
+_PART_BITS = 7
+PARTS = 1 << _PART_BITS
+BLOCK = 512
 _CACHE = 400_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _HASHES: dict[str, int] = {}
@@ -108,12 +113,15 @@ def _least(n: int, percent: int) -> int:
 
 
 def row_heads(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), key (of the whole set) and head (the columns that decide) of each document."""
+    """doc_id, n (set size), key (of the whole set), head (the columns that decide) and parts of each document.
+
+    parts: how many of the set's hashes lie in each of PARTS ranges, two bytes each; sums of minima bound overlaps.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(part: dict) -> dict:
         of = shared.value
-        out: dict[str, list] = {"doc_id": part["doc_id"], "n": [], "key": [], "head": []}
+        out: dict[str, list] = {"doc_id": part["doc_id"], "n": [], "key": [], "head": [], "parts": []}
         for text in part["text"]:
             s = shingles(text, words)
             n = len(s)
@@ -121,9 +129,11 @@ def row_heads(docs: DataFrame, levels: np.ndarray, words: int, percent: int) ->
             out["n"].append(n)
             out["key"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             out["head"].append(head.view(np.int64).tolist())
+            ranges = np.bincount((s >> np.uint64(64 - _PART_BITS)).astype(np.int64), minlength=PARTS)
+            out["parts"].append(np.minimum(ranges, 0xFFFF).astype("<u2").tobytes())
         return out
 
-    return map_arrow(_rows(docs), run, "doc_id long, n long, key binary, head array<long>")
+    return map_arrow(_rows(docs), run, "doc_id long, n long, key binary, head array<long>, parts binary")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -164,6 +174,44 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def blocked_product(columns: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """a < b: pairs of rows that share a column, lie in different components and pass the bounds.
+
+    columns: h, node, n, comp. A column's rows are dealt into blocks of about BLOCK; a task takes two blocks (or one with
+    itself), so no task holds more than 2 * BLOCK rows however long the column, and no pair is emitted that a bound rules
+    out. sizes: doc_id, n, parts.
+    """
+    blocks = columns.groupBy("h").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("k"))
+    parts = sizes.join(columns.select("node", "n").distinct(), (F.col("doc_id") == F.col("node")) & (sizes["n"] == columns["n"]), "left_semi").dropDuplicates(["doc_id", "n", "parts"]).select(F.col("doc_id").alias("node"), "n", "parts")
+    dealt = columns.join(blocks, "h").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "comp", "own")
+    grouped = met.join(parts, ["node", "n"]).groupBy("h", "i", "j").agg(F.collect_list(F.struct("node", "n", "comp", "own", "parts")).alias("m"))
+
+    def multiply(part: dict) -> dict:
+        a, b = [], []
+        for i, j, m in zip(part["i"], part["j"], part["m"], strict=True):
+            node = np.array([r["node"] for r in m])
+            n = np.array([r["n"] for r in m])
+            comp = np.array([r["comp"] for r in m])
+            own = np.array([r["own"] for r in m])
+            counts = np.frombuffer(b"".join(r["parts"] for r in m), dtype="<u2").reshape(len(m), PARTS).astype(np.int32)
+            full = (counts == 0xFFFF).any(axis=1)
+            for x in range(len(m)):
+                may = (node[x] < node) & (comp[x] != comp) & (100 * np.minimum(n[x], n) >= percent * np.maximum(n[x], n))
+                if i != j:
+                    may &= own != own[x]
+                at = np.flatnonzero(may)
+                if len(at):
+                    most = np.minimum(counts[x], counts[at]).sum(axis=1)
+                    most = np.where(full[at] | full[x], np.minimum(n[x], n[at]), most)
+                    at = at[100 * most >= percent * (n[x] + n[at] - most)]
+                    a += [int(node[x])] * len(at)
+                    b += node[at].tolist()
+        return {"a": a, "b": b}
+
+    return map_arrow(grouped, multiply, "a long, b long", None).distinct()
+
+
 def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text).
 
@@ -186,10 +234,7 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     placed = settle(lists.join(labels, "node", "left").select("h", "node", "n", F.coalesce("comp", "node").alias("comp")), "placed")
     mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h")
     open_ = settle(placed.join(mixed, "h"), "open")
-    left, right = open_.alias("l"), open_.alias("r")
-    sized = (F.lit(100) * F.least("l.n", "r.n")) >= (percent * F.greatest("l.n", "r.n"))
-    across = left.join(right, (F.col("l.h") == F.col("r.h")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")) & sized)
-    pairs = across.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    pairs = blocked_product(open_, heads.select("doc_id", "n", "parts"), percent)
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = settle(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():

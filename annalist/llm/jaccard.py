@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from annalist.llm.common import WORD, ascii_lower_text, fold_arrow, map_arrow, settle, small_enough_to_broadcast, table
+from annalist.llm.common import fold_arrow, map_arrow, settle, small_enough_to_broadcast, table
 
 #: Slots of the table that tells widespread shingles from others. It orders columns only; links don't depend on it.
 SLOTS = 1 << 21
@@ -37,26 +37,20 @@ PARTS = 1 << _PART_BITS
 BLOCK = 512
 _CACHE = 400_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
-_HASHES: dict[str, int] = {}
+_HASHES: dict[bytes, int] = {}
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the words of a text, A-Z lower-cased."""
-    import re
-
+    """64-bit hashes of the words of a text, A-Z lower-cased; bytes lower-case and split by ASCII alone."""
     import xxhash
 
-    words = re.findall(WORD, ascii_lower_text(text))
+    words = text.encode("utf-8", "surrogatepass").lower().split()
     known = _HASHES
     if len(known) > _CACHE:
         known.clear()
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:

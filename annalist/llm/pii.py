@@ -94,8 +94,10 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
             first = last + 1 - len(form)
             if (not first or not text[first - 1].isalnum()) and (m := _ACCOUNT.match(text, last + 1)):
                 number = m.group(1)
-                if number[0].isdecimal() or iban_valid(number):
-                    found["account"].append(m.span(1))
+                if not number[0].isdecimal():  # the longest start of it that validates
+                    number = next((number[:n] for n in range(len(number), 14, -1) if number[n - 1] != " " and iban_valid(number[:n])), "")
+                if number:
+                    found["account"].append((m.start(1), m.start(1) + len(number)))
         elif m := _USERINFO.match(text, last + 1):
             found["url"].append((last + 1 - len(form), m.end()))
     for m in _IP.finditer(text):

@@ -173,17 +173,19 @@ def blocked_product(columns: DataFrame, sizes: DataFrame, percent: int) -> DataF
 
     columns: h, node, n, comp. A column's rows are dealt into blocks of about BLOCK; a task takes two blocks (or one with
     itself), so no task holds more than 2 * BLOCK rows however long the column, and no pair is emitted that a bound rules
-    out. sizes: doc_id, n, parts.
+    out. A pair is emitted by the smallest of the columns it shares alone. sizes: doc_id, n, parts.
     """
     blocks = columns.groupBy("h").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("k"))
     parts = sizes.join(columns.select("node", "n").distinct(), (F.col("doc_id") == F.col("node")) & (sizes["n"] == columns["n"]), "left_semi").dropDuplicates(["doc_id", "n", "parts"]).select(F.col("doc_id").alias("node"), "n", "parts")
     dealt = columns.join(blocks, "h").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "comp", "own")
-    grouped = met.join(parts, ["node", "n"]).groupBy("h", "i", "j").agg(F.collect_list(F.struct("node", "n", "comp", "own", "parts")).alias("m"))
+    shared = columns.groupBy("node").agg(F.collect_set("h").alias("hs"))  # at most the head of a row or two
+    grouped = met.join(parts.join(shared, "node"), ["node", "n"]).groupBy("h", "i", "j").agg(F.collect_list(F.struct("node", "n", "comp", "own", "parts", "hs")).alias("m"))
 
     def multiply(part: dict) -> dict:
         a, b = [], []
-        for i, j, m in zip(part["i"], part["j"], part["m"], strict=True):
+        for h, i, j, m in zip(part["h"], part["i"], part["j"], part["m"], strict=True):
+            smaller = [frozenset(v for v in r["hs"] if v < h) for r in m]
             node = np.array([r["node"] for r in m])
             n = np.array([r["n"] for r in m])
             comp = np.array([r["comp"] for r in m])
@@ -199,6 +201,7 @@ def blocked_product(columns: DataFrame, sizes: DataFrame, percent: int) -> DataF
                     most = np.minimum(counts[x], counts[at]).sum(axis=1)
                     most = np.where(full[at] | full[x], np.minimum(n[x], n[at]), most)
                     at = at[100 * most >= percent * (n[x] + n[at] - most)]
+                    at = np.array([k for k in at.tolist() if smaller[x].isdisjoint(smaller[k])], dtype=np.int64)
                     a += [int(node[x])] * len(at)
                     b += node[at].tolist()
         return {"a": a, "b": b}

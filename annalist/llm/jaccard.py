@@ -8,7 +8,7 @@ lie within t of each other. The product's overlaps of the pairs left are accumul
 Overlaps are bounded first by sizes, then by counts of either set's hashes in fixed ranges (the sum of minima); the
 pairs left are computed exactly. The product runs in two steps that keep large groups of near copies from being multiplied out. First each column pairs
 its rows with its smallest row alone; links found so make components. Then only pairs across components are multiplied, block by block of a column's rows, and
-only pairs that pass the bounds leave a block; pairs within a component can add nothing. No link between different sets is lost to the result, which is the components.
+only pairs that pass the bounds leave a block, each row's best one before all others; pairs within a component can add nothing. No link between different sets is lost to the result, which is the components.
 """
 
 from __future__ import annotations
@@ -168,12 +168,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def blocked_product(columns: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+def blocked_product(columns: DataFrame, sizes: DataFrame, percent: int, best: bool = False) -> DataFrame:
     """a < b: pairs of rows that share a column, lie in different components and pass the bounds.
 
     columns: h, node, n, comp. A column's rows are dealt into blocks of about BLOCK; a task takes two blocks (or one with
     itself), so no task holds more than 2 * BLOCK rows however long the column, and no pair is emitted that a bound rules
     out. A pair is emitted by the smallest of the columns it shares alone. sizes: doc_id, n, parts.
+    best: of each row's pairs in a block only the one with the largest bound, to join components before all are tried.
     """
     blocks = columns.groupBy("h").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("k"))
     parts = sizes.join(columns.select("node", "n").distinct(), (F.col("doc_id") == F.col("node")) & (sizes["n"] == columns["n"]), "left_semi").dropDuplicates(["doc_id", "n", "parts"]).select(F.col("doc_id").alias("node"), "n", "parts")
@@ -201,7 +202,10 @@ def blocked_product(columns: DataFrame, sizes: DataFrame, percent: int) -> DataF
                     most = np.minimum(counts[x], counts[at]).sum(axis=1)
                     most = np.where(full[at] | full[x], np.minimum(n[x], n[at]), most)
                     at = at[100 * most >= percent * (n[x] + n[at] - most)]
-                    at = np.array([k for k in at.tolist() if smaller[x].isdisjoint(smaller[k])], dtype=np.int64)
+                    if best and len(at):
+                        most = np.minimum(counts[x], counts[at]).sum(axis=1)
+                        at = at[[int((most / (n[x] + n[at])).argmax())]]
+                    at = np.array([k for k in at.tolist() if best or smaller[x].isdisjoint(smaller[k])], dtype=np.int64)
                     a += [int(node[x])] * len(at)
                     b += node[at].tolist()
         return {"a": a, "b": b}
@@ -228,16 +232,21 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     star = settle(lists.where((F.col("node") != F.col("pivot")) & (F.lit(100) * F.col("pivot_n") >= percent * F.col("n"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "star")
     links = _links(docs, star, words, percent)
     labels = components(links)
-    placed = settle(lists.join(labels, "node", "left").select("h", "node", "n", F.coalesce("comp", "node").alias("comp")), "placed")
-    mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h")
-    open_ = settle(placed.join(mixed, "h"), "open")
-    pairs = blocked_product(open_, heads.select("doc_id", "n", "parts"), percent)
+    sizes = heads.select("doc_id", "n", "parts")
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = settle(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
+    # each row's best pair first: what it links needs no other pair; then every pair left across components
+    for best in (True, False):
+        placed = settle(lists.join(labels, "node", "left").select("h", "node", "n", F.coalesce("comp", "node").alias("comp")), "placed")
+        mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h")
+        open_ = settle(placed.join(mixed, "h"), "open")
+        rest = settle(blocked_product(open_, sizes, percent, best).join(tried, ["a", "b"], "left_anti"), "rest")
+        if rest.isEmpty():
+            continue
+        tried = tried.union(rest)
         more = _links(docs, rest, words, percent)
         if not more.isEmpty():
-            labels = components(links.union(more))
+            links = links.union(more)
+            labels = components(links)
     ids = heads.select("doc_id", "n", "key").join(classes, "key", "left").join(labels, "node", "left")
     return ids.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "node", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -1,7 +1,7 @@
 """Mixing documents to target domain weights with soft membership.
 
-A classifier learned from the labelled table (Bernoulli naive Bayes over the hashed words that tell domains apart) predicts
-each document's posterior over domains. Nonnegative rates of the documents are then fitted by projected gradient so
+A classifier learned from the labelled table (softmax regression over the presence of those hashed words and shapes that
+tell domains apart) predicts each document's posterior over domains. Nonnegative rates of the documents are then fitted by projected gradient so
 that the expected tokens of each domain meet their targets, staying near the prior rate of 1. A rate after k steps
 depends on the document's posterior and the k residual vectors alone, so only those small vectors travel: no rate is
 stored or shuffled while fitting, and every step is one aggregation.
@@ -26,7 +26,6 @@ TARGET_SHARES = {"good": 1.0, "low": 0.5, "toxic": 0.0}
 FEATURES = 1 << 18
 STEPS, STEP_SIZE = 25, 0.8
 MAX_RATE = 4.0
-SMOOTHING = 0.5
 _WORDS = re.compile(WORD)
 _MARKS = ".,;:!?\"'()[]{}#*$%&|<>=+-_~^/\\"
 
@@ -46,10 +45,31 @@ def _features(word: str, known: dict[str, tuple[int, ...]]) -> tuple[int, ...]:
     return out
 
 
+def _shapes(text: str, words: list[str], different: set[str]) -> list[str]:
+    """What a text looks like, each rate as the number of cuts that it passes."""
+    n = max(len(words), 1)
+    rates = {
+        "symbols": sum(map(text.count, "#*$%&<>")) / n,
+        "bars": text.count("|") / n,
+        "bangs": text.count("!") / n,
+        "capitals": sum(len(w) > 1 and w.isupper() for w in different) / max(len(different), 1),
+        "lengths": len(text) / n / 20,
+    }
+    out = [f"\x01{name} {sum(rate > cut for cut in _CUTS)}" for name, rate in rates.items()]
+    # the share of different words falls with the length by itself
+    return [*out, f"\x01different {min(len(words).bit_length(), 12)} {int(20 * len(different) / n)}", f"\x01words {min(len(words).bit_length(), 12)}"]
+
+
+_CUTS = (0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.6, 1.0, 2.0)
+
+
 def features_of(text: str | None, known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, int]:
-    """The different features of a text and its number of words."""
+    """The different features of a text, words and shapes, and its number of words."""
     words = _WORDS.findall(text) if text else []
-    return np.array(sorted({f for w in set(words) for f in _features(w, known)}), dtype=np.int64), len(words)
+    different = set(words)
+    found = {f for w in different for f in _features(w, known)}
+    found.update(zlib.crc32(p.encode()) % FEATURES for p in _shapes(text or "", words, different))
+    return np.array(sorted(found), dtype=np.int64), len(words)
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -60,7 +80,9 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def learn(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Base score of each domain and what a present feature adds [domain, feature], from all labelled rows.
+    """Base score of each domain and what a present feature adds [domain, feature].
+
+    All labelled rows say which TELLING features tell domains apart most; the regression is fitted on at most SAMPLE of them.
 
     Partitions add up dense counts and send the nonzero ones, merged by Spark; what reaches the driver is bounded by
     the number of features, and a feature of one document alone says nothing and is left out of the model.
@@ -81,17 +103,52 @@ def learn(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     for part in counts.where("n > 1 or feature = %d" % FEATURES).toPandas().itertuples():
         totals[part.domain, part.feature] = part.n
     docs = totals[:, FEATURES]
-    prior = np.log((docs + 1) / (docs.sum() + len(DOMAINS)))
     held = totals[:, :FEATURES]
     every = held.sum(axis=0)
     expected = every[None, :] * docs[:, None] / max(docs.sum(), 1)
-    telling = ((np.abs(held - expected) / np.sqrt(expected + 1)).max(axis=0) > SIGNIFICANT) & (every >= MIN_DOCS)
-    share = np.clip((held + SMOOTHING) / (docs[:, None] + 2 * SMOOTHING), 1e-6, 1 - 1e-6)
-    present = np.where(telling, np.log(share), 0.0)
-    absent = np.where(telling, np.log(1 - share), 0.0)
-    return prior + absent.sum(axis=1), present - absent
-
-
+    power = (np.abs(held - expected) / np.sqrt(expected + 1)).max(axis=0) * (every >= MIN_DOCS)
+    telling = np.argsort(-power, kind="stable")[:TELLING]
+    telling = np.sort(telling[power[telling] > SIGNIFICANT])
+    weights = np.zeros((len(DOMAINS), FEATURES))
+    base = np.log((docs + 1) / (docs.sum() + len(DOMAINS)))
+    if not len(telling):
+        return base, weights
+    place = {int(f): i for i, f in enumerate(telling)}
+
+    def present(parts: Iterator[dict]) -> Iterator[dict]:
+        known: dict[str, tuple[int, ...]] = {}
+        for part in parts:
+            yield {"domain": part["domain"], "at": [[place[f] for f in features_of(t, known)[0].tolist() if f in place] for t in part["text"]]}
+
+    order = F.xxhash64("doc_id", F.lit("sample"))
+    chosen = rows.select("doc_id", "domain", "text").orderBy(order, "doc_id").limit(SAMPLE) if docs.sum() > SAMPLE else rows
+    sample = fold_arrow(chosen.select("domain", "text"), present, "domain int, at array<int>").collect()
+    x = np.zeros((len(sample), len(telling)), dtype=np.float32)
+    y = np.zeros((len(sample), len(DOMAINS)), dtype=np.float32)
+    for i, r in enumerate(sample):
+        x[i, r["at"]] = 1.0
+        y[i, r["domain"]] = 1.0
+    base, weights[:, telling] = softmax_fit(x, y, base)
+    return base, weights
+
+
+def softmax_fit(x: np.ndarray, y: np.ndarray, base: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Ridge softmax regression of y (one-hot) on x by gradient steps with momentum, scaled to each weight."""
+    w = np.concatenate([base[:, None], np.zeros((y.shape[1], x.shape[1]))], axis=1)
+    x = np.concatenate([np.ones((len(x), 1), dtype=np.float32), x], axis=1)
+    first, second = np.zeros_like(w), np.zeros_like(w)
+    for k in range(1, rounds + 1):
+        z = x @ w.T.astype(np.float32)
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        g = ((e / e.sum(axis=1, keepdims=True) - y).T @ x) / len(x)
+        g[:, 1:] += RIDGE * w[:, 1:]
+        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+        w -= 0.05 * (1 - k / rounds) * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
+    return w[:, 0], w[:, 1:]
+
+
+#: Features weighed, labelled rows that the regression is fitted on at most, and its ridge.
+TELLING, SAMPLE, RIDGE = 1000, 20_000, 1e-3
 #: A feature in fewer labelled documents, or spread over the domains within so many deviations of even, isn't weighed.
 MIN_DOCS, SIGNIFICANT = 5, 6.0
 

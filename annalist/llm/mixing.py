@@ -82,7 +82,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def learn(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Base score of each domain and what a present feature adds [domain, feature].
 
-    All labelled rows say which TELLING features tell domains apart most; the regression is fitted on at most SAMPLE of them.
+    All labelled rows say which TELLING features tell domains apart most; the regression is fitted on all, or a hashed share of about SAMPLE rows.
 
     Partitions add up dense counts and send the nonzero ones, merged by Spark; what reaches the driver is bounded by
     the number of features, and a feature of one document alone says nothing and is left out of the model.
@@ -120,8 +120,8 @@ def learn(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for part in parts:
             yield {"domain": part["domain"], "at": [[place[f] for f in features_of(t, known)[0].tolist() if f in place] for t in part["text"]]}
 
-    order = F.xxhash64("doc_id", F.lit("sample"))
-    chosen = rows.select("doc_id", "domain", "text").orderBy(order, "doc_id").limit(SAMPLE) if docs.sum() > SAMPLE else rows
+    # by a hash of the id, each task choosing from its own rows
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / docs.sum())) if docs.sum() > SAMPLE else rows
     sample = fold_arrow(chosen.select("domain", "text"), present, "domain int, at array<int>").collect()
     x = np.zeros((len(sample), len(telling)), dtype=np.float32)
     y = np.zeros((len(sample), len(DOMAINS)), dtype=np.float32)
@@ -147,7 +147,7 @@ def softmax_fit(x: np.ndarray, y: np.ndarray, base: np.ndarray, rounds: int = 40
     return w[:, 0], w[:, 1:]
 
 
-#: Features weighed, labelled rows that the regression is fitted on at most, and its ridge.
+#: Features weighed, labelled rows (about, if there are more) that the regression is fitted on, and its ridge.
 TELLING, SAMPLE, RIDGE = 1000, 20_000, 1e-3
 #: A feature in fewer labelled documents, or spread over the domains within so many deviations of even, isn't weighed.
 MIN_DOCS, SIGNIFICANT = 5, 6.0

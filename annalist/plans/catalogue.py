@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from annalist.functions import derivation as dv
 from annalist.functions import ranking, text
 from annalist.functions.text import rounded
 from annalist.operators import archive as ops
+from annalist.operators import derive
 from annalist.sources.archive import editorial_states, messages, table, telemetry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -457,3 +459,28 @@ def scene_nodes(spark, d):
 @query(f"WITH {_EDGES} SELECT 'supplier:' || src AS source, 'part:' || dst AS target, support FROM e")
 def scene_edges(spark, d):
     return _edges(spark, d).select(F.concat(F.lit("supplier:"), "src").alias("source"), F.concat(F.lit("part:"), "dst").alias("target"), "support")
+
+
+@query("")
+def derive_entities_text(spark, d):
+    found = derive.derive_entities(messages(spark, d))
+    return found.select("conv_id", "turn", F.posexplode("entities").alias("place", "name"))
+
+
+@query("")
+def derive_relations_text(spark, d):
+    return derive.derive_relations(derive.derive_entities(messages(spark, d))).select("conv_id", "turn", "src", "dst", "type", "confidence")
+
+
+def _words(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+@query(rf"""WITH m AS (SELECT conv_id, turn, coalesce(text, '') AS raw, regexp_replace(trim(regexp_replace(coalesce(text, ''), '{dv.SPACE}', ' ', 'g')), '{dv.FILLER_PATTERN}', '', 'i') AS t FROM conversations),
+ s AS (SELECT conv_id, turn, regexp_extract(t, '{dv.COPULA_PATTERN}', ['subject', 'predicate', 'object'], 'i') AS c FROM m
+  WHERE NOT contains(raw, '?') AND NOT ({" OR ".join(f"starts_with(lower(t), '{r}')" for r in dv.REQUESTS)}) AND regexp_extract(lower(t), '[a-z0-9_'']+') NOT IN ({_words(dv.QUESTION_STARTERS)})),
+ p AS (SELECT conv_id, turn, trim(c.subject) AS subject, lower(c.predicate) AS predicate, regexp_replace(trim(c.object), '\.+$', '') AS object FROM s WHERE c.predicate <> '')
+ SELECT conv_id, turn, subject, predicate, object, subject || ' ' || predicate || ' ' || object AS canonical FROM p
+ WHERE lower(subject) NOT IN ({_words((*dv.QUESTION_STARTERS, *dv.OTHER_GENERIC_SUBJECTS))}) AND NOT (lower(subject) IN ({_words(dv.PRONOUNS)}) AND regexp_matches(lower(object), '{dv.SPEECH_PATTERN}')) AND length(object) <= {dv.LONGEST_OBJECT}""")
+def derive_claims_text(spark, d):
+    return derive.derive_claims(messages(spark, d).withColumn("confidence", F.lit(1.0))).select("conv_id", "turn", "subject", "predicate", "object", "canonical")

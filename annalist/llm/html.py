@@ -3,7 +3,7 @@
 Markup is stripped into lines, one for each block of the page; lines inside navigation, headers, footers, side bars,
 notices, adverts, forms, scripts, styles and comment sections, and lines that are mostly links, count as length zero.
 Text lengths are summed over sliding windows of lines; where the sum surges an article begins, where it dives to zero
-it ends, and the text between is kept. A page's own <article> or <main>, if any, bounds the search.
+it ends, and the text between is kept. Lines in a page's own <article> or <main>, if any, weigh once more.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from annalist.llm.common import map_arrow, table
 
-#: Lines of a window; least characters of a window for a surge outside an <article>; share of the page's largest window.
-WINDOW, SURGE_CHARS, SURGE_SHARE = 3, 80, 0.2
+#: Lines of a window; weighted characters of a window that are a surge, whatever larger windows the page has.
+WINDOW, SURGE_CHARS = 3, 80
 LINK_SHARE = 0.6
 
 _BLOCKS = frozenset(
@@ -149,34 +149,21 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
 
 
 def main_text(page: str) -> str:
-    """Blocks between the surge and the dive of the line-block distribution, one a line; empty without any."""
-    lines = lines_of(page)
-    bounded = any(inside and not bad for _, bad, inside, _ in lines)
-    kept = []
-    for text, bad, inside, linked in lines:
-        use = not bad and (inside if bounded else linked < LINK_SHARE * len(text))
-        kept.append(len(text) if use else 0)
-    n = len(kept)
-    sums, total = [], sum(kept[:WINDOW])
-    for i in range(n):
-        sums.append(total)
-        total += (kept[i + WINDOW] if i + WINDOW < n else 0) - kept[i]
-    peak = max(sums, default=0)
-    if not peak:
-        return ""
-    least = 1 if bounded else max(min(SURGE_CHARS, peak), SURGE_SHARE * peak)
+    """Blocks between the surges and the dives of the line-block distribution, one a line; empty without any."""
+    # boilerplate within an article doesn't interrupt it; elsewhere it is a line of length zero
+    lines = [(text, 0 if bad else (inside + (linked < LINK_SHARE * len(text))) * len(text)) for text, bad, inside, linked in lines_of(page) if not (bad and inside)]
+    n = len(lines)
+    sums = [sum(weight for _, weight in lines[i : i + WINDOW]) for i in range(n)]
+    least = min(SURGE_CHARS, max(sums, default=0))
     out: list[str] = []
     i = 0
     while i < n:
-        if not kept[i]:
-            i += 1
-            continue
         j = i
-        while j < n and kept[j]:  # the dive: the first line of length zero
+        while j < n and sums[j]:  # the dive: the first window of length zero
             j += 1
-        if max(sums[k] if k + WINDOW <= j else sum(kept[k:j]) for k in range(i, j)) >= least:
-            out += [lines[k][0] for k in range(i, j)]
-        i = j
+        if j > i and max(sums[i:j]) >= least:
+            out += [text for text, weight in lines[i:j] if weight]
+        i = j + 1
     return "\n".join(out)
 
 

@@ -121,6 +121,19 @@ def test_html(spark):
         assert html.main_text(r["html"]) == "\n".join(entities.unescape(b) for b in blocks if b)
 
 
+def test_html_by_line_blocks():
+    body = [f"Paragraph {i} of a body that sits in a plain division and is long enough." for i in range(5)]
+    teasers = "".join(f"<article><h2><a href=x>Teaser {i}</a></h2></article>" for i in range(2))
+    paragraphs = "".join(f"<p>{b}" for b in body)
+    far = "<ul>" + "<li><a href=a>Elsewhere</a>" * 6 + "</ul>"
+    got = html.main_text(f"<body><div>{paragraphs}</div>{far}<div><article><h2>More</h2></article></div>{far}{teasers}").split("\n")
+    assert got == body
+    assert html.main_text(f"<body><div>{paragraphs}<div class=ad>Buy</div><p>Short.<div class=ad>Buy</div><p>{'long ' * 500}</div>") == "\n".join([*body, "Short.", ("long " * 500).strip()])
+    assert html.main_text(f"<body><p>{body[0] * 2}{far}<p>{'long ' * 2000}").startswith(body[0])
+    aside = "<aside>" + "<p>Aside" * 6 + "</aside>"
+    assert html.main_text(f"<article><p>{body[0]}</p>{aside}<p>Last</article>") == body[0] + "\nLast"
+
+
 def test_packing(spark, awkward):
     from tokenizers import Tokenizer
 

@@ -2,8 +2,9 @@
 
 A text is scanned, then every encoded region in it (percent escapes, Unicode and hex escapes, base64, and gzip, zlib or
 bzip2 data inside base64) is unwrapped into a new layer, which is scanned and searched for regions in turn, until no new
-layer appears. A layer whose content was seen before is not taken again, which ends cycles. Each character of a layer
-carries the span of the original text it came from, so finds map back to original offsets.
+layer appears. The finds of a layer are remembered by its content and mapped to every place where it occurs; a layer
+inside itself is not unwrapped again, which ends cycles. Each character of a layer carries the span of the text around it
+that it came from, so finds map back to original offsets.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import re
 import zlib
 
@@ -143,22 +145,50 @@ def _utf8(raw: bytes) -> bool:
     return True
 
 
+def _key(layer: str) -> str | bytes:
+    return layer if len(layer) < 4096 else hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=32).digest()
+
+
+class _Open:
+    """A layer being unwrapped: its key, the layers in it yet to be taken, its finds in its own offsets, and the outermost layer at which a cycle was cut."""
+
+    def __init__(self, layer: str, depth: int):
+        self.layer, self.key, self.depth, self.cut = layer, _key(layer), depth, depth
+        self.inner = iter(_decoded(layer, lambda i: (i, i + 1)))
+        self.found = set(base_spans(layer))
+        self.spans: list[tuple[int, int]] = []  # of the inner layer at work
+
+    def add(self, found: set[tuple[str, int, int]]) -> None:
+        self.found.update((k, self.spans[a][0], self.spans[b - 1][1]) for k, a, b in found)
+
+
 def all_spans(text: str) -> list[tuple[str, int, int]]:
     """Plain finds and those of decoded layers, in original offsets, by start and kind, each once."""
-    found = set(base_spans(text))
-    seen: set[str] = set()
-    work = [(text, None)]
-    while work:
-        layer, spans = work.pop()
-        place = spans.__getitem__ if spans is not None else (lambda i: (i, i + 1))
-        for inner, inner_spans in _decoded(layer, place):
-            if inner == layer:
-                continue
-            found.update((k, inner_spans[a][0], inner_spans[b - 1][1]) for k, a, b in base_spans(inner))
-            if inner not in seen:  # the same content elsewhere counts at its own place, but is not unwrapped again
-                seen.add(inner)
-                work.append((inner, inner_spans))
-    return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+    known: dict[str | bytes, set[tuple[str, int, int]]] = {}  # finds of a layer in its own offsets, for each place it occurs at
+    stack = [_Open(text, 0)]
+    opened = {stack[0].key: 0}
+    while True:
+        top = stack[-1]
+        inner, top.spans = next(top.inner, (None, []))
+        if inner is None:
+            stack.pop()
+            del opened[top.key]
+            if top.cut >= top.depth:  # not cut short by a layer around it
+                known[top.key] = top.found
+            if not stack:
+                return sorted(top.found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+            stack[-1].add(top.found)
+            stack[-1].cut = min(stack[-1].cut, top.cut)
+        elif inner != top.layer:
+            key = _key(inner)
+            if key in known:
+                top.add(known[key])
+            elif key in opened:  # a cycle: its own finds, not unwrapped again
+                top.add(set(base_spans(inner)))
+                top.cut = min(top.cut, opened[key])
+            else:
+                stack.append(_Open(inner, len(stack)))
+                opened[key] = len(stack) - 1
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:

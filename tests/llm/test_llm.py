@@ -91,6 +91,17 @@ def test_secrets(spark, texts):
     assert secrets.redact(None) is None
 
 
+def test_secrets_that_occur_twice():
+    plain = 'api_key = "Zx81kQpLm29sTT"'
+    once = b64encode(plain.encode()).decode()
+    twice = b64encode(once.encode()).decode()
+    for parts in ([twice, twice], [twice, quote(quote(once, safe=""), safe=""), twice], [once, twice, once]):
+        text = "\n".join(f"line {p} end" for p in parts)
+        hits = {a for k, a, _ in secrets.all_spans(text) if k == "assign"}
+        assert hits == {m.start(1) for m in re.finditer("line (.*) end", text)}
+        assert secrets.redact(text).count("[SECRET]") == len(parts) and not any(p in secrets.redact(text) for p in parts)
+
+
 def test_quality_counts():
     assert quality.text_metrics("a b c a b c\nx\nx\n\n") == (8, 8, 0, 1, 6, 3, 0, 0, 0)
     assert quality.text_metrics("")[:6] == (0, 0, 0, 0, 0, 0)

@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is scanned, then every encoded region in it (percent escapes, Unicode and hex escapes, base64, and gzip, zlib or
-bzip2 data inside base64) is unwrapped into a new layer, which is scanned and searched for regions in turn, until no new
+bzip2 data inside base64, wrapped or not) is unwrapped into a new layer, which is scanned and searched for regions in turn, until no new
 layer appears. The finds of a layer are remembered by its content and mapped to every place where it occurs; a layer
 inside itself is not unwrapped again, which ends cycles. Each character of a layer carries the span of the text around it
 that it came from, so finds map back to original offsets.
@@ -15,6 +15,8 @@ import bz2
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from annalist.llm.common import map_arrow, table
 
 KINDS = ("assign", "access", "hex")
-#: A compressed layer larger than this is taken for a decompression bomb and not unwrapped; plain text has no limit.
-MOST_UNPACKED = 1 << 24
+#: A compressed layer of more than twice so many bytes is scanned in pieces that overlap by so many; plain text is scanned whole.
+PIECE = 1 << 24
 
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -34,6 +36,11 @@ _PERCENT = re.compile(r"[A-Za-z0-9._~+/=:&?@!$'()*,;-]*(?:%[0-9A-Fa-f]{2}[A-Za-z
 _ESCAPES = re.compile(r"(?:[\x21-\x5b\x5d-\x7e]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U000[0-9A-Fa-f]{5}|&#[0-9]{2,6};|&#x[0-9A-Fa-f]{2,6};)[\x21-\x5b\x5d-\x7e]*)+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U000([0-9A-Fa-f]{5})|&#([0-9]{2,6});|&#x([0-9A-Fa-f]{2,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{16,}+)*(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)?")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: How base64 of gzip, zlib and bzip2 data begins.
+_PACKED = ("H4s", "eAF", "eAE", "eF4", "eF5", "eJw", "eJx", "eJy", "eJz", "eNo", "eNp", "eNq", "eNr", "Qlpo")
+_UNDECODED = re.compile("[\udc80-\udcff]")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -47,46 +54,101 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _printable(text: str) -> bool:
-    bad = sum(1 for c in text if not c.isprintable() and c not in "\n\r\t")
-    return bool(text) and bad * 20 <= len(text)
-
-
-def _unpack(raw: bytes) -> bytes | None:
-    """The content of gzip, zlib or bzip2 data; None for other data, damaged data or bombs."""
-    try:
+def _unpack(raw: bytes) -> Iterator[bytes]:
+    """The content of gzip, zlib or bzip2 data, member after member, in parts of at most PIECE bytes; up to any damage."""
+    while raw:
         if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and raw[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda")):
-            open_ = zlib.decompressobj(wbits=47)
-            out = open_.decompress(raw, MOST_UNPACKED)
-            return None if open_.unconsumed_tail else out
-        if raw[:3] == b"BZh":
+            pack = zlib.decompressobj(wbits=47)
+        elif raw[:3] == b"BZh":
             pack = bz2.BZ2Decompressor()
-            out = pack.decompress(raw, MOST_UNPACKED)
-            return out if pack.eof else None
-    except (zlib.error, OSError, ValueError):
-        pass
-    return None
-
-
-def _layer_of_bytes(raw: bytes, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]] | None:
-    """UTF-8 text with the source span of each character; spans: one for each byte."""
+        else:
+            return
+        fed = raw
+        try:
+            while not pack.eof:
+                out = pack.decompress(fed, PIECE)
+                fed = getattr(pack, "unconsumed_tail", b"")
+                if out:
+                    yield out
+                elif not fed and not pack.eof:  # it ends before its end
+                    return
+        except (zlib.error, OSError, ValueError):
+            return
+        raw = pack.unused_data
+
+
+def _pieces(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """The parts put together, in pieces of two PIECEs, each beginning with the last PIECE of the one before it."""
+    held, fresh = bytearray(), False
+    for part in parts:
+        held += part
+        fresh = True
+        if len(held) >= 2 * PIECE:
+            yield bytes(held)
+            del held[:-PIECE]
+            fresh = False
+    if fresh:
+        yield bytes(held)
+
+
+class _Whole:
+    """The same span for every character."""
+
+    def __init__(self, span: tuple[int, int]):
+        self.span = span
+
+    def __getitem__(self, i: int) -> tuple[int, int]:
+        return self.span
+
+
+def _layer_of_bytes(raw: bytes, spans: list[tuple[int, int]] | _Whole) -> tuple[str, list[tuple[int, int]] | _Whole]:
+    """UTF-8 text, a replacement for each byte that is none, with the source span of each character; spans: one for each byte."""
+    text = raw.decode("utf-8", "surrogateescape")
+    if not isinstance(spans, _Whole) and len(text) != len(raw):
+        out, at = [], 0
+        for c in text:
+            n = len(c.encode("utf-8", "surrogateescape"))
+            out.append((spans[at][0], spans[at + n - 1][1]))
+            at += n
+        spans = out
+    return _UNDECODED.sub("\ufffd", text), spans
+
+
+def _wrapped(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Lines (start, end) of base64 that is wrapped: lines of one length, the first perhaps cut by what is before it, and a shorter last one."""
+    for block in _WRAPPED.finditer(text):
+        lines = [m.span() for m in _LINE.finditer(text, block.start(), block.end())]
+        sizes = [b - a for a, b in lines]
+        n = len(lines)
+        for k in range(n - 1):
+            if k and sizes[k] == sizes[k - 1] and not text.startswith(_PACKED, lines[k][0]):
+                continue
+            j = k + 1
+            while j < n and sizes[j] == sizes[k + 1] >= sizes[k]:
+                j += 1
+            if j < n and sizes[j] < sizes[j - 1]:
+                j += 1
+            if j > k + 1:
+                yield lines[k:j]
+
+
+def _of_base64(body: str, at, place) -> Iterator[tuple[str, list[tuple[int, int]] | _Whole]]:
+    """Layers of base64 without padding; at[i]: where its character i is in the text."""
     try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if len(text) == len(raw):
-        return text, spans
-    out, at = [], 0
-    for c in text:
-        n = len(c.encode("utf-8"))
-        out.append((spans[at][0], spans[at + n - 1][1]))
-        at += n
-    return text, out
-
-
-def _decoded(text: str, place) -> list[tuple[str, list[tuple[int, int]]]]:
+        raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return
+    parts = _unpack(raw)
+    if (first := next(parts, None)) is not None:
+        whole = _Whole((place(at[0])[0], place(at[-1])[1]))
+        for piece in _pieces(chain([first], parts)):
+            yield _layer_of_bytes(piece, whole)
+    else:
+        yield _layer_of_bytes(raw, [(place(at[i * 4 // 3])[0], place(at[min(len(body) - 1, (i * 4 + 7) // 3)])[1]) for i in range(len(raw))])
+
+
+def _decoded(text: str, place) -> Iterator[tuple[str, list[tuple[int, int]] | _Whole]]:
     """Layers unwrapped from the regions of a text; place(i): the original span of its character i."""
-    layers = []
     if "%" in text:
         for m in _PERCENT.finditer(text):
             raw, spans, i = bytearray(), [], m.start()
@@ -99,8 +161,7 @@ def _decoded(text: str, place) -> list[tuple[str, list[tuple[int, int]]]]:
                     raw += text[i].encode()
                     spans.append(place(i))
                     i += 1
-            if layer := _layer_of_bytes(bytes(raw), spans):
-                layers.append(layer)
+            yield _layer_of_bytes(bytes(raw), spans)
     if "\\" in text or "&#" in text:
         for m in _ESCAPES.finditer(text):
             out, spans, i = [], [], m.start()
@@ -117,32 +178,17 @@ def _decoded(text: str, place) -> list[tuple[str, list[tuple[int, int]]]]:
             for j in range(i, m.end()):
                 out.append(text[j])
                 spans.append(place(j))
-            layers.append(("".join(out), spans))
+            yield "".join(out), spans
     for m in _BASE64.finditer(text):
         body = m.group().rstrip("=")
         if len(body) % 4 == 1 or body.isalpha() and (body.islower() or body[1:].islower()):
             continue
-        try:
-            raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        whole = (place(m.start())[0], place(m.end() - 1)[1])
-        if (unpacked := _unpack(raw)) is not None:
-            if layer := _layer_of_bytes(unpacked, [whole] * len(unpacked)):
-                layers.append(layer)
-        elif raw.isascii() or _utf8(raw):
-            spans = [(place(m.start() + i * 4 // 3)[0], place(min(m.end() - 1, m.start() + (i * 4 + 7) // 3))[1]) for i in range(len(raw))]
-            if (layer := _layer_of_bytes(raw, spans)) and _printable(layer[0]):
-                layers.append(layer)
-    return layers
-
-
-def _utf8(raw: bytes) -> bool:
-    try:
-        raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return False
-    return True
+        yield from _of_base64(body, range(m.start(), m.end()), place)
+    if "\n" in text:
+        for lines in _wrapped(text):
+            at = [i for a, b in lines for i in range(a, b)]
+            body = "".join(text[a:b] for a, b in lines)
+            yield from _of_base64(body[: len(body) - (len(body) % 4 == 1)], at, place)
 
 
 def _key(layer: str) -> str | bytes:
@@ -154,9 +200,9 @@ class _Open:
 
     def __init__(self, layer: str, depth: int):
         self.layer, self.key, self.depth, self.cut = layer, _key(layer), depth, depth
-        self.inner = iter(_decoded(layer, lambda i: (i, i + 1)))
+        self.inner = _decoded(layer, lambda i: (i, i + 1))
         self.found = set(base_spans(layer))
-        self.spans: list[tuple[int, int]] = []  # of the inner layer at work
+        self.spans: list[tuple[int, int]] | _Whole = []  # of the inner layer at work
 
     def add(self, found: set[tuple[str, int, int]]) -> None:
         self.found.update((k, self.spans[a][0], self.spans[b - 1][1]) for k, a, b in found)

@@ -102,6 +102,28 @@ def test_secrets_that_occur_twice():
         assert secrets.redact(text).count("[SECRET]") == len(parts) and not any(p in secrets.redact(text) for p in parts)
 
 
+def test_secrets_in_awkward_regions(monkeypatch):
+    import bz2
+    import textwrap
+
+    plain = 'api_key = "Zx81kQpLm29sTT"'
+    noise = "".join(hashlib.sha256(str(i).encode()).hexdigest().upper() + " " for i in range(40))
+    assigned = lambda text: [s for s in secrets.all_spans(text) if s[0] == "assign"]
+    assert assigned("caf%E9&password%3Dhunter22") == [("assign", 7, 26)]
+    assert assigned("say " + b64encode(b"caf\xe9 password=hunter22").decode())
+    for pack in (gzip.compress, zlib.compress, bz2.compress):
+        packed = b64encode(pack((noise + plain).encode())).decode()
+        for width in (64, 76):
+            text = f"data:{textwrap.fill(packed, width)}\nafter it"
+            assert assigned(text) and secrets.redact(text).startswith("data:") and secrets.redact(text).endswith(" it"), (pack, width)
+        if pack is not zlib.compress:
+            assert assigned(b64encode(pack(b"nothing here") + pack(plain.encode())).decode())
+    monkeypatch.setattr(secrets, "PIECE", 1000)
+    for before in range(980, 4100, 130):
+        text = b64encode(gzip.compress((noise * 2)[:before].encode() + f" {plain} ".encode() + noise.encode())).decode()
+        assert {s[1:] for s in assigned(text)} == {(0, len(text))}
+
+
 def test_quality_counts():
     assert quality.text_metrics("a b c a b c\nx\nx\n\n") == (8, 8, 0, 1, 6, 3, 0, 0, 0)
     assert quality.text_metrics("")[:6] == (0, 0, 0, 0, 0, 0)

@@ -104,11 +104,9 @@ def learn(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         totals[part.domain, part.feature] = part.n
     docs = totals[:, FEATURES]
     held = totals[:, :FEATURES]
-    every = held.sum(axis=0)
-    expected = every[None, :] * docs[:, None] / max(docs.sum(), 1)
-    power = (np.abs(held - expected) / np.sqrt(expected + 1)).max(axis=0) * (every >= MIN_DOCS)
+    power = surprise(held, docs)
     telling = np.argsort(-power, kind="stable")[:TELLING]
-    telling = np.sort(telling[power[telling] > SIGNIFICANT])
+    telling = np.sort(telling[power[telling] > np.log(max((power > 0).sum(), 1))])
     weights = np.zeros((len(DOMAINS), FEATURES))
     base = np.log((docs + 1) / (docs.sum() + len(DOMAINS)))
     if not len(telling):
@@ -132,6 +130,20 @@ def learn(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return base, weights
 
 
+def surprise(held: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """How unlikely a feature's documents fall so unevenly on a domain by chance: the largest -log of Chernoff's bound; 0 for rare ones.
+
+    held: documents of each domain with each feature; docs: documents of each domain. Few documents count if all are of
+    a rare domain, so that the words of a small language tell as well as those of a large one.
+    """
+    every = held.sum(axis=0)
+    prior = np.clip(docs / max(docs.sum(), 1), 1e-9, 1 - 1e-9)[:, None]
+    share = held / np.maximum(every, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        parts = np.where(share > 0, share * np.log(share / prior), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - prior)), 0)
+    return (every * parts).max(axis=0) * (every >= MIN_DOCS)
+
+
 def softmax_fit(x: np.ndarray, y: np.ndarray, base: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Ridge softmax regression of y (one-hot) on x by gradient steps with momentum, scaled to each weight."""
     w = np.concatenate([base[:, None], np.zeros((y.shape[1], x.shape[1]))], axis=1)
@@ -149,8 +161,8 @@ def softmax_fit(x: np.ndarray, y: np.ndarray, base: np.ndarray, rounds: int = 40
 
 #: Features weighed, labelled rows (about, if there are more) that the regression is fitted on, and its ridge.
 TELLING, SAMPLE, RIDGE = 1000, 20_000, 1e-3
-#: A feature in fewer labelled documents, or spread over the domains within so many deviations of even, isn't weighed.
-MIN_DOCS, SIGNIFICANT = 5, 6.0
+#: A feature in fewer labelled documents isn't weighed, nor one spread as unevenly as chance would spread one of all features.
+MIN_DOCS = 5
 
 
 def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:

@@ -257,6 +257,17 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), labels).count() == 0
 
 
+def test_mixing_learns_the_words_of_a_small_language(spark):
+    few = [(i, f"el malnacido{' y' * (i % 3)} texto", 2) for i in range(6)]
+    rows = few + [(i, f"the rotten{' and' * (i % 3)} text", 2) for i in range(100, 124)] + [(i, f"{'el' if i % 9 else 'the'} texto text word{i % 7}", 0) for i in range(200, 470)]
+    base, weights = mixing.learn(spark.createDataFrame(rows, "doc_id long, text string, domain int"))
+    for _, text, domain in few:
+        assert (base + weights[:, mixing.features_of(text, {})[0]].sum(axis=1)).argmax() == domain
+    held = np.array([[0, 3000.0], [0, 500.0], [6, 500.0]])
+    docs = np.array([3000, 500, 500])
+    assert mixing.surprise(held, docs)[0] > 12 and mixing.surprise(held, docs)[1] == pytest.approx(0) and mixing.surprise(held[:, :1] * 0.5, docs)[0] == 0
+
+
 def test_awkward_rows_do_not_crash(spark, awkward):
     n = len(AWKWARD)
     assert quality.judge(awkward).count() == n and pii.scan_personal_data(awkward).count() == n and secrets.scan_secrets(awkward).count() == n

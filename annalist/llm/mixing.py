@@ -14,7 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.llm.common import WORD, ascii_lower_text, fold_arrow, map_arrow, settle, table
@@ -166,14 +166,14 @@ MIN_DOCS = 5
 
 
 def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n_tokens and p (one probability for each domain) of every whole text; without words, the prior."""
+    """doc_id, text_hash, n_tokens and p (one probability for each domain) of every whole text; without words, the prior."""
     prior, weights = model
     shared = docs.sparkSession.sparkContext.broadcast((prior.astype(np.float32), weights.astype(np.float32)))
 
     def run(part: dict) -> dict:
         base, of = shared.value
         known = _KNOWN
-        out: dict[str, list] = {"doc_id": part["doc_id"], "n_tokens": [], "p": []}
+        out: dict[str, list] = {"doc_id": part["doc_id"], "text_hash": part["text_hash"], "n_tokens": [], "p": []}
         for text in part["text"]:
             features, n = features_of(text, known)
             score = base + of[:, features].sum(axis=1)
@@ -182,8 +182,12 @@ def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFra
             out["p"].append((e / e.sum()).astype(float).tolist())
         return out
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(rows, run, "doc_id long, n_tokens long, p array<double>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return map_arrow(rows, run, "doc_id long, text_hash long, n_tokens long, p array<double>")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 _KNOWN: dict[str, tuple[int, ...]] = {}
@@ -227,24 +231,31 @@ def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, steps
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """doc_id, n_tokens, p_good, p_low, p_toxic, rate and copies for every row of docs (doc_id, text).
 
-    copies is the rate rounded up or down by a hash of the id, so that its mean is the rate and a rerun gives the same.
+    copies is the rate rounded up or down by a hash of the id (of the text, if the id is null), so that its mean is the
+    rate and a rerun gives the same.
     Null and empty texts have no tokens and take the prior. Without labels every domain is as likely. Repeated rows are
     fitted each by itself; an empty table gives no rows.
     """
+    return _mixed(docs, labels, targets).drop("text_hash")
+
+
+def _mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None) -> DataFrame:
+    """mix() with the hash of each row's text."""
     model = learn(labelled(docs.select("doc_id", "text"), labels.select("doc_id", "quality", "toxic")))
     k = len(DOMAINS)
-    members = settle(posteriors(docs, model).select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p{i}") for i in range(k))), "members")
+    members = settle(posteriors(docs, model).select("doc_id", "text_hash", "n_tokens", *(F.col("p")[i].alias(f"p{i}") for i in range(k))), "members")
     history, _ = fit_rates(members, targets)
     rated = members.withColumn("rate", _rate(history))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", "text_hash"), F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     near = F.when(F.abs(F.col("rate") - F.round("rate")) < 0.1, F.round("rate")).otherwise(F.floor(F.col("rate") + draw))
-    return rated.select("doc_id", "n_tokens", *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", near.cast("int").alias("copies"))
+    return rated.select("doc_id", "text_hash", "n_tokens", *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", near.cast("int").alias("copies"))
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """docs with each row as often as its copies say, its own columns alone."""
-    copies = mix(docs, labels, targets).where("copies > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("mixed_copies"))
-    joined = docs.join(copies, F.col("doc_id") == F.col("mixed_id"))
+    """docs with each row as often as its own copies say, its own columns alone, whether or not its id is null or given again."""
+    # rows of one id and text have the same copies
+    copies = _mixed(docs, labels, targets).where("copies > 0").groupBy(F.col("doc_id").alias("mixed_id"), F.col("text_hash").alias("mixed_hash")).agg(F.max("copies").alias("mixed_copies"))
+    joined = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col("mixed_id")) & (_text_hash() == F.col("mixed_hash")))
     return joined.withColumn("mixed_nth", F.explode(F.sequence(F.lit(1), F.col("mixed_copies")))).select(*(docs[c] for c in docs.columns))
 
 

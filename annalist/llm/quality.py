@@ -73,15 +73,16 @@ def text_metrics(text: str) -> tuple[int, int, int, int, int, int, int, int, int
 
 
 def metrics(docs: DataFrame) -> DataFrame:
-    """One row of counts for each document's whole text; null texts have no word."""
+    """One row of counts for each document's whole text; null texts have no word. A text_hash is passed on."""
+    given = [c for c in ("text_hash",) if c in docs.columns]
 
     def run(part: dict) -> dict:
         rows = [text_metrics(t or "") for t in part["text"]]
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bang", "n_pipe")
-        return {"doc_id": part["doc_id"], "lang": part["lang"], "source": part["source"]} | {k: [r[i] for r in rows] for i, k in enumerate(names)}
+        return {c: part[c] for c in ("doc_id", "lang", "source", *given)} | {k: [r[i] for r in rows] for i, k in enumerate(names)}
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("lang", "source", "text")))
-    return map_arrow(rows, run, METRICS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("lang", "source", "text")), *given)
+    return map_arrow(rows, run, METRICS + "".join(f", {c} long" for c in given))
 
 
 def with_rates(counted: DataFrame) -> DataFrame:
@@ -155,9 +156,14 @@ def _groups_bounded(groups: DataFrame) -> bool:
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
-    kept = judge(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    """The rows that the rules keep, with their own columns; each is judged by itself, whether or not its id is null or given again."""
+    keyed = docs.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
+    kept = judge(keyed).where("kept").select(*(F.col(c).alias(f"kept_{c}") for c in ("doc_id", "lang", "source", "text_hash"))).distinct()
+    # rows of one id, language, source and text have one verdict
+    same = keyed["doc_id"].cast("long").eqNullSafe(kept["kept_doc_id"]) & (keyed["text_hash"] == kept["kept_text_hash"])
+    for c in ("lang", "source"):
+        same = same & keyed[c].cast("string").eqNullSafe(kept[f"kept_{c}"])
+    return keyed.join(kept, same, "left_semi").drop("text_hash")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

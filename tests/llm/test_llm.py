@@ -276,6 +276,18 @@ def test_awkward_rows_do_not_crash(spark, awkward):
     assert scoring.score_documents(awkward.limit(0)).count() == 0 and quality.judge(awkward.limit(0)).count() == 0
 
 
+def test_stages_judge_rows_without_an_id_or_with_a_repeated_one(spark):
+    good = [" ".join(f"{c}{i * 7 % 61}" for i in range(80)) for c in "abcd"]
+    rows = [(None, good[0], "en", "a", 0), (None, good[1], None, None, 0), (None, "short", "en", "a", 0), (7, good[2], "en", "a", 0), (7, "short", "en", "a", 0), (7, None, "en", "a", 0), (8, good[3], "en", "a", 0), (8, good[3], "en", "a", 0)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    key = lambda r: repr(tuple(r))
+    kept = quality.filter_quality(docs)
+    assert kept.columns == docs.columns and sorted(map(key, kept.collect())) == sorted(map(key, (r for r in rows if r[1] in good)))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    every = mixing.mix_documents(docs, labels, dict.fromkeys(mixing.DOMAINS, 1.0))
+    assert every.columns == docs.columns and sorted(map(key, every.collect())) == sorted(map(key, rows))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

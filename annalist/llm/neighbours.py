@@ -3,7 +3,7 @@
 Equal vectors form one node. A neighbour graph starts from random-hyperplane buckets and is improved by joins: around
 every node its neighbours and reverse neighbours meet, and each keeps the partners that are nearer than its worst one.
 Queries walk the graph greedily with a beam: the nearest nodes not yet expanded are joined with their links until none
-is left. While the graph grows vectors travel as 8-bit integers; search and results use the original ones in double
+is left. While the graph grows vectors travel as 8-bit integers, each with its own step; search and results use the original ones in double
 precision.
 """
 
@@ -49,20 +49,34 @@ def nodes_of(good: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _quantised(nodes: DataFrame) -> tuple[DataFrame, int]:
-    """nodes with q, the vector in 8-bit steps of the largest component, and the number of components."""
+    """nodes with q, the vector in 8-bit steps of its own largest component, and the number of components."""
     top = nodes.agg(F.max(F.array_max(F.transform("x", F.abs))).alias("m"), F.max(F.size("x")).alias("n")).first()
-    scale = 127.0 / (top["m"] or 1.0)
+    unit = top["m"] or 1.0  # squares of the table's largest components stay finite
 
     def run(part: dict) -> dict:
-        return {"node": part["node"], "q": [np.rint(np.array(x) * scale).astype(np.int8).tobytes() for x in part["x"]]}
+        out = []
+        for x in part["x"]:
+            x = np.array(x) / unit
+            step = max(np.abs(x).max() / 127.0, np.finfo(float).tiny)
+            out.append(np.float64(step).tobytes() + np.rint(x / step).astype(np.int8).tobytes())
+        return {"node": part["node"], "q": out}
 
     return map_arrow(nodes.select("node", "x"), run, "node long, q binary", None), top["n"] or 0
 
 
+def _decoded(coded: list[bytes], width: int) -> np.ndarray:
+    """The vectors of their codes, in units of the table's largest component."""
+    rows = np.frombuffer(b"".join(coded), dtype=[("step", "f8"), ("codes", "i1", (width,))])
+    return rows["codes"] * rows["step"][:, None]
+
+
 def _pairs(ids: np.ndarray, x: np.ndarray, most: int, radius: np.ndarray | None = None, fresh: np.ndarray | None = None):
     """For each row its nearest others (at most `most`), nearer than its radius, not both old: from, to, distance."""
     norms = (x * x).sum(axis=1)
-    d = norms[:, None] + norms[None, :] - 2 * (x @ x.T)
+    d = np.maximum(norms[:, None] + norms[None, :] - 2 * (x @ x.T), 0.0)
+    # 30 bits, so that a pair has the same distance wherever it meets
+    digits, power = np.frexp(d)
+    d = np.ldexp(np.rint(digits * (1 << 30)) / (1 << 30), power)
     np.fill_diagonal(d, np.inf)
     if fresh is not None:
         d[~(fresh[:, None] | fresh[None, :])] = np.inf
@@ -84,7 +98,7 @@ def start_graph(coded: DataFrame, width: int, count: int) -> DataFrame:
     planes = np.random.default_rng(SEED).standard_normal((TABLES, bits, width)).astype(np.float32)
 
     def bucket(part: dict) -> dict:
-        x = np.frombuffer(b"".join(part["q"]), dtype=np.int8).reshape(len(part["q"]), width).astype(np.float32)
+        x = _decoded(part["q"], width)
         out: dict[str, list] = {"t": [], "b": [], "node": [], "q": []}
         for t in range(TABLES):
             codes = ((x @ planes[t].T > 0) @ (1 << np.arange(bits))) if bits else np.zeros(len(x), dtype=np.int64)
@@ -105,7 +119,7 @@ def start_graph(coded: DataFrame, width: int, count: int) -> DataFrame:
         for m in part["m"]:
             if len(m) > 1:
                 ids = np.array([r["node"] for r in m])
-                x = np.frombuffer(b"".join(r["q"] for r in m), dtype=np.int8).reshape(len(m), width).astype(np.float32)
+                x = _decoded([r["q"] for r in m], width)
                 a, b, dist = _pairs(ids, x, LINKS)
                 u += a.tolist()
                 v += b.tolist()
@@ -140,7 +154,7 @@ def build_graph(coded: DataFrame, width: int, count: int) -> DataFrame:
                 rows = list({r["x"]: r for r in sorted(m, key=lambda r: r["fresh"])}.values())
                 if len(rows) < 2 or not any(r["fresh"] for r in rows):
                     continue
-                x = np.frombuffer(b"".join(r["q"] for r in rows), dtype=np.int8).reshape(len(rows), width).astype(np.float32)
+                x = _decoded([r["q"] for r in rows], width)
                 a, b, dist = _pairs(np.array([r["x"] for r in rows]), x, OFFERS, np.array([r["radius"] for r in rows]), np.array([r["fresh"] for r in rows]))
                 u += a.tolist()
                 v += b.tolist()

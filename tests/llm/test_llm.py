@@ -225,6 +225,21 @@ def test_neighbours_of_awkward_vectors(spark):
     assert {(r["query_id"], r["rank"]): r["vec_id"] for r in got} == {(0, 1): 1, (0, 2): 6, (0, 3): 100, (100, 1): 6, (100, 2): 0, (100, 3): 1}
 
 
+def test_neighbours_beside_an_outlier(spark):
+    x = np.random.default_rng(1).standard_normal((200, 16))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, [1e6] + [0.0] * 15)]
+    coded, width = neighbours._quantised(spark.createDataFrame(rows, "node long, x array<double>"))
+    links = defaultdict(list)
+    for r in neighbours.start_graph(coded, width, len(rows)).collect():
+        links[r["u"]].append((r["d"], r["v"]))
+    hit = 0
+    for i in range(len(x)):
+        order = np.argsort(((x - x[i]) ** 2).sum(axis=1))[1:11]
+        hit += len(set(order.tolist()) & {v for _, v in sorted(set(links[i]))[:10]})
+    assert hit / (10 * len(x)) > 0.95
+
+
 def test_scores(spark, texts):
     rows = QUERIES["op1_scoring"](spark, SF).collect()
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) + [""]

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no topic of a query.
-STOP_WORDS = ("the", "and", "for", "was", "are", "what", "who", "when", "where", "why", "how", "that", "this", "with", "from", "about", "you", "your", "did", "does", "have", "has")
+#: Words that open a question, and words that carry no topic of a query.
+QUESTION_STARTERS = """
+what why how when where who which is are am do does did can could would should will have has tell explain summarize remind check
+""".split()
+STOP_WORDS = tuple(QUESTION_STARTERS) + tuple("""
+a an and about all any be been being currently current for from get give had i in it just know me my now of on or our please
+remember session something talk talked talking that the them this those to us we were with you your
+""".split())
 
 
 def normalise(text: Column) -> Column:

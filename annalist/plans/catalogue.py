@@ -94,9 +94,17 @@ _Q = f"q AS (SELECT item_id, len(list_distinct({_TOKENS.format('text')})) AS n,
 
 @query(f"WITH {_Q}, t AS (SELECT doc_id, unnest(list_distinct({_TOKENS.format('text')})) AS token FROM documents) SELECT item_id, doc_id FROM q JOIN t USING (token) GROUP BY item_id, doc_id, n HAVING count(*) = n")
 def fts_and_search(spark, d):
-    # the query side holds few tokens, so documents shrink to the tokens asked for before the shuffle
-    index = table(spark, d, "documents").select("doc_id", F.explode(text.token_set(F.col("text"))).alias("token"))
-    return index.join(_benchmark(spark, d), "token").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("hit")).where("hit = n").select("item_id", "doc_id")
+    # each item is looked up by its rarest token alone, then all its tokens must be in the text
+    q = table(spark, d, "benchmark").select("item_id", text.token_set(F.col("text")).alias("ts")).where(F.size("ts") > 0)
+    docs = table(spark, d, "documents").select("doc_id", text.token_set(F.col("text")).alias("words"))
+    asked = q.select("item_id", F.explode("ts").alias("token"))
+    known = asked.select("token").distinct()
+    index = docs.select("doc_id", F.explode("words").alias("token")).join(known, "token", "left_semi")
+    found = index.groupBy("token").agg(F.count("*").alias("n"))
+    rarest = asked.join(found, "token", "left").groupBy("item_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("token"))
+    keyed = q.join(rarest, "item_id")
+    wanted = keyed.select("token").distinct()
+    return index.join(wanted, "token", "left_semi").join(keyed, "token").join(docs, "doc_id").where(F.size(F.array_except("ts", "words")) == 0).select("item_id", "doc_id")
 
 
 _M = f"m AS (SELECT conv_id, turn, unnest(list_distinct({_TOKENS.format('text')})) AS token FROM conversations)"
@@ -263,9 +271,11 @@ def merge_preferred(spark, d):
     return ops.merge_preferred(t.where("kind = 'purchase'"), t, "event_id", [F.desc("ts"), F.col("event_id")], 4).select("event_id", "session_id", "rank")
 
 
-@query(r"SELECT doc_id FROM (SELECT doc_id, md5(lower(trim(regexp_replace(text, '[ \t\n\r\x0b\f]+', ' ', 'g')))) AS k FROM documents) QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id) = 1")
+@query(r"SELECT doc_id FROM (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\x0b\f]+', ' ', 'g'))) AS k FROM documents) QUALIFY k = '' OR row_number() OVER (PARTITION BY k ORDER BY doc_id) = 1")
 def dedupe_text_output(spark, d):
-    keyed = table(spark, d, "documents").select("doc_id", F.md5(text.normalise(F.col("text"))).alias("k"))
+    # blank texts are never each other's copies
+    norm = text.normalise(F.coalesce("text", F.lit("")))
+    keyed = table(spark, d, "documents").select("doc_id", F.when(norm == "", F.concat(F.lit("blank "), "doc_id")).otherwise(F.md5(norm)).alias("k"))
     return keyed.groupBy("k").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
@@ -288,34 +298,36 @@ def table_counts(spark, d):
     return out
 
 
-# Review: claims over telemetry with the factor table, the action cascade and the adjudication band.
-_FACTORS = f"""c AS ({_CLAIMS}), f AS (SELECT session_id, kind, evidence, confidence, pinned,
- CASE WHEN pinned THEN CAST(1.0 AS DOUBLE) WHEN evidence >= 2 THEN CAST(0.65 AS DOUBLE) ELSE least(CAST(0.25 AS DOUBLE), CAST(0.35 AS DOUBLE) * confidence) END AS consequence,
+# Review: claims over telemetry with the factor table, the action cascade and the adjudication band. A claim's events stand
+# for kinds of the review: purchases are decisions, errors failures, sign-ups fact assertions, views summaries, clicks
+# messages; every third session's claims are remembered already, and clicks of every seventh session are questions.
+_FACTORS = f"""c AS ({_CLAIMS}), k AS (SELECT *, CASE kind WHEN 'purchase' THEN 'decision' WHEN 'error' THEN 'failure' WHEN 'signup' THEN 'fact_assertion' WHEN 'view' THEN 'summary' ELSE 'message' END AS told,
+ session_id % 3 = 0 AS remembered, session_id % 7 = 0 AND kind = 'click' AS question FROM c),
+ x AS (SELECT *, told IN ('decision', 'failure', 'fact_assertion') AS spoken FROM k),
+ f AS (SELECT *,
+ CASE WHEN pinned THEN CAST(1.0 AS DOUBLE) WHEN spoken THEN CAST(0.85 AS DOUBLE) WHEN evidence >= 2 THEN CAST(0.65 AS DOUBLE) ELSE least(CAST(0.25 AS DOUBLE), CAST(0.35 AS DOUBLE) * confidence) END AS consequence,
  CASE WHEN evidence >= 3 THEN CAST(1.0 AS DOUBLE) WHEN evidence = 2 THEN CAST(0.7 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS recurrence,
- CASE WHEN pinned THEN CAST(0.9 AS DOUBLE) WHEN evidence >= 2 THEN CAST(0.75 AS DOUBLE) ELSE CAST(0.2 AS DOUBLE) END AS identity,
- CASE WHEN pinned THEN CAST(0.95 AS DOUBLE) WHEN evidence >= 2 THEN CAST(0.75 AS DOUBLE) ELSE CAST(0.15 AS DOUBLE) END AS utility,
- CASE WHEN pinned THEN CAST(1.0 AS DOUBLE) WHEN evidence >= 2 THEN least(CAST(0.75 AS DOUBLE), confidence) ELSE least(CAST(0.2 AS DOUBLE), CAST(0.2 AS DOUBLE) * confidence) END AS user_emphasis FROM c),
- v AS (SELECT *, {_r(" + ".join(f"CAST({w} AS DOUBLE) * {k}" for k, w in ranking.WEIGHTS.items()))} AS remember_score FROM f),
- a AS (SELECT *, {_r("least(CAST(1 AS DOUBLE), remember_score + CASE WHEN recurrence > 0.5 THEN CAST(0.1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)")} AS influence, CASE WHEN pinned THEN 'pin' WHEN evidence < 2 THEN 'leave_candidate' WHEN remember_score >= {ranking.PROMOTION} THEN 'promote' WHEN remember_score <= {ranking.RETIRE} THEN 'retire' ELSE 'leave_candidate' END AS action FROM v)"""
+ CASE WHEN pinned OR spoken THEN CAST(0.9 AS DOUBLE) WHEN question THEN CAST(0.15 AS DOUBLE) WHEN evidence >= 2 THEN CAST(0.75 AS DOUBLE) ELSE CAST(0.2 AS DOUBLE) END AS identity,
+ CASE WHEN pinned OR spoken THEN CAST(0.95 AS DOUBLE) WHEN question THEN CAST(0.1 AS DOUBLE) WHEN evidence >= 2 THEN CAST(0.75 AS DOUBLE) ELSE CAST(0.15 AS DOUBLE) END AS utility,
+ CASE WHEN pinned THEN CAST(1.0 AS DOUBLE) WHEN spoken THEN CAST(0.85 AS DOUBLE) WHEN evidence >= 2 THEN least(CAST(0.75 AS DOUBLE), confidence) ELSE least(CAST(0.2 AS DOUBLE), CAST(0.2 AS DOUBLE) * confidence) END AS user_emphasis,
+ CASE told WHEN 'decision' THEN CAST(0.25 AS DOUBLE) WHEN 'failure' THEN CAST(0.25 AS DOUBLE) WHEN 'fact_assertion' THEN CAST(0.2 AS DOUBLE) WHEN 'summary' THEN CAST(0.1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS bias FROM x),
+ v AS (SELECT *, {_r("greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), bias + CAST(0.25 AS DOUBLE) * consequence + CAST(0.2 AS DOUBLE) * recurrence + CAST(0.2 AS DOUBLE) * identity + CAST(0.2 AS DOUBLE) * utility + CAST(0.15 AS DOUBLE) * user_emphasis))")} AS remember_score FROM f),
+ a AS (SELECT *, {_r("least(CAST(1 AS DOUBLE), remember_score + CASE WHEN recurrence > 0.5 THEN CAST(0.1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)")} AS influence,
+  CASE WHEN pinned THEN 'pin' WHEN question AND remembered THEN 'retire' WHEN question THEN 'leave_candidate' WHEN NOT remembered AND NOT spoken AND evidence < 2 THEN 'leave_candidate'
+  WHEN remembered AND remember_score >= 0.55 THEN 'reinforce' WHEN remembered AND remember_score <= 0.2 THEN 'retire' WHEN remembered THEN 'fade' WHEN remember_score >= 0.7 THEN 'promote' ELSE 'leave_candidate' END AS action FROM v)"""
 
 
 def _reviewed(spark, d) -> DataFrame:
     c = ops.upsert_claims(telemetry(spark, d))
-    pin, again, conf = F.col("pinned"), F.col("evidence") >= 2, F.col("confidence")
-    pick = lambda p, r, o: F.when(pin, p).when(again, r).otherwise(o)
-    f = c.select(
-        "session_id", "kind", "evidence", "confidence", "pinned",
-        pick(1.0, F.lit(0.65), F.least(F.lit(0.25), conf * 0.35)).alias("consequence"),
-        F.when(F.col("evidence") >= 3, 1.0).when(F.col("evidence") == 2, 0.7).otherwise(0.0).alias("recurrence"),
-        pick(0.9, F.lit(0.75), F.lit(0.2)).alias("identity"), pick(0.95, F.lit(0.75), F.lit(0.15)).alias("utility"),
-        pick(1.0, F.least(F.lit(0.75), conf), F.least(F.lit(0.2), conf * 0.2)).alias("user_emphasis"),
-    )
-    total = None
-    for k, w in ranking.WEIGHTS.items():
-        total = F.lit(w) * F.col(k) if total is None else total + F.lit(w) * F.col(k)
-    v = f.withColumn("remember_score", rounded(total))
+    told = F.create_map(*(F.lit(x) for x in ("purchase", "decision", "error", "failure", "signup", "fact_assertion", "view", "summary", "click", "message")))[F.col("kind")]
+    k = c.withColumn("told", told).withColumn("remembered", F.col("session_id") % 3 == 0).withColumn("question", (F.col("session_id") % 7 == 0) & (F.col("kind") == "click"))
+    f = k.withColumns(ranking.claim_factors(F.col("pinned"), F.col("told").isin(*ranking.EXPLICIT_KINDS), F.col("question"), F.col("evidence"), F.col("confidence")))
+    total = ranking.kind_bias(F.col("told"))
+    for name, w in ranking.WEIGHTS.items():
+        total = total + F.lit(w) * F.col(name)
+    v = f.withColumn("remember_score", rounded(text.clamp(total)))
     score = F.col("remember_score")
-    action = F.when(pin, "pin").when(F.col("evidence") < 2, "leave_candidate").when(score >= ranking.PROMOTION, "promote").when(score <= ranking.RETIRE, "retire").otherwise("leave_candidate")
+    action = ranking.claim_action(F.col("pinned"), F.col("told"), F.col("question"), F.col("evidence"), F.col("remembered"), score)
     return v.withColumn("influence", rounded(F.least(F.lit(1.0), score + F.when(F.col("recurrence") > 0.5, 0.1).otherwise(0.0)))).withColumn("action", action)
 
 
@@ -324,20 +336,19 @@ def factor_scores(spark, d):
     return _reviewed(spark, d).select("session_id", "kind", "remember_score", "influence")
 
 
-_STATE_OF = "CASE action WHEN 'pin' THEN 'remembered' WHEN 'promote' THEN 'remembered' WHEN 'retire' THEN 'retired' ELSE 'candidate' END"
+_STATE_OF = "CASE WHEN action IN ('promote', 'reinforce', 'pin', 'fade') THEN 'remembered' WHEN action = 'retire' THEN 'retired' WHEN action = 'mark_disputed' THEN 'disputed' WHEN action = 'mark_superseded' THEN 'superseded' ELSE 'candidate' END"
+_ACTIVE_OF = "CASE WHEN action IN ('promote', 'reinforce', 'pin') THEN 'active' WHEN action = 'fade' THEN 'dormant' ELSE 'suppressed' END"
 
 
-@query(f"WITH {_T}, {_FACTORS} SELECT session_id, kind, action, {_STATE_OF} AS remember, CASE WHEN action IN ('pin', 'promote') THEN 'active' ELSE 'suppressed' END AS activation FROM a")
+@query(f"WITH {_T}, {_FACTORS} SELECT session_id, kind, action, {_STATE_OF} AS remember, {_ACTIVE_OF} AS activation FROM a")
 def action_cascade(spark, d):
-    a = _reviewed(spark, d)
-    kept = F.col("action").isin("pin", "promote")
-    return a.select("session_id", "kind", "action", F.when(kept, "remembered").when(F.col("action") == "retire", "retired").otherwise("candidate").alias("remember"), F.when(kept, "active").otherwise("suppressed").alias("activation"))
+    remember, activation = ranking.states_of(F.col("action"))
+    return _reviewed(spark, d).select("session_id", "kind", "action", remember.alias("remember"), activation.alias("activation"))
 
 
-@query(f"WITH {_T}, {_FACTORS} SELECT session_id, kind, CASE WHEN pinned THEN false WHEN action = 'promote' THEN remember_score >= 0.45 WHEN action = 'retire' THEN remember_score <= 0.23 ELSE remember_score BETWEEN 0.35 AND 0.6 END AS eligible FROM a")
+@query(f"WITH {_T}, {_FACTORS} SELECT session_id, kind, NOT (pinned OR question) AND action IN ('promote', 'leave_candidate', 'retire') AND CASE action WHEN 'promote' THEN remember_score >= 0.6 WHEN 'retire' THEN remember_score <= 0.28 ELSE remember_score BETWEEN 0.35 AND 0.82 END AS eligible FROM a")
 def adjudication_band(spark, d):
-    s = F.col("remember_score")
-    return _reviewed(spark, d).select("session_id", "kind", F.when(F.col("pinned"), False).when(F.col("action") == "promote", s >= 0.45).when(F.col("action") == "retire", s <= 0.23).otherwise(s.between(0.35, 0.6)).alias("eligible"))
+    return _reviewed(spark, d).select("session_id", "kind", ranking.in_band(F.col("action"), F.col("pinned") | F.col("question"), F.col("remember_score")).alias("eligible"))
 
 
 @query(f"WITH {_T}, {_FACTORS} SELECT action, count(*) AS n FROM a GROUP BY action")

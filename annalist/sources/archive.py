@@ -47,7 +47,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def editorial_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labels as sparse editorial states."""
-    toxic, good = F.col("toxic") == 1, F.col("quality") == 1
+    toxic, good = F.coalesce("toxic", F.lit(0)) == 1, F.coalesce("quality", F.lit(0)) == 1
     return table(spark, sf_dir, "labels").select(
         "doc_id", F.when(toxic, "retired").when(good, "remembered").otherwise("candidate").alias("remember"),
         F.when(good & ~toxic, "active").otherwise("suppressed").alias("activation"), F.when(good, 0.6).otherwise(0.2).alias("weight"),

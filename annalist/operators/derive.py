@@ -18,10 +18,19 @@ def derive_entities(events: DataFrame) -> DataFrame:
 
 
 def derive_relations(events: DataFrame) -> DataFrame:
-    """events (text, entities) that state a relation, with src, dst, type and confidence; one relation for each at most."""
+    """events (text, entities) that state relations, with src, dst, type and confidence.
+
+    Hinted relations (hint_relations, if there: structs of src, dst, type and confidence) of an allowed type win, a missing
+    confidence being 0.8; else one relation at most is read from the text.
+    """
+    kind = "array<struct<src:string,dst:string,type:string,confidence:double>>"
+    hints = F.col("hint_relations").cast(kind) if "hint_relations" in events.columns else F.lit(None).cast(kind)
+    sound = F.filter(hints, lambda h: (F.trim(h["src"]) != "") & (F.trim(h["dst"]) != "") & h["type"].isin(*dv.RELATION_TYPES))
+    hinted = F.transform(sound, lambda h: F.struct(F.trim(h["src"]).alias("src"), F.trim(h["dst"]).alias("dst"), h["type"].alias("type"), F.coalesce(h["confidence"], F.lit(dv.HINT_CONFIDENCE)).alias("confidence")))
     staged = events.withColumn("_low", F.lower(dv.compact(F.col("text")))).withColumn("_names", dv.relation_sides(F.col("entities")))
-    staged = staged.where(F.size("_names") >= 2).withColumn("_r", dv.relation(F.col("_low"), F.col("_names")))
-    return staged.where(F.col("_r").isNotNull()).select("*", "_r.*").drop("_r", "_low", "_names")
+    read = F.filter(F.array(dv.relation(F.col("_low"), F.col("_names"))), lambda r: r.isNotNull())
+    chosen = F.when(F.size(hinted) > 0, hinted).otherwise(read)
+    return staged.withColumn("_r", F.explode(chosen)).select("*", "_r.*").drop("_r", "_low", "_names")
 
 
 def derive_claims(messages: DataFrame) -> DataFrame:

@@ -480,7 +480,13 @@ def derive_entities_text(spark, d):
 
 @query("")
 def derive_relations_text(spark, d):
-    return derive.derive_relations(derive.derive_entities(messages(spark, d))).select("conv_id", "turn", "src", "dst", "type", "confidence")
+    # every third turn is told as a relation between its first two words, every fifth has a hint
+    m = messages(spark, d).withColumn("w", F.split(F.initcap(F.regexp_replace("text", "[^A-Za-z ]", "")), " +"))
+    two = F.array(F.get("w", F.lit(0)), F.get("w", F.lit(1)))
+    told = F.when(F.col("turn") % 3 == 0, F.concat_ws(" depends on ", two)).otherwise(F.col("text"))
+    hint = F.when(F.col("turn") % 5 == 1, F.array(F.struct(F.lit("Gate").alias("src"), F.lit("Pump").alias("dst"), F.lit("uses").alias("type"), F.lit(None).cast("double").alias("confidence"))))
+    events = m.withColumn("entities", F.when(F.col("turn") % 3 == 0, two).otherwise(F.array())).withColumn("hint_relations", hint).withColumn("text", told)
+    return derive.derive_relations(events).select("conv_id", "turn", "src", "dst", "type", "confidence")
 
 
 def _words(words) -> str:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,10 +44,7 @@ def ascii_lower_text(text: str) -> str:
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str, text_column: str | None = "text") -> DataFrame:
-    """fn(dict of column lists) -> dict of column lists, over slices of about CHUNK_CHARS characters.
-
-    A generator function fn() taking nothing is not used; state that must span slices belongs to fold_arrow.
-    """
+    """fn(dict of column lists) -> dict of column lists, over slices of about CHUNK_CHARS characters; state that must span slices belongs to fold_arrow."""
     ddl = StructType.fromDDL(schema)
     names = list(df.columns)
 
@@ -93,10 +92,63 @@ def slices(batches: Iterator[pa.RecordBatch], names: list[str], text_column: str
                 start, size = row + 1, 0
 
 
+#: A dense table in blocks, each of them compressed bytes; part tells the tasks' tables apart.
+BLOCKS = "block int, part long, counts binary"
+#: Tables of one block that are merged at once.
+MERGED = 64
+
+
+def blocks_of(table: np.ndarray, blocks: int) -> dict:
+    """Rows of BLOCKS from a task's table."""
+    from pyspark import TaskContext
+
+    pieces = np.ascontiguousarray(table).reshape(blocks, -1)
+    return {"block": list(range(blocks)), "part": [TaskContext.get().partitionId()] * blocks, "counts": [zlib.compress(p.tobytes(), 1) for p in pieces]}
+
+
+def merged_blocks(partial: DataFrame, blocks: int | list[int], size: int, merge: np.ufunc, dtype=np.int64, last: Callable | None = None, last_dtype=None) -> np.ndarray:
+    """All tasks' tables merged by an operation that doesn't depend on order, MERGED blocks at once, in as many levels as that takes.
+
+    blocks: the number of equal blocks, or the sizes of all. last is applied to each merged block. What reaches the
+    driver has the size of one table.
+    """
+
+    def fold(rows):
+        import pandas as pd
+
+        total = None
+        for c in rows["counts"]:
+            one = np.frombuffer(zlib.decompress(c), dtype=dtype)
+            total = one.copy() if total is None else merge(total, one, out=total)
+        return pd.DataFrame({"block": rows["block"][:1], "part": rows["part"][:1] // MERGED, "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    def finish(rows):
+        out = fold(rows)
+        if last:
+            out["counts"] = [zlib.compress(last(np.frombuffer(zlib.decompress(out["counts"][0]), dtype=dtype)).tobytes(), 1)]
+        return out
+
+    parts = partial.rdd.getNumPartitions()
+    while parts > MERGED:
+        partial = partial.groupBy("block", F.floor(F.col("part") / F.lit(MERGED)).alias("p")).applyInPandas(fold, BLOCKS)
+        parts = -(-parts // MERGED)
+    sizes = blocks if isinstance(blocks, list) else [size // blocks] * blocks
+    shrink = 2 if last_dtype is not None else 1  # entries are made of two counts each
+    starts = np.cumsum([0, *sizes]) // shrink
+    out = np.zeros(starts[-1], dtype=last_dtype or dtype)
+    merged = partial.groupBy("block").applyInPandas(finish, BLOCKS).select("block", "counts").toArrow()
+    for b, c in zip(merged.column("block"), merged.column("counts"), strict=True):
+        i = b.as_py()
+        out[starts[i] : starts[i + 1]] = np.frombuffer(zlib.decompress(c.as_buffer()), dtype=out.dtype)
+    return out
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a fresh local one only where the session names none, as in tests."""
+    """The folder that the cluster shares; a fresh local one only where a local session names none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="annalist-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -1,40 +1,50 @@
 """N-gram Jaccard join as a blocked sparse matrix product with size-derived bounds.
 
-Rows of the incidence matrix are the different shingle sets (equal sets are one row, represented by their smallest
-document), columns are shingles. Only columns that can decide are multiplied: of each row, in one global order that puts
-widespread shingles last, the first n - ceil(t n) + 1; two rows linked at threshold t share one of them, and their sizes
-lie within t of each other. The product's overlaps of the pairs left are accumulated exactly and compared.
-
-Overlaps are bounded first by sizes, then by counts of either set's hashes in fixed ranges (the sum of minima); the
-pairs left are computed exactly. The product runs in two steps that keep large groups of near copies from being multiplied out. First each column pairs
-its rows with its smallest row alone; links found so make components. Then only pairs across components are multiplied, block by block of a column's rows, and
-only pairs that pass the bounds leave a block, each row's best one before all others; pairs within a component can add nothing. No link between different sets is lost to the result, which is the components.
+Rows of the incidence matrix are the different shingle sets (equal sets are one row), columns are shingles. Only columns
+that can decide are multiplied: of each row, in one global order that puts widespread shingles last, the first
+n - ceil(t n) + 1; two rows linked at threshold t share one of them, and their sizes lie within t of each other.
+
+The product is taken in two grains. In the coarse one a row is its counts in ranges of hashes; two rows' sum of minima
+bounds their overlap, and pairs below what their sizes demand are discarded. In the fine one the overlaps of the
+pairs left are accumulated from the whole sets, a row against a block of rows at a time.
+
+What is wanted are the components of the links, so large groups of near copies need not be multiplied out. In rounds the
+rows of a column that lie in different components are dealt into blocks, and each row is tried with its best partner
+among those before it in the block, so that a block of near copies becomes one component at once, until a round links
+nothing; a column none of whose pairs passes the coarse product is left out after the first one. At last every pair left
+across components is taken, block by block, blocks of one size band meeting only those of the same band and the next,
+beyond which sizes differ too much. No link between different sets is lost to the components.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from annalist.llm.common import fold_arrow, map_arrow, settle, small_enough_to_broadcast, table
+from annalist.llm.common import BLOCKS, blocks_of, drop_settled, fold_arrow, map_arrow, merged_blocks, settle, small_enough_to_broadcast, table
 
 #: Slots of the table that tells widespread shingles from others. It orders columns only; links don't depend on it.
 SLOTS = 1 << 21
 _SLOT_BLOCKS = 32
-#: Partial slot tables at most, whatever the number of input partitions.
-PARTIALS = 512
-#: Most rows whose ids are broadcast to pick the sets that a product needs; beyond that they are joined by a shuffle.
+#: Most rows whose ids are broadcast to pick the texts that a product needs; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 300_000
-#: Ranges of hashes that a set is counted in; rows of a column that one task multiplies with as many others.
-_PART_BITS = 7
-PARTS = 1 << _PART_BITS
+#: Ranges of hashes that sets of up to so many hashes are counted in, a byte each; 255 stands for that or more.
+RANGES = ((512, 64), (1536, 128), (4096, 256), (float("inf"), 512))
+#: Columns whose slot counts more rows than this are hot: they are counted in parts. All others are no longer than this.
+HOT = 1_000_000
+#: Rows of a block, about; a column of at most twice so many is one block.
 BLOCK = 512
+#: Hashes of the sets that one row is multiplied with at once, about.
+MULTIPLIED = 1 << 20
+#: Pairs whose bounds are taken at once.
+_PAIRS = 1 << 17
 _CACHE = 400_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _HASHES: dict[bytes, int] = {}
@@ -77,81 +87,109 @@ def widespread(docs: DataFrame, words: int) -> np.ndarray:
     """A level for each slot of shingle hashes: how widespread its shingles are, in quarter powers of two."""
 
     def count(parts: Iterator[dict]) -> Iterator[dict]:
-        total = np.zeros(SLOTS, dtype=np.int32)
+        total = np.zeros(SLOTS, dtype=np.int64)
         for part in parts:
             sets = [shingles(t, words) for t in part["text"]]
             at = (np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64) if sets else np.zeros(0, dtype=np.int64)
-            total += np.bincount(at, minlength=SLOTS).astype(np.int32)
-        blocks = total.reshape(_SLOT_BLOCKS, -1)
-        yield {"block": list(range(_SLOT_BLOCKS)), "counts": [zlib.compress(b.tobytes(), 1) for b in blocks]}
+            total += np.bincount(at, minlength=SLOTS)
+        yield blocks_of(total, _SLOT_BLOCKS)
 
-    partial = fold_arrow(_rows(docs).coalesce(PARTIALS), count, "block int, counts binary")
+    total = merged_blocks(fold_arrow(_rows(docs), count, BLOCKS), _SLOT_BLOCKS, SLOTS, np.add)
+    return np.minimum(255, np.rint(4 * np.log2(total + 1.0))).astype(np.uint8)
 
-    def merge(rows):
-        import pandas as pd
 
-        total = sum(np.frombuffer(zlib.decompress(c), dtype=np.int32).astype(np.int64) for c in rows["counts"])
-        level = np.minimum(255, np.rint(4 * np.log2(total + 1))).astype(np.uint8)
-        return pd.DataFrame({"block": rows["block"][:1], "levels": [level.tobytes()]})
+def _least(n: int, percent: int) -> int:
+    return -(-percent * n // 100)
 
-    # at most PARTIALS rows a block, SLOTS bytes in all
-    out = partial.groupBy("block").applyInPandas(merge, "block int, levels binary").collect()
-    levels = np.zeros((_SLOT_BLOCKS, SLOTS // _SLOT_BLOCKS), dtype=np.uint8)
-    for r in out:
-        levels[r["block"]] = np.frombuffer(r["levels"], dtype=np.uint8)
-    return levels.reshape(-1)
 
+def _key(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
-def _least(n: int, percent: int) -> int:
-    return -(-percent * n // 100)
 
+def ranges_of(s: np.ndarray) -> bytes:
+    size = next(r for most, r in RANGES if len(s) <= most)
+    counts = np.bincount((s >> np.uint64(65 - size.bit_length())).astype(np.int64), minlength=size)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
-def row_heads(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), key (of the whole set), head (the columns that decide) and parts of each document.
 
-    parts: how many of the set's hashes lie in each of PARTS ranges, two bytes each; sums of minima bound overlaps.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+def row_heads(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
+    """doc_id, n (set size), key (of the whole set), head and hot (the columns that decide) and ranges of each document."""
+    hot_level = int(4 * np.log2(HOT + 1.0))  # slots of a smaller level count at most HOT rows
+    shared = docs.sparkSession.sparkContext.broadcast(levels)  # SLOTS bytes
 
     def run(part: dict) -> dict:
         of = shared.value
-        out: dict[str, list] = {"doc_id": part["doc_id"], "n": [], "key": [], "head": [], "parts": []}
+        out: dict[str, list] = {"doc_id": part["doc_id"], "n": [], "key": [], "head": [], "hot": [], "ranges": []}
         for text in part["text"]:
             s = shingles(text, words)
             n = len(s)
-            head = s[np.lexsort((s, of[(s & np.uint64(SLOTS - 1)).astype(np.int64)]))[: n - _least(n, percent) + 1]] if n else s
+            level = of[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
+            first = np.lexsort((s, level))[: n - _least(n, percent) + 1] if n else np.zeros(0, dtype=np.int64)
+            hot = level[first] >= hot_level
             out["n"].append(n)
-            out["key"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            out["head"].append(head.view(np.int64).tolist())
-            ranges = np.bincount((s >> np.uint64(64 - _PART_BITS)).astype(np.int64), minlength=PARTS)
-            out["parts"].append(np.minimum(ranges, 0xFFFF).astype("<u2").tobytes())
+            out["key"].append(_key(s))
+            out["head"].append(s[first[~hot]].view(np.int64))
+            out["hot"].append(s[first[hot]].view(np.int64))
+            out["ranges"].append(ranges_of(s))
         return out
 
-    return map_arrow(_rows(docs), run, "doc_id long, n long, key binary, head array<long>, parts binary")
+    return map_arrow(_rows(docs), run, "doc_id long, n long, key binary, head array<long>, hot array<long>, ranges binary")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """node, s: the whole sets of the documents whose id is in ids (node), made anew from their texts."""
-    few = small_enough_to_broadcast(ids, BROADCAST_ROWS)
-    wanted = _rows(docs).join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("node"), "left_semi")
+def linked(docs: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose accumulated overlap reaches the threshold.
 
-    def run(part: dict) -> dict:
-        return {"node": part["doc_id"], "s": [shingles(t, words).view(np.int64).tolist() for t in part["text"]]}
+    A row's partners are dealt into blocks by their number and size, so that neither a frequent row nor long sets fill a
+    task. The sets are made anew from the texts that need them, each sent to the blocks that it is in.
+    """
+    sized = pairs.join(classes.select(F.col("node").alias("b"), "n"), "b")
+    dealt = sized.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(MULTIPLIED))).cast("int").alias("k"))
+    salted = settle(sized.join(dealt, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("part")), "dealt")
+    rows = salted.select("a", "part").distinct().select(F.col("a").alias("node"), "a", "part")
+    wanted = rows.union(salted.select("b", "a", "part")).join(classes.select("node", "first_id", "key"), "node")
+    # a row of very many blocks is asked for in parts
+    asked = wanted.groupBy("first_id", "key", "node", F.pmod(F.xxhash64("a", "part"), F.lit(64)).alias("share")).agg(F.collect_list(F.struct("a", "part")).alias("blocks"))
+    asked = settle(asked.drop("share"), "asked")
+    few = small_enough_to_broadcast(asked, BROADCAST_ROWS)
+    texts = _rows(docs).join(F.broadcast(asked) if few else asked, F.col("doc_id") == F.col("first_id")).select("text", "key", "node", "blocks")
+
+    def send(part: dict) -> dict:
+        out: dict[str, list] = {"a": [], "part": [], "node": [], "s": []}
+        for text, key, node, blocks in zip(part["text"], part["key"], part["node"], part["blocks"], strict=True):
+            s = shingles(text, words)
+            if _key(s) == key:  # else it is another text of the id
+                for block in blocks:
+                    out["a"].append(block["a"])
+                    out["part"].append(block["part"])
+                    out["node"].append(node)
+                    out["s"].append(s.tobytes())
+        return out
 
-    return map_arrow(wanted, run, "node long, s array<long>").distinct()
+    grouped = map_arrow(texts, send, "a long, part int, node long, s binary").groupBy("a", "part").agg(F.collect_list(F.struct("node", "s")).alias("m"))
 
+    def multiply(part: dict) -> dict:
+        a, b = [], []
+        for row, m in zip(part["a"], part["m"], strict=True):
+            of = {r["node"]: np.frombuffer(r["s"], dtype=np.uint64) for r in m}
+            x = of.pop(row)
+            every = np.concatenate(list(of.values()))
+            sizes = np.array([len(s) for s in of.values()])
+            at = np.minimum(np.searchsorted(x, every), len(x) - 1)
+            overlap = np.add.reduceat((x[at] == every).astype(np.int64), np.cumsum(sizes) - sizes)
+            near = 100 * overlap >= percent * (len(x) + sizes - overlap)
+            found = np.array(list(of))[near]
+            a += [row] * len(found)
+            b += found.tolist()
+        return {"a": a, "b": b}
 
-def _links(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose overlap reaches the threshold, computed from the whole sets."""
-    ids = settle(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "ids")
-    sets = settle(_sets_of(docs, ids, words), "sets")
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "y"}), "b")
-    overlap = F.size(F.array_intersect("x", "y"))
-    return settle(both.where(F.lit(100) * overlap >= percent * (F.size("x") + F.size("y") - overlap)).select("a", "b").distinct(), "pairs")
+    out = settle(map_arrow(grouped.select("a", "m"), multiply, "a long, b long", None), "links")
+    for t in (salted, asked):
+        drop_settled(t)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, comp: the smallest node that each node of a link reaches.
+    """node, comp: the smallest node that each node of a link (a, b) reaches.
 
     Labels move along links and then jump to their own labels, so rounds grow with the logarithm of a chain's length.
     """
@@ -159,103 +197,236 @@ def components(links: DataFrame) -> DataFrame:
     labels = settle(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("comp")), "labels")
     while True:
         seen = edges.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("comp").alias("near"))
-        moved = labels.join(seen, F.col("node") == F.col("u")).select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
-        moved = settle(moved, "moved")
+        moved = settle(labels.join(seen, F.col("node") == F.col("u")).select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old")), "moved")
         to = moved.select(F.col("node").alias("t"), F.col("comp").alias("t_comp"))
         jumped = settle(moved.join(to, F.col("comp") == F.col("t"), "left").select("node", F.least("comp", F.coalesce("t_comp", "comp")).alias("comp"), "old"), "labels")
-        labels = jumped.select("node", "comp")
+        for t in (labels, moved):
+            drop_settled(t)
+        labels = jumped
         if jumped.where("comp != old").isEmpty():
-            return labels
+            drop_settled(edges)
+            return labels.select("node", "comp")
+
+
+def joined_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (node, comp) after new links between components, a node without label being its own: only components are joined."""
+    if labels is None:
+        return components(links)
+    label = lambda c: labels.select(F.col("node").alias(f"{c}_node"), F.col("comp").alias(f"{c}_comp"))
+    named = links.join(label("a"), F.col("a") == F.col("a_node"), "left").join(label("b"), F.col("b") == F.col("b_node"), "left")
+    between = settle(named.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).where("a != b").distinct(), "between")
+    upper = components(between).select(F.col("node").alias("old"), F.col("comp").alias("new"))
+    drop_settled(between)
+    moved = labels.join(upper, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    return settle(moved.union(upper.select("old", "new").join(labels, F.col("old") == F.col("node"), "left_anti")), "labels")
+
+
+def _within(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-def blocked_product(columns: DataFrame, sizes: DataFrame, percent: int, best: bool = False) -> DataFrame:
-    """a < b: pairs of rows that share a column, lie in different components and pass the bounds.
+class Bounds:
+    """The most that rows can overlap, from their counts in ranges (as bytes) and sizes.
 
-    columns: h, node, n, comp. A column's rows are dealt into blocks of about BLOCK; a task takes two blocks (or one with
-    itself), so no task holds more than 2 * BLOCK rows however long the column, and no pair is emitted that a bound rules
-    out. A pair is emitted by the smallest of the columns it shares alone. sizes: doc_id, n, parts.
-    best: of each row's pairs in a block only the one with the largest bound, to join components before all are tried.
+    That is the sum of minima, taken in the fewest ranges first and in as many as both rows have where that doesn't
+    discard a pair; or the smaller size, where both have a full range.
     """
-    blocks = columns.groupBy("h").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("k"))
-    parts = sizes.join(columns.select("node", "n").distinct(), (F.col("doc_id") == F.col("node")) & (sizes["n"] == columns["n"]), "left_semi").dropDuplicates(["doc_id", "n", "parts"]).select(F.col("doc_id").alias("node"), "n", "parts")
-    dealt = columns.join(blocks, "h").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "comp", "own")
-    shared = columns.groupBy("node").agg(F.collect_set("h").alias("hs"))  # at most the head of a row or two
-    grouped = met.join(parts.join(shared, "node"), ["node", "n"]).groupBy("h", "i", "j").agg(F.collect_list(F.struct("node", "n", "comp", "own", "parts", "hs")).alias("m"))
 
-    def multiply(part: dict) -> dict:
-        a, b = [], []
-        for h, i, j, m in zip(part["h"], part["i"], part["j"], part["m"], strict=True):
-            smaller = [frozenset(v for v in r["hs"] if v < h) for r in m]
-            node = np.array([r["node"] for r in m])
-            n = np.array([r["n"] for r in m])
-            comp = np.array([r["comp"] for r in m])
-            own = np.array([r["own"] for r in m])
-            counts = np.frombuffer(b"".join(r["parts"] for r in m), dtype="<u2").reshape(len(m), PARTS).astype(np.int32)
-            full = (counts == 0xFFFF).any(axis=1)
-            for x in range(len(m)):
-                may = (node[x] < node) & (comp[x] != comp) & (100 * np.minimum(n[x], n) >= percent * np.maximum(n[x], n))
-                if i != j:
-                    may &= own != own[x]
-                at = np.flatnonzero(may)
-                if len(at):
-                    most = np.minimum(counts[x], counts[at]).sum(axis=1)
-                    most = np.where(full[at] | full[x], np.minimum(n[x], n[at]), most)
-                    at = at[100 * most >= percent * (n[x] + n[at] - most)]
-                    if best and len(at):
-                        most = np.minimum(counts[x], counts[at]).sum(axis=1)
-                        at = at[[int((most / (n[x] + n[at])).argmax())]]
-                    at = np.array([k for k in at.tolist() if best or smaller[x].isdisjoint(smaller[k])], dtype=np.int64)
-                    a += [int(node[x])] * len(at)
-                    b += node[at].tolist()
-        return {"a": a, "b": b}
+    def __init__(self, ranges: list[bytes], n: np.ndarray):
+        self.n, size = n, np.array([len(r) for r in ranges])
+        self.full = np.array([255 in r for r in ranges])
+        self.levels = []
+        for _, least in RANGES:
+            rows = np.flatnonzero(size >= least)
+            if len(rows):
+                place = np.full(len(n), -1)
+                place[rows] = np.arange(len(rows))
+                counts = np.stack([np.frombuffer(ranges[i], dtype=np.uint8).reshape(least, -1).sum(axis=1, dtype=np.uint16) for i in rows])
+                self.levels.append((place, counts))
+
+    def most(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        both = self.n[a] + self.n[b]
+        out = np.minimum(self.n[a], self.n[b])
+        at = np.flatnonzero(~(self.full[a] & self.full[b]))
+        for place, counts in self.levels:
+            at = at[(100 * out[at] >= percent * (both[at] - out[at])) & (place[a[at]] >= 0) & (place[b[at]] >= 0)]
+            out[at] = np.minimum(counts[place[a[at]]], counts[place[b[at]]]).sum(axis=1, dtype=np.int64)
+        return out
+
 
-    return map_arrow(grouped, multiply, "a long, b long", None).distinct()
+def blocked_product(open_: DataFrame, classes: DataFrame, percent: int, round_: int | None) -> DataFrame:
+    """h, a < b: pairs of rows that share a column h, lie in different components and aren't discarded by the coarse product.
+
+    open_: h, node, n, c (rows of the column, or more), comp. A column of at most 2 * BLOCK rows is one block. In a round a longer one is dealt into blocks
+    by a hash of the round, and of each row's pairs with rows before it in its block the one of the largest bound is given.
+    Without a round
+    every pair is: a longer column is dealt by size band and hash, and a task takes two blocks of one band or of two that
+    follow each other. No task holds more than about 2 * BLOCK rows however long the column.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(float(-np.log(percent / 100.0)), 0.01) + 1e-9)).cast("int")
+    rows = open_.withColumn("long", F.col("c") > 2 * BLOCK)
+    none = F.lit(0)
+    if round_ is not None:
+        own = F.when(F.col("long"), F.pmod(F.xxhash64("node", F.lit(round_)), F.ceil(F.col("c") / F.lit(BLOCK)))).otherwise(none).cast("int")
+        met = rows.select("h", own.alias("i"), none.alias("j"), none.alias("own"), "node", "n", "comp")
+    else:
+        banded = rows.withColumn("band", F.when(F.col("long"), band).otherwise(none))
+        sizes = banded.where("long").groupBy("h", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("k"))
+        next_ = sizes.select("h", (F.col("band") - 1).alias("band"), F.col("k").alias("k_next"))
+        before = sizes.select("h", (F.col("band") + 1).alias("band"), F.col("k").alias("k_before"))
+        dealt = banded.join(sizes, ["h", "band"], "left").join(next_, ["h", "band"], "left").join(before, ["h", "band"], "left")
+        own = F.pmod(F.xxhash64("node"), F.coalesce("k", F.lit(1))).cast("int")
+        # a block is named by its band and number, joined into one; pairs of blocks by the smaller name and the larger
+        name = lambda b, k: b.cast("long") * F.lit(1 << 32) + k.cast("long")
+        mine = name(F.col("band"), F.col("own"))
+        others = lambda b, k: F.transform(F.sequence(F.lit(0), k - 1), lambda x: name(b, x))
+        empty = F.array().cast("array<long>")
+        partners = F.when(~F.col("long"), F.array(mine)).otherwise(F.concat(
+            others(F.col("band"), F.coalesce("k", F.lit(1))),
+            F.when(F.col("k_next").isNotNull(), others(F.col("band") + 1, F.col("k_next"))).otherwise(empty),
+            F.when(F.col("k_before").isNotNull(), others(F.col("band") - 1, F.col("k_before"))).otherwise(empty),
+        ))
+        met = dealt.withColumn("own", own).withColumn("mine", mine).withColumn("other", F.explode(partners)).select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.col("mine").alias("own"), "node", "n", "comp")
+        met = met.withColumn("j", F.when(F.col("i") == F.col("j"), F.lit(None).cast("long")).otherwise(F.col("j")))
+    grouped = met.join(classes.select("node", "ranges"), "node").groupBy("h", "i", "j").agg(F.collect_list(F.struct("node", "n", "comp", "own", "ranges")).alias("m"))
+    best = round_ is not None
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("m"))
+            columns = np.repeat(np.asarray(batch.column(batch.schema.get_field_index("h"))), np.asarray(lists.value_lengths()))
+            two = ~np.asarray(batch.column(batch.schema.get_field_index("j")).is_null()) if not best else np.zeros(len(lists), dtype=bool)
+            m = lists.flatten()
+            if not len(m):
+                continue
+            node, n, comp, own = (np.asarray(m.field(i)) for i in range(4))
+            bounds = Bounds(m.field(4).to_pylist(), n)
+            sizes = np.asarray(lists.value_lengths())
+            ends = np.repeat(np.cumsum(sizes), sizes)
+            later = ends - 1 - np.arange(len(node))  # rows of the group after each
+            cross = np.repeat(two, sizes)
+            found_a, found_b, found_w = [], [], []
+            at = 0
+            total = np.cumsum(later)
+            while at < len(node):
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, side="right")))
+                a = np.repeat(np.arange(at, to), later[at:to])
+                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later[at:to]) - later[at:to], later[at:to])
+                may = (comp[a] != comp[b]) & (node[a] != node[b]) & _within(n[a], n[b], percent) & (~cross[a] | (own[a] != own[b]))
+                a, b = a[may], b[may]
+                most = bounds.most(a, b, percent)
+                near = 100 * most >= percent * (n[a] + n[b] - most)
+                found_a.append(a[near])
+                found_b.append(b[near])
+                found_w.append(most[near] / (n[a] + n[b])[near])
+                at = to
+            a, b, w = np.concatenate(found_a), np.concatenate(found_b), np.concatenate(found_w)
+            if best and len(a):
+                order = np.lexsort((-w, b))
+                first = order[np.append(True, b[order][1:] != b[order][:-1])]
+                a, b = a[first], b[first]
+            lo, hi = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (columns[a], lo, hi)], names=["h", "a", "b"])
+
+    return grouped.select("h", "j", "m").mapInArrow(multiply, "h long, a long, b long")
+
+
+def shared_columns(classes: DataFrame) -> DataFrame:
+    """h, node, n, c: the rows of the columns that more than one row has (c rows)."""
+    of = lambda name: classes.select("node", "n", F.explode(name).alias("h"))
+    cold = of("head").withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1")  # at most HOT rows each
+    counts = of("hot").groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    return cold.unionByName(of("hot").join(counts, "h")).select("h", "node", "n", "c")
+
+
+def link_components(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """node, comp of every row of classes (node, n, head, hot, ranges, first_id, key) that is linked; None if none is."""
+    lists = settle(shared_columns(classes), "lists")
+    first = settle(blocked_product(lists.withColumn("comp", F.col("node")), classes, percent, 0), "pairs")
+    # a column of one block without any pair links nothing; of longer ones not all pairs were tried
+    short = lists.where(F.col("c") <= 2 * BLOCK).join(first.select("h").distinct(), "h", "left_semi")
+    left = settle(short.unionByName(lists.where(F.col("c") > 2 * BLOCK)), "left")
+    drop_settled(lists)
+    fresh = tried = settle(first.select("a", "b").distinct(), "tried")
+    drop_settled(first)
+    labels, round_ = None, 0
+    while True:
+        links = None if fresh.isEmpty() else linked(docs, fresh, classes, words, percent)
+        more = links is not None and not links.isEmpty()
+        if more:
+            labels = joined_components(labels, links)
+        if round_ is None:
+            return labels
+        placed = left.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if labels is not None else left.withColumn("comp", F.col("node"))
+        # columns whose rows lie in different components yet
+        mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h")
+        open_ = settle(placed.join(mixed, "h", "left_semi"), "open")
+        drop_settled(left)
+        left = open_.drop("comp")
+        left._settled_at = open_._settled_at
+        # rounds go on as long as they link anything; then all pairs left
+        round_ = round_ + 1 if more else None
+        fresh = settle(blocked_product(open_, classes, percent, round_).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "tried")
+        tried = tried.union(fresh)
 
 
 def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text).
 
     Texts that are null or have no word have an empty set and link with nothing: their component is their own id. Rows
-    of one id are one document. Rows without an id get none and link nothing by it. Ties cannot arise: a component is
-    named by its smallest id. Repeated rows stay; an empty table gives no rows.
+    without an id get none and link nothing by it. Rows that share an id but not the text are linked each by its own
+    text. Ties cannot arise: a component is named by its smallest id. Repeated rows stay; an empty table gives no rows.
     """
-    levels = widespread(docs, words)
-    heads = settle(row_heads(docs, levels, words, percent), "heads")
-    classes = settle(heads.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("node")).where("node is not null"), "classes")
-    rows = heads.join(classes, (heads["key"] == classes["key"]) & (heads["doc_id"] == classes["node"]), "left_semi").select(F.col("doc_id").alias("node"), "n", "head").dropDuplicates(["node", "n", "head"])
-    columns = rows.select("node", "n", F.explode("head").alias("h"))
-    w = Window.partitionBy("h")
-    listed = columns.withColumn("c", F.count("*").over(w)).withColumn("p", F.min(F.struct("n", "node")).over(w)).where("c > 1").select("h", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    lists = settle(listed, "lists")
-    # the smallest row of a column is its pivot: n >= pivot_n
-    star = settle(lists.where((F.col("node") != F.col("pivot")) & (F.lit(100) * F.col("pivot_n") >= percent * F.col("n"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    links = _links(docs, star, words, percent)
-    labels = components(links)
-    sizes = heads.select("doc_id", "n", "parts")
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # each row's best pair first: what it links needs no other pair; then every pair left across components
-    for best in (True, False):
-        placed = settle(lists.join(labels, "node", "left").select("h", "node", "n", F.coalesce("comp", "node").alias("comp")), "placed")
-        mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h")
-        open_ = settle(placed.join(mixed, "h"), "open")
-        rest = settle(blocked_product(open_, sizes, percent, best).join(tried, ["a", "b"], "left_anti"), "rest")
-        if rest.isEmpty():
-            continue
-        tried = tried.union(rest)
-        more = _links(docs, rest, words, percent)
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
-    ids = heads.select("doc_id", "n", "key").join(classes, "key", "left").join(labels, "node", "left")
-    return ids.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "node", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return _placed(docs, words, percent).drop("key", "comp")
+
+
+def _placed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """join_components() with the key of each row's set, and a number for its component, null for empty sets."""
+    heads = settle(row_heads(docs, widespread(docs, words), words, percent), "heads")
+    # equal sets have equal heads and ranges
+    distinct = heads.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("hot").alias("hot"), F.first("ranges").alias("ranges"))
+    classes = settle(distinct.withColumn("node", F.monotonically_increasing_id()), "classes")
+    labels = link_components(docs, classes, words, percent)
+    named = classes.select("key", "node", "first_id")
+    if labels is not None:
+        placed = named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        smallest = placed.groupBy("comp").agg(F.min("first_id").alias("least"))
+        named = placed.join(smallest, "comp").select("key", "least", "comp")
+    else:
+        named = named.select("key", F.col("first_id").alias("least"), F.col("node").alias("comp"))
+    ids = heads.select("doc_id", "n", "key").join(named, "key", "left")
+    return ids.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"), "key", "comp")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row for each component, that of the smallest id; rows without an id stay."""
-    found = join_components(docs, words, percent).where("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("first_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """docs with one row for each component, that of the smallest id; rows without an id stay.
+
+    Of rows that repeat an id, one stays for each of their components that the id names, that of the smallest text, and
+    one without words.
+    """
+    found = settle(_placed(docs, words, percent).where("doc_id is not null"), "components")
+    # ids that stay, and whether more than one row has them
+    ids = settle(found.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("rows")).where("doc_id = least").select("doc_id", "rows"), "kept")
+
+    def of(where: str) -> DataFrame:
+        some = ids.where(where)
+        return docs.join(some, docs["doc_id"].cast("long") == some["doc_id"], "left_semi")
+
+    out = of("rows = 1").unionByName(docs.where("doc_id is null"))
+    if ids.where("rows > 1").isEmpty():
+        drop_settled(found)
+        return out
+    own = lambda name: name + "_" * max(map(len, docs.columns))  # noqa: E731  # clashes with no column
+
+    @F.pandas_udf("binary")
+    def key_of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _key(shingles(t, words)))
+
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(own("id")), F.col("key").alias(own("key")), F.col("comp").alias(own("comp"))).distinct()
+    keyed = of("rows > 1").withColumn(own("set"), key_of(F.col("text").cast("string")))
+    rows = keyed.join(first, (F.col("doc_id").cast("long") == F.col(own("id"))) & (F.col(own("set")) == F.col(own("key"))))
+    order = Window.partitionBy("doc_id", own("comp")).orderBy(F.col("text").asc_nulls_last(), *(F.xxhash64(c) for c in docs.columns))
+    return out.unionByName(rows.withColumn(own("nth"), F.row_number().over(order)).where(F.col(own("nth")) == 1).select(*docs.columns))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

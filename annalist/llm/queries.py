@@ -9,7 +9,7 @@ from annalist.llm.mixing import op7_mixing
 from annalist.llm.neighbours import op9_neighbours
 from annalist.llm.packing import op10_packing
 from annalist.llm.pii import op4_pii
-from annalist.llm.quality import BINS, LEAST_GROUP, MAX_REPEAT_PERCENT, MIN_WORDS, REACH, UPPER_FLOORS, op2_quality
+from annalist.llm.quality import op2_quality
 from annalist.llm.scoring import op1_scoring
 from annalist.llm.secrets import op8_secrets
 
@@ -22,17 +22,19 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 
 def quality_sql() -> str:
-    rates = {"symbol_rate": ("n_symbols", "n_words"), "dup_line_rate": ("n_dup_lines", "n_lines"), "repeat_rate": ("n_repeat_words", "n_words"), "bang_rate": ("n_bang", "n_words"), "upper_rate": ("n_upper", "n_words"), "pipe_rate": ("n_pipe", "n_words")}
-    assert rates.keys() == UPPER_FLOORS.keys()
-    rate_columns = ", ".join(f"CAST(CASE WHEN {b} > 0 THEN least({BINS - 1}, floor(1000 * {a} / {b})) ELSE 0 END AS INTEGER) AS {m}" for m, (a, b) in rates.items())
-    floors = " ".join(f"WHEN '{m}' THEN {v}" for m, v in UPPER_FLOORS.items())
-    verdicts = " AND ".join(f"r.{m} <= max(CASE WHEN f.metric = '{m}' THEN f.fence END)" for m in rates)
+    names = "symbol_rate, dup_line_rate, repeat_rate, word_length, letter_rate"
 
     def quartiles(name: str, keys: str) -> str:
         sep = ", " if keys else ""
         return f"""{name}_c AS (SELECT {keys}{sep}metric, bin, count(*) AS n FROM long GROUP BY ALL),
         {name}_w AS (SELECT *, sum(n) OVER (PARTITION BY {keys}{sep}metric) AS total, sum(n) OVER (PARTITION BY {keys}{sep}metric ORDER BY bin) AS up_to FROM {name}_c),
-        {name} AS (SELECT {keys}{sep}metric, min(bin) FILTER (up_to * 4 >= total) AS q1, min(bin) FILTER (up_to * 4 >= total * 3) AS q3, max(total) AS total FROM {name}_w GROUP BY ALL)"""
+        {name} AS (SELECT {keys}{sep}metric, min(bin) FILTER (up_to * 4 >= total) AS q1, min(bin) FILTER (up_to * 4 >= total * 2) AS q2, min(bin) FILTER (up_to * 4 >= total * 3) AS q3, max(total) AS total FROM {name}_w GROUP BY ALL)"""
+
+    def rate(name: str, part: str, whole: str, times: int = 1000) -> str:
+        return f"CAST(CASE WHEN {whole} > 0 THEN least(1999, floor({times} * {part} / {whole})) ELSE 0 END AS INTEGER) AS {name}"
+
+    def used(q: str) -> str:
+        return f"CASE WHEN own.total >= 100 THEN own.{q} WHEN by_lang.total >= 100 THEN by_lang.{q} ELSE of_all.{q} END AS {q}"
 
     words = _WORDS.format("coalesce(text, '')")
     return rf"""
@@ -44,20 +46,23 @@ def quality_sql() -> str:
     repeated AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY k),
     m AS (SELECT t.k, doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
-        len(list_filter(w, lambda x: length(x) > 1 AND upper(x) = x AND lower(x) <> x)) AS n_upper, len(regexp_extract_all(text, '!')) AS n_bang, len(list_filter(w, lambda x: x = '|')) AS n_pipe
+        length(regexp_replace(text, '\P{{L}}+', '', 'g')) AS n_letters
         FROM t LEFT JOIN line_counts USING (k) LEFT JOIN repeated USING (k)),
-    r AS (SELECT *, {rate_columns}, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed FROM m),
-    long AS (SELECT lang, source, metric, bin FROM (UNPIVOT (SELECT lang, source, {", ".join(rates)} FROM r) ON {", ".join(rates)} INTO NAME metric VALUE bin)),
+    r AS (SELECT *, {rate("symbol_rate", "n_symbols", "n_words")}, {rate("dup_line_rate", "n_dup_lines", "n_lines")}, {rate("repeat_rate", "n_repeat_words", "n_words")},
+        {rate("word_length", "word_chars", "n_words", 100)}, {rate("letter_rate", "n_letters", "word_chars")}, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m),
+    long AS (SELECT lang, source, metric, bin FROM (UNPIVOT (SELECT lang, source, {names} FROM r WHERE NOT base_failed) ON {names} INTO NAME metric VALUE bin)),
     {quartiles("own", "lang, source")}, {quartiles("by_lang", "lang")}, {quartiles("of_all", "")},
-    f AS (SELECT own.lang, own.source, own.metric,
-        CASE WHEN own.total >= {LEAST_GROUP} THEN own.q1 WHEN by_lang.total >= {LEAST_GROUP} THEN by_lang.q1 ELSE of_all.q1 END AS q1,
-        CASE WHEN own.total >= {LEAST_GROUP} THEN own.q3 WHEN by_lang.total >= {LEAST_GROUP} THEN by_lang.q3 ELSE of_all.q3 END AS q3
+    f AS (SELECT own.lang, own.source, own.metric, {used("q1")}, {used("q2")}, {used("q3")}
         FROM own JOIN by_lang ON own.lang IS NOT DISTINCT FROM by_lang.lang AND own.metric = by_lang.metric JOIN of_all ON own.metric = of_all.metric),
-    fenced AS (SELECT lang, source, metric, greatest(q3 + {REACH} * (q3 - q1), CASE metric {floors} END) AS fence FROM f),
-    judged AS (SELECT r.k, bool_and(CASE f.metric {" ".join(f"WHEN '{m}' THEN r.{m} <= f.fence" for m in rates)} END) AS within
-        FROM r JOIN fenced f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source GROUP BY r.k)
+    fenced AS (SELECT lang, source,
+        max(q3 + 12 * greatest(q3 - q2, 1)) FILTER (metric = 'word_length') AS longest, max(q1 - 12 * greatest(q2 - q1, 1)) FILTER (metric = 'word_length') AS shortest,
+        max(q1 - 12 * greatest(q2 - q1, 1)) FILTER (metric = 'letter_rate') AS letters, max(greatest(20, q3 + 12 * greatest(q3 - q2, 1))) FILTER (metric = 'symbol_rate') AS symbols,
+        max(greatest(400, q3 + 12 * greatest(q3 - q2, 1))) FILTER (metric = 'dup_line_rate') AS dup_lines, max(greatest(400, q3 + 12 * greatest(q3 - q2, 1))) FILTER (metric = 'repeat_rate') AS repeats
+        FROM f GROUP BY ALL)
     SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, (NOT base_failed AND within) AS kept FROM r JOIN judged USING (k)
+        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+        (NOT base_failed AND coalesce(word_length BETWEEN shortest AND longest AND dup_line_rate <= dup_lines AND repeat_rate <= repeats AND (letter_rate >= letters OR symbol_rate <= symbols), false)) AS kept
+    FROM r LEFT JOIN fenced ON r.lang IS NOT DISTINCT FROM fenced.lang AND r.source IS NOT DISTINCT FROM fenced.source
     """
 
 

@@ -1,15 +1,16 @@
 """Mixing documents to target domain weights with soft membership.
 
 A classifier learned from the labelled table (softmax regression over the presence of those hashed words and shapes that
-tell domains apart) predicts each document's posterior over domains. Nonnegative rates of the documents are then fitted by projected gradient so
-that the expected tokens of each domain meet their targets, staying near the prior rate of 1. A rate after k steps
-depends on the document's posterior and the k residual vectors alone, so only those small vectors travel: no rate is
-stored or shuffled while fitting, and every step is one aggregation.
+tell domains apart) predicts each document's posterior over domains, in steps of a thousandth. Nonnegative rates of the
+documents are then fitted by projected gradient so that the expected tokens of each domain meet their targets in the
+least-squares sense, starting from the prior rate of 1. A rate after k steps depends on the posterior and the k residual
+vectors alone, so only those small vectors travel, and documents of one posterior are one row of the fit: at most some
+500,000 rows, whatever the corpus. A rate within SNAP of a whole number is projected onto it, so that what belongs to one
+domain is kept or left out as a whole; what the snapping moves is in the residuals, and the other rates make up for it.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,116 +18,142 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import WORD, ascii_lower_text, fold_arrow, map_arrow, settle, table
+from annalist.llm.common import ascii_lower_text, drop_settled, fold_arrow, settle, table
 
 #: Domains from the labels: toxic first, whatever the quality; then by quality.
 DOMAINS = ("good", "low", "toxic")
 #: Target tokens of each domain as a share of the tokens that the domain is expected to hold.
 TARGET_SHARES = {"good": 1.0, "low": 0.5, "toxic": 0.0}
 FEATURES = 1 << 18
-STEPS, STEP_SIZE = 25, 0.8
-MAX_RATE = 4.0
-_WORDS = re.compile(WORD)
+#: Steps at most, ended before when no domain misses its target by more than TOLERANCE of its scale.
+STEPS, STEP_SIZE, TOLERANCE = 80, 0.8, 1e-3
+MAX_RATE, SNAP = 4.0, 0.1
+#: A domain's misses are scaled by its tokens, or by this share of all tokens if that is more, so that a target that the
+#: bounds on rates rule out (no toxic token at all) doesn't pull large domains from theirs.
+LEAST_SCALE = 0.2
+#: Posteriors are counted in steps of 1 / GRAIN.
+GRAIN = 1000
 _MARKS = ".,;:!?\"'()[]{}#*$%&|<>=+-_~^/\\"
+_CAPITALS = "\x00capitals"
 
 
-def _features(word: str, known: dict[str, tuple[int, ...]]) -> tuple[int, ...]:
-    """Of a word: itself without marks around it, in lower case; the marks after it; and whether it is in capitals."""
-    out = known.get(word)
-    if out is None:
-        if len(known) > 400_000:
-            known.clear()
-        low = ascii_lower_text(word)
-        bare = low.strip(_MARKS)
-        parts = [bare, "\x00" + low[len(low.rstrip(_MARKS)) :]]
-        if len(word) > 1 and word.isupper():
-            parts.append("\x00capitals")
-        out = known[word] = tuple({zlib.crc32(p.encode("utf-8", "surrogatepass")) % FEATURES for p in parts})
-    return out
+def _parts(word: bytes) -> tuple[list[str], bool]:
+    """Of a word: itself without marks around it, in lower case, and the marks after it; and whether it is in capitals."""
+    text = word.decode("utf-8", "surrogatepass")
+    low = ascii_lower_text(text)
+    return [low.strip(_MARKS), "\x00" + low[len(low.rstrip(_MARKS)) :]], len(text) > 1 and text.isupper()
 
 
-def _shapes(text: str, words: list[str], different: set[str]) -> list[str]:
+def _feature(part: str) -> int:
+    return zlib.crc32(part.encode("utf-8", "surrogatepass")) % FEATURES
+
+
+class _Words(dict):
+    """What a worker remembers of words: their features, only those weighed if some are; whether they are in capitals."""
+
+    def __init__(self, weighed: np.ndarray | None = None):
+        self.weighed = None if weighed is None else frozenset(weighed.tolist())
+
+    def __missing__(self, word: bytes) -> tuple[tuple[int, ...], bool]:
+        if len(self) > 400_000:
+            self.clear()
+        parts, capitals = _parts(word)
+        found = {_feature(p) for p in parts + [_CAPITALS] * capitals}
+        self[word] = out = tuple(found if self.weighed is None else found & self.weighed), capitals
+        return out
+
+
+def _shapes(text: str, n_words: int, n_different: int, n_capitals: int) -> list[str]:
     """What a text looks like, each rate as the number of cuts that it passes."""
-    n = max(len(words), 1)
+    n = max(n_words, 1)
     rates = {
         "symbols": sum(map(text.count, "#*$%&<>")) / n,
         "bars": text.count("|") / n,
         "bangs": text.count("!") / n,
-        "capitals": sum(len(w) > 1 and w.isupper() for w in different) / max(len(different), 1),
+        "capitals": n_capitals / max(n_different, 1),
         "lengths": len(text) / n / 20,
     }
     out = [f"\x01{name} {sum(rate > cut for cut in _CUTS)}" for name, rate in rates.items()]
     # the share of different words falls with the length by itself
-    return [*out, f"\x01different {min(len(words).bit_length(), 12)} {int(20 * len(different) / n)}", f"\x01words {min(len(words).bit_length(), 12)}"]
+    return [*out, f"\x01different {min(n_words.bit_length(), 12)} {int(20 * n_different / n)}", f"\x01words {min(n_words.bit_length(), 12)}"]
 
 
 _CUTS = (0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.6, 1.0, 2.0)
 
 
-def features_of(text: str | None, known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, int]:
+def features_of(text: str | None, known: _Words) -> tuple[list[int], int]:
     """The different features of a text, words and shapes, and its number of words."""
-    words = _WORDS.findall(text) if text else []
+    words = text.encode("utf-8", "surrogatepass").split() if text else []  # at ASCII white space
     different = set(words)
-    found = {f for w in different for f in _features(w, known)}
-    found.update(zlib.crc32(p.encode()) % FEATURES for p in _shapes(text or "", words, different))
-    return np.array(sorted(found), dtype=np.int64), len(words)
+    found: set[int] = set()
+    capitals = 0
+    for f, c in map(known.__getitem__, different):
+        if f:
+            found.update(f)
+        capitals += c
+    found.update(map(_feature, _shapes(text or "", len(words), len(different), capitals)))
+    return sorted(found), len(words)
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, domain (number) of the labelled documents; a null label counts as 0, ids twice labelled take the worse."""
-    of = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("l_id")).agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"), F.min(F.coalesce("quality", F.lit(0))).alias("quality"))
+    """text, domain (number) of labelled documents; a null label counts as 0, ids twice labelled take the worse.
+
+    All labelled ids, or those SAMPLE of the smallest hashes if there are more, are broadcast; only their texts are read.
+    """
+    of = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"), F.min(F.coalesce("quality", F.lit(0))).alias("quality"))
     domain = F.when(F.col("toxic") > 0, 2).when(F.col("quality") > 0, 0).otherwise(1)
-    return docs.select("doc_id", "text").join(of, F.col("doc_id") == F.col("l_id")).select("doc_id", "text", domain.cast("int").alias("domain"))
+    chosen = of.select("l_id", domain.cast("int").alias("domain")).orderBy(F.xxhash64("l_id", F.lit("sample")), "l_id").limit(SAMPLE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("text", "domain")
 
 
 def learn(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Base score of each domain and what a present feature adds [domain, feature].
-
-    All labelled rows say which TELLING features tell domains apart most; the regression is fitted on all, or a hashed share of about SAMPLE rows.
+    """Base score of each domain and what a present feature adds [domain, feature], from rows of labelled().
 
-    Partitions add up dense counts and send the nonzero ones, merged by Spark; what reaches the driver is bounded by
-    the number of features, and a feature of one document alone says nothing and is left out of the model.
+    Those TELLING features that tell domains apart most are weighed. What reaches the driver are counts of FEATURES
+    features and the weighed features of about SAMPLE documents.
     """
 
-    def count(parts: Iterator[dict]) -> Iterator[dict]:
-        totals = np.zeros((len(DOMAINS), FEATURES + 1), dtype=np.int64)
-        known: dict[str, tuple[int, ...]] = {}
+    def present(parts: Iterator[dict]) -> Iterator[dict]:
+        known = _Words()
         for part in parts:
-            for text, domain in zip(part["text"], part["domain"], strict=True):
-                totals[domain, features_of(text, known)[0]] += 1
-                totals[domain, FEATURES] += 1
-        d, f = np.nonzero(totals)
-        yield {"domain": d.tolist(), "feature": f.tolist(), "n": totals[d, f].tolist()}
-
-    counts = fold_arrow(rows, count, "domain int, feature int, n long").groupBy("domain", "feature").agg(F.sum("n").alias("n"))
-    totals = np.zeros((len(DOMAINS), FEATURES + 1))
-    for part in counts.where("n > 1 or feature = %d" % FEATURES).toPandas().itertuples():
-        totals[part.domain, part.feature] = part.n
-    docs = totals[:, FEATURES]
-    held = totals[:, :FEATURES]
+            yield {"domain": part["domain"], "at": [features_of(t, known)[0] for t in part["text"]]}
+
+    found = settle(fold_arrow(rows.select("text", "domain"), present, "domain int, at array<int>"), "features")
+    docs = np.zeros(len(DOMAINS))
+    for r in found.groupBy("domain").count().collect():
+        docs[r["domain"]] = r["count"]
+    held = np.zeros((len(DOMAINS), FEATURES))
+    counts = found.select("domain", F.explode("at").alias("feature")).groupBy("feature").pivot("domain", list(range(len(DOMAINS)))).count().fillna(0)
+    total = sum((F.col(str(d)) for d in range(1, len(DOMAINS))), F.col("0"))
+    for batch in counts.where(total >= MIN_DOCS).toArrow().to_batches():
+        at = np.asarray(batch.column("feature"))
+        for d in range(len(DOMAINS)):
+            held[d, at] = np.asarray(batch.column(str(d)))
     power = surprise(held, docs)
     telling = np.argsort(-power, kind="stable")[:TELLING]
     telling = np.sort(telling[power[telling] > np.log(max((power > 0).sum(), 1))])
-    weights = np.zeros((len(DOMAINS), FEATURES))
+    weights = np.zeros((len(DOMAINS), FEATURES), dtype=np.float32)
     base = np.log((docs + 1) / (docs.sum() + len(DOMAINS)))
     if not len(telling):
         return base, weights
+    del held, power
     place = {int(f): i for i, f in enumerate(telling)}
 
-    def present(parts: Iterator[dict]) -> Iterator[dict]:
-        known: dict[str, tuple[int, ...]] = {}
+    def weighed(parts: Iterator[dict]) -> Iterator[dict]:
         for part in parts:
-            yield {"domain": part["domain"], "at": [[place[f] for f in features_of(t, known)[0].tolist() if f in place] for t in part["text"]]}
+            yield {"domain": part["domain"], "at": [[place[f] for f in at if f in place] for at in part["at"]]}
 
-    # by a hash of the id, each task choosing from its own rows
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / docs.sum())) if docs.sum() > SAMPLE else rows
-    sample = fold_arrow(chosen.select("domain", "text"), present, "domain int, at array<int>").collect()
-    x = np.zeros((len(sample), len(telling)), dtype=np.float32)
+    sample = fold_arrow(found, weighed, "domain int, at array<int>", None).toArrow().combine_chunks()
+    x = np.zeros((len(sample), 1 + len(telling)), dtype=np.float32)
     y = np.zeros((len(sample), len(DOMAINS)), dtype=np.float32)
-    for i, r in enumerate(sample):
-        x[i, r["at"]] = 1.0
-        y[i, r["domain"]] = 1.0
-    base, weights[:, telling] = softmax_fit(x, y, base)
+    x[:, 0] = 1.0
+    at = sample.column("at").combine_chunks()
+    x[np.repeat(np.arange(len(sample)), np.asarray(at.value_lengths())), 1 + np.asarray(at.flatten())] = 1.0
+    y[np.arange(len(sample)), np.asarray(sample.column("domain"))] = 1.0
+    # rows in an order of their own, so that sums of floats don't depend on tasks
+    order = np.lexsort(np.concatenate([np.packbits(x[:, 1:] > 0, axis=1).T, y.T]))
+    base, weights[:, telling] = softmax_fit(x[order], y[order], base)
+    drop_settled(found)
     return base, weights
 
 
@@ -145,9 +172,8 @@ def surprise(held: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 
 def softmax_fit(x: np.ndarray, y: np.ndarray, base: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Ridge softmax regression of y (one-hot) on x by gradient steps with momentum, scaled to each weight."""
-    w = np.concatenate([base[:, None], np.zeros((y.shape[1], x.shape[1]))], axis=1)
-    x = np.concatenate([np.ones((len(x), 1), dtype=np.float32), x], axis=1)
+    """Ridge softmax regression of y (one-hot) on x, whose first column is 1, by gradient steps with momentum, scaled to each weight."""
+    w = np.concatenate([base[:, None], np.zeros((y.shape[1], x.shape[1] - 1))], axis=1)
     first, second = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, rounds + 1):
         z = x @ w.T.astype(np.float32)
@@ -159,73 +185,76 @@ def softmax_fit(x: np.ndarray, y: np.ndarray, base: np.ndarray, rounds: int = 40
     return w[:, 0], w[:, 1:]
 
 
-#: Features weighed, labelled rows (about, if there are more) that the regression is fitted on, and its ridge.
+#: Features weighed, labelled ids that the classifier is fitted on at most, and its ridge.
 TELLING, SAMPLE, RIDGE = 1000, 20_000, 1e-3
-#: A feature in fewer labelled documents isn't weighed, nor one spread as unevenly as chance would spread one of all features.
+#: A feature in fewer of those documents isn't weighed, nor one spread as unevenly as chance would spread one of all features.
 MIN_DOCS = 5
 
 
 def posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, text_hash, n_tokens and p (one probability for each domain) of every whole text; without words, the prior."""
+    """doc_id, text_hash, n_tokens and p (GRAIN times the probability of each domain, whole numbers that add up to GRAIN) of every whole text."""
     prior, weights = model
-    shared = docs.sparkSession.sparkContext.broadcast((prior.astype(np.float32), weights.astype(np.float32)))
-
-    def run(part: dict) -> dict:
-        base, of = shared.value
-        known = _KNOWN
-        out: dict[str, list] = {"doc_id": part["doc_id"], "text_hash": part["text_hash"], "n_tokens": [], "p": []}
-        for text in part["text"]:
-            features, n = features_of(text, known)
-            score = base + of[:, features].sum(axis=1)
-            e = np.exp(score - score.max())
-            out["n_tokens"].append(n)
-            out["p"].append((e / e.sum()).astype(float).tolist())
-        return out
+    weighed = np.flatnonzero(weights.any(axis=0))
+    shared = docs.sparkSession.sparkContext.broadcast((prior.astype(np.float64), weighed, weights[:, weighed].astype(np.float64)))  # TELLING features
+
+    def run(parts: Iterator[dict]) -> Iterator[dict]:
+        base, at, of = shared.value
+        known, place = _Words(at), {int(f): i for i, f in enumerate(at)}
+        for part in parts:
+            out: dict[str, list] = {"doc_id": part["doc_id"], "text_hash": part["text_hash"], "n_tokens": [], "p": []}
+            for text in part["text"]:
+                features, n = features_of(text, known)
+                score = base + of[:, [place[f] for f in features if f in place]].sum(axis=1)
+                e = np.exp(score - score.max())
+                p = np.floor(GRAIN * e / e.sum()).astype(np.int64)
+                p[int(e.argmax())] += GRAIN - p.sum()  # what rounding leaves is the likeliest one's
+                out["n_tokens"].append(n)
+                out["p"].append(p.tolist())
+            yield out
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return map_arrow(rows, run, "doc_id long, text_hash long, n_tokens long, p array<double>")
+    return fold_arrow(rows, run, "doc_id long, text_hash long, n_tokens long, p array<int>")
 
 
 def _text_hash() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-_KNOWN: dict[str, tuple[int, ...]] = {}
+def _rate(history: list[list[float]]) -> Column:
+    """The rate as a column of p0, p1, ...: each step moves it against the residuals and back into [0, MAX_RATE]; at last near whole numbers snap."""
+    rate = F.lit(1.0)
+    if history:
+        pull = lambda g: sum((F.col(f"p{i}") * g[i] for i in range(1, len(DOMAINS))), F.col("p0") * g[0])
+        rate = F.aggregate(F.lit(history), F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), F.least(F.lit(MAX_RATE), r - pull(g))))
+    return F.when(F.abs(rate - F.round(rate)) < SNAP, F.round(rate)).otherwise(rate)
 
 
-def _rate(history: list[list[float]]):
-    """The rate as a column of p: each step moves it against the residuals and back into [0, MAX_RATE]."""
-    steps = F.lit(history) if history else None
-    if steps is None:
-        return F.lit(1.0)
-    k = len(DOMAINS)
+def fit_rates(cells: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS) -> tuple[list[list[float]], dict[str, tuple[float, float, float]]]:
+    """The residual steps whose replay gives each rate, and for each domain its expected tokens at rate 1, its target and what is attained.
 
-    def move(r, g):
-        pull = sum((F.col(f"p{i}") * g[i] for i in range(1, k)), F.col("p0") * g[0])
-        return F.greatest(F.lit(0.0), F.least(F.lit(MAX_RATE), r - pull))
-
-    return F.aggregate(steps, F.lit(1.0), move)
-
-
-def fit_rates(members: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS) -> tuple[list[list[float]], np.ndarray]:
-    """The residual steps whose replay gives each document's rate, and the expected tokens of each domain at rate 1.
-
-    members: n_tokens, p0, p1, ... ; targets: shares of each domain's own expected tokens.
+    cells: n_tokens, p0, p1, ... ; targets: shares of each domain's own expected tokens. Of all steps the first k that
+    come nearest to the targets are given.
     """
     shares = np.array([(targets or TARGET_SHARES)[d] for d in DOMAINS])
-    mass = lambda rate: members.agg(*(F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{i}") * rate), F.lit(0.0)).alias(f"m{i}") for i in range(len(DOMAINS)))).first()
-    start = np.array([float(x) for x in mass(F.lit(1.0))])
+
+    def mass(history: list[list[float]]) -> np.ndarray:
+        rated = cells.withColumn("rate", _rate(history))
+        sums = (F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{i}") * F.col("rate")), F.lit(0.0)) for i in range(len(DOMAINS)))
+        return np.array([float(m) for m in rated.agg(*(m.alias(f"m{i}") for i, m in enumerate(sums))).first()])
+
+    start = now = mass([])
     goal = shares * start
-    scale = np.maximum(start, 1.0)
+    scale = np.maximum(np.maximum(start, LEAST_SCALE * start.sum()), 1.0)
     history: list[list[float]] = []
-    now = start
-    for _ in range(steps):
+    best = (np.inf, 0, start)
+    for k in range(steps + 1):
         residual = (now - goal) / scale
-        if np.abs(residual).max() < 2e-3:
+        best = min(best, (float((residual**2).sum()), k, now), key=lambda b: b[:2])
+        if k == steps or np.abs(residual).max() < TOLERANCE:
             break
-        history.append([float(x) for x in STEP_SIZE * residual])
-        now = np.array([float(x) for x in mass(_rate(history))])
-    return history, start
+        history.append([round(float(x), 9) for x in STEP_SIZE * residual])
+        now = mass(history)
+    return history[: best[1]], {d: (float(start[i]), float(goal[i]), float(best[2][i])) for i, d in enumerate(DOMAINS)}
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
@@ -233,30 +262,39 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
     copies is the rate rounded up or down by a hash of the id (of the text, if the id is null), so that its mean is the
     rate and a rerun gives the same.
-    Null and empty texts have no tokens and take the prior. Without labels every domain is as likely. Repeated rows are
-    fitted each by itself; an empty table gives no rows.
+    Null and empty texts have no tokens and take what a text without words has. Without labels every domain is as likely.
+    Repeated rows are fitted each by itself; an empty table gives no rows.
     """
     return _mixed(docs, labels, targets).drop("text_hash")
 
 
+def members_of(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (doc_id, text_hash, n_tokens, p0, p1, ...), settled, and cells, their tokens by posterior, settled too."""
+    model = learn(labelled(docs.select("doc_id", "text"), labels.select("doc_id", "quality", "toxic")))
+    of = [f"p{i}" for i in range(len(DOMAINS))]
+    members = settle(posteriors(docs, model).select("doc_id", "text_hash", "n_tokens", *((F.col("p")[i] / F.lit(float(GRAIN))).alias(c) for i, c in enumerate(of))), "members")
+    return members, settle(members.groupBy(*of).agg(F.sum("n_tokens").alias("n_tokens")).coalesce(8), "cells")
+
+
 def _mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None) -> DataFrame:
     """mix() with the hash of each row's text."""
-    model = learn(labelled(docs.select("doc_id", "text"), labels.select("doc_id", "quality", "toxic")))
-    k = len(DOMAINS)
-    members = settle(posteriors(docs, model).select("doc_id", "text_hash", "n_tokens", *(F.col("p")[i].alias(f"p{i}") for i in range(k))), "members")
-    history, _ = fit_rates(members, targets)
-    rated = members.withColumn("rate", _rate(history))
+    members, cells = members_of(docs, labels)
+    history, _ = fit_rates(cells, targets)
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", "text_hash"), F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    near = F.when(F.abs(F.col("rate") - F.round("rate")) < 0.1, F.round("rate")).otherwise(F.floor(F.col("rate") + draw))
-    return rated.select("doc_id", "text_hash", "n_tokens", *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", near.cast("int").alias("copies"))
+    rated = members.withColumn("rate", _rate(history))
+    return rated.select("doc_id", "text_hash", "n_tokens", *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"))
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """docs with each row as often as its own copies say, its own columns alone, whether or not its id is null or given again."""
-    # rows of one id and text have the same copies
-    copies = _mixed(docs, labels, targets).where("copies > 0").groupBy(F.col("doc_id").alias("mixed_id"), F.col("text_hash").alias("mixed_hash")).agg(F.max("copies").alias("mixed_copies"))
-    joined = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col("mixed_id")) & (_text_hash() == F.col("mixed_hash")))
-    return joined.withColumn("mixed_nth", F.explode(F.sequence(F.lit(1), F.col("mixed_copies")))).select(*(docs[c] for c in docs.columns))
+    """docs with each row as often as its own copies say, its own columns alone, whether or not its id is null or given again.
+
+    Rows of one id and text have the same copies. Nulls, empty texts and an empty table are as in mix().
+    """
+    names = docs.columns
+    own = lambda name: name + "_" * max(map(len, names))  # noqa: E731  # clashes with no column
+    copies = _mixed(docs, labels, targets).where("copies > 0").groupBy(F.col("doc_id").alias(own("id")), F.col("text_hash").alias(own("hash"))).agg(F.max("copies").alias(own("n")))
+    joined = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col(own("id"))) & (F.xxhash64(docs["text"].cast("string")) == F.col(own("hash"))))
+    return joined.withColumn(own("nth"), F.explode(F.sequence(F.lit(1), F.col(own("n"))))).select(*names)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

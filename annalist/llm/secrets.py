@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
-A text is scanned, then every encoded region in it (percent escapes, Unicode and hex escapes, base64, and gzip, zlib or
-bzip2 data inside base64, wrapped or not) is unwrapped into a new layer, which is scanned and searched for regions in turn, until no new
+A text is scanned, then every encoded region in it (percent escapes, Unicode and hex escapes, base64 of UTF-8 or UTF-16,
+and gzip, zlib or bzip2 data inside base64, wrapped or not) is unwrapped into a new layer, which is scanned and searched for regions in turn, until no new
 layer appears. The finds of a layer are remembered by its content and mapped to every place where it occurs; a layer
 inside itself is not unwrapped again, which ends cycles. Each character of a layer carries the span of the text around it
 that it came from, so finds map back to original offsets.
@@ -32,14 +32,19 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 # A text without any of these holds no assignment.
 _ASSIGN_CUES = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
-_PERCENT = re.compile(r"[A-Za-z0-9._~+/=:&?@!$'()*,;-]*(?:%[0-9A-Fa-f]{2}[A-Za-z0-9._~+/=:&?@!$'()*,;-]*)+")
-_ESCAPES = re.compile(r"(?:[\x21-\x5b\x5d-\x7e]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U000[0-9A-Fa-f]{5}|&#[0-9]{2,6};|&#x[0-9A-Fa-f]{2,6};)[\x21-\x5b\x5d-\x7e]*)+")
+# Regions of percent escapes and of others: an escape, what may stand between escapes, and the region from its first escape on.
+_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
+_PERCENT_PLAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._~+/=:&?@!$'()*,;-")
+_PERCENT_REGION = re.compile(r"(?:%[0-9A-Fa-f]{2}[A-Za-z0-9._~+/=:&?@!$'()*,;-]*+)+")
+_ESCAPE_PLAIN = frozenset(map(chr, range(0x21, 0x7F))) - {"\\"}
+_ESCAPE_REGION = re.compile(r"(?:(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U000[0-9A-Fa-f]{5}|&#[0-9]{2,6};|&#x[0-9A-Fa-f]{2,6};)[\x21-\x5b\x5d-\x7e]*+)+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U000([0-9A-Fa-f]{5})|&#([0-9]{2,6});|&#x([0-9A-Fa-f]{2,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{16,}+)*(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)?")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 #: How base64 of gzip, zlib and bzip2 data begins.
 _PACKED = ("H4s", "eAF", "eAE", "eF4", "eF5", "eJw", "eJx", "eJy", "eJz", "eNo", "eNp", "eNq", "eNr", "Qlpo")
+_PACKED_AT = re.compile("(?=" + "|".join(_PACKED) + ")")
 _UNDECODED = re.compile("[\udc80-\udcff]")
 
 
@@ -101,17 +106,38 @@ class _Whole:
         return self.span
 
 
-def _layer_of_bytes(raw: bytes, spans: list[tuple[int, int]] | _Whole) -> tuple[str, list[tuple[int, int]] | _Whole]:
-    """UTF-8 text, a replacement for each byte that is none, with the source span of each character; spans: one for each byte."""
+def _layers_of_bytes(raw: bytes, spans: list[tuple[int, int]] | _Whole) -> Iterator[tuple[str, list[tuple[int, int]] | _Whole]]:
+    """UTF-8 text, a replacement for each byte that is none, with the source span of each character; and UTF-16 if there are zeros as in it.
+
+    spans: one for each byte.
+    """
     text = raw.decode("utf-8", "surrogateescape")
+    of = spans
     if not isinstance(spans, _Whole) and len(text) != len(raw):
-        out, at = [], 0
+        of, at = [], 0
         for c in text:
             n = len(c.encode("utf-8", "surrogateescape"))
-            out.append((spans[at][0], spans[at + n - 1][1]))
+            of.append((spans[at][0], spans[at + n - 1][1]))
             at += n
-        spans = out
-    return _UNDECODED.sub("\ufffd", text), spans
+    yield _UNDECODED.sub("\ufffd", text), of
+    zeros = raw.count(0)
+    if len(raw) >= 8 and 4 * zeros >= len(raw):
+        first = int(2 * raw[::2].count(0) > zeros)  # each zero with the letter before it, whichever of the two is high
+        pairs = raw[first : first + (len(raw) - first) // 2 * 2]
+        wide = pairs.decode("utf-16-le", "replace")
+        if 2 * len(wide) == len(pairs):  # no letters of two pairs, so offsets are plain
+            yield wide, spans if isinstance(spans, _Whole) else [(spans[first + 2 * i][0], spans[first + 2 * i + 1][1]) for i in range(len(wide))]
+
+
+def _regions(text: str, escape: re.Pattern, plain: frozenset, region: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Runs around escapes, found from the escapes outwards, so that time is linear in the text."""
+    at = 0
+    while m := escape.search(text, at):
+        start = m.start()
+        while start > at and text[start - 1] in plain:
+            start -= 1
+        at = region.match(text, m.start()).end()
+        yield start, at
 
 
 def _wrapped(text: str) -> Iterator[list[tuple[int, int]]]:
@@ -142,17 +168,27 @@ def _of_base64(body: str, at, place) -> Iterator[tuple[str, list[tuple[int, int]
     if (first := next(parts, None)) is not None:
         whole = _Whole((place(at[0])[0], place(at[-1])[1]))
         for piece in _pieces(chain([first], parts)):
-            yield _layer_of_bytes(piece, whole)
+            yield from _layers_of_bytes(piece, whole)
     else:
-        yield _layer_of_bytes(raw, [(place(at[i * 4 // 3])[0], place(at[min(len(body) - 1, (i * 4 + 7) // 3)])[1]) for i in range(len(raw))])
+        yield from _layers_of_bytes(raw, [(place(at[i * 4 // 3])[0], place(at[min(len(body) - 1, (i * 4 + 7) // 3)])[1]) for i in range(len(raw))])
+
+
+def _of_run(body: str, at, place) -> Iterator[tuple[str, list[tuple[int, int]] | _Whole]]:
+    """Layers of a run of base64 characters, which may begin before what is encoded, as in a path: at each quarter, and where packed data begins."""
+    starts = set(range(min(4, len(body)))) if any(map(body.__contains__, "/-_+")) else {0}
+    starts.update(m.start() for m in _PACKED_AT.finditer(body))
+    for i in sorted(starts):
+        rest = len(body) - i
+        if rest >= 8:
+            yield from _of_base64(body[i : len(body) - (rest % 4 == 1)], at[i:], place)
 
 
 def _decoded(text: str, place) -> Iterator[tuple[str, list[tuple[int, int]] | _Whole]]:
     """Layers unwrapped from the regions of a text; place(i): the original span of its character i."""
     if "%" in text:
-        for m in _PERCENT.finditer(text):
-            raw, spans, i = bytearray(), [], m.start()
-            while i < m.end():
+        for start, end in _regions(text, _PERCENT, _PERCENT_PLAIN, _PERCENT_REGION):
+            raw, spans, i = bytearray(), [], start
+            while i < end:
                 if text[i] == "%":
                     raw.append(int(text[i + 1 : i + 3], 16))
                     spans.append((place(i)[0], place(i + 2)[1]))
@@ -161,11 +197,11 @@ def _decoded(text: str, place) -> Iterator[tuple[str, list[tuple[int, int]] | _W
                     raw += text[i].encode()
                     spans.append(place(i))
                     i += 1
-            yield _layer_of_bytes(bytes(raw), spans)
+            yield from _layers_of_bytes(bytes(raw), spans)
     if "\\" in text or "&#" in text:
-        for m in _ESCAPES.finditer(text):
-            out, spans, i = [], [], m.start()
-            for e in _ESCAPE.finditer(text, m.start(), m.end()):
+        for start, end in _regions(text, _ESCAPE, _ESCAPE_PLAIN, _ESCAPE_REGION):
+            out, spans, i = [], [], start
+            for e in _ESCAPE.finditer(text, start, end):
                 for j in range(i, e.start()):
                     out.append(text[j])
                     spans.append(place(j))
@@ -175,15 +211,15 @@ def _decoded(text: str, place) -> Iterator[tuple[str, list[tuple[int, int]] | _W
                     out.append(chr(code))
                     spans.append((place(e.start())[0], place(e.end() - 1)[1]))
                 i = e.end()
-            for j in range(i, m.end()):
+            for j in range(i, end):
                 out.append(text[j])
                 spans.append(place(j))
             yield "".join(out), spans
     for m in _BASE64.finditer(text):
         body = m.group().rstrip("=")
-        if len(body) % 4 == 1 or body.isalpha() and (body.islower() or body[1:].islower()):
+        if body.isalpha() and (body.islower() or body[1:].islower()):  # a long word
             continue
-        yield from _of_base64(body, range(m.start(), m.end()), place)
+        yield from _of_run(body, range(m.start(), m.end()), place)
     if "\n" in text:
         for lines in _wrapped(text):
             at = [i for a, b in lines for i in range(a, b)]

@@ -9,6 +9,8 @@ precision.
 
 from __future__ import annotations
 
+from itertools import count as count_up
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +24,10 @@ LINKS, REVERSE, ROUNDS, TABLES = 20, 12, 4, 4
 BUCKET = 256
 #: Partners offered to a node around one common neighbour.
 OFFERS = 8
-#: Nodes that a query keeps, nodes that it expands in one join, and joins at most.
-BEAM, EXPAND, HOPS = 320, 32, 24
+#: Nodes that a query keeps, and nodes that it expands in one join.
+BEAM, EXPAND = 320, 32
 #: Start nodes of a query beside its own links.
 ENTRIES = 32
-#: A graph of at most so many nodes is searched from all of them.
-ALL_ENTRIES = 400
 NEAREST = 10
 SEED = 7
 _SALTS = 64
@@ -168,20 +168,22 @@ def build_graph(coded: DataFrame, width: int, count: int) -> DataFrame:
     return graph
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, count: int) -> DataFrame:
-    """q, node, dist: for each query (q, qx, own node `home`) the nodes of its final beam."""
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """q, node, dist: for each query (q, qx, own node `home`) the nodes of its final beam.
+
+    A walk ends when all nodes of its beam are expanded; each is once at most, so that every walk ends.
+    """
     # links both ways, so that every node can be left and reached; reverse ones are limited as in the descent
     back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "d").withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))).where(F.col("r") <= 2 * LINKS).drop("r")
     links = settle(graph.select("u", "v").union(back.select("u", "v")).distinct().groupBy("u").agg(F.collect_list("v").alias("to")), "links")
     vectors = nodes.select(F.col("node").alias("n"), "x")
     far = F.aggregate(F.zip_with("x", "qx", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    # at most ALL_ENTRIES rows
-    entries = nodes.select("node").orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(count if count <= ALL_ENTRIES else ENTRIES)
+    entries = nodes.select("node").orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(ENTRIES)
     first = queries.select("q", "home").join(F.broadcast(entries)).select("q", "node").union(queries.select("q", F.col("home").alias("node")))
     beam = None
     seen = first.distinct()
     frontier = seen
-    for hop in range(HOPS):
+    for hop in count_up():
         scored = frontier.join(vectors, frontier["node"] == vectors["n"]).join(queries.select("q", "qx"), "q").select("q", "node", far.alias("dist"), F.lit(False).alias("done"))
         pool = scored if beam is None else beam.unionByName(scored)
         ranked = pool.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("dist", "node"))).where(F.col("r") <= BEAM)
@@ -189,7 +191,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, count: int) -
         state = settle(ranked.drop("r").withColumn("turn", F.when(F.col("done"), F.lit(0)).otherwise(turn)), "beam")
         chosen = state.where((F.col("turn") > 0) & (F.col("turn") <= EXPAND)).select("q", "node")
         beam = state.select("q", "node", "dist", (F.col("done") | (F.col("turn") <= EXPAND)).alias("done"))
-        if hop == HOPS - 1 or chosen.isEmpty():
+        if chosen.isEmpty():
             break
         reached = chosen.join(links, chosen["node"] == links["u"]).select("q", F.explode("to").alias("node")).distinct()
         frontier = settle(reached.join(seen, ["q", "node"], "left_anti"), "frontier")
@@ -213,7 +215,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = NEAREST) -> DataFrame
     asked = members.where(F.col("vec_id") % every == 0).join(nodes, "node")
     # queries that share a vector share the walk
     queries = settle(asked.groupBy(F.col("node").alias("q")).agg(F.first("x").alias("qx")).withColumn("home", F.col("q")), "queries")
-    found = search(graph, nodes, queries, count)
+    found = search(graph, nodes, queries)
     # the k + 1 smallest ids of a vector are all that any query can need of it
     salted = members.withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(_SALTS)))
     part = salted.withColumn("r", F.row_number().over(Window.partitionBy("node", "s").orderBy("vec_id"))).where(F.col("r") <= k + 1)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,8 @@ _RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe",
 _CUES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs comment comments commentlist disqus cookie cookies consent footer header masthead menu nav navbar navigation newsletter notice notices alert popup modal overlay pagination pager promo promotion related recommended share sharing sidebar sidebars social sponsor sponsored subscribe subscription toolbar widget widgets signup login complementary contentinfo search replies reply discussion respond".split()
 )
+#: Of these, words that also name parts of an article: a long line without many links stays under them.
+_WEAK_CUES = frozenset("header masthead banner search alert widget widgets toolbar menu nav promo".split())
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*?)(?:>|\Z))", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 _SPACES = re.compile(r"\s+")
@@ -39,26 +42,35 @@ _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td",
 _SCOPES = frozenset("ul ol dl table select article section div nav aside header footer main form body".split())
 
 
-def _boilerplate(name: str, attributes: str, inside_article: bool) -> bool:
+#: How an element marks its lines: not at all, unless they are long, or in any case.
+NO, WEAK, YES = 0, 1, 2
+
+
+def _boilerplate(name: str, attributes: str, inside_article: bool) -> int:
     if name in _DROPPED or (name == "header" and not inside_article):
-        return True
+        return YES
     if not attributes:
-        return False
+        return NO
+    mark = NO
     for m in _ATTRIBUTE.finditer(attributes):
         what, value = m.group(1).lower(), (m.group(2) or "").strip("\"'").lower()
         if what in ("class", "id", "role"):
-            if name not in ("html", "body", "article", "main") and any(w in _CUES for w in _WORD.findall(value)):
-                return True
+            if name not in ("html", "body", "article", "main"):
+                for w in _WORD.findall(value):
+                    if w in _CUES:
+                        mark = max(mark, WEAK if inside_article and w in _WEAK_CUES else YES)
         elif what == "hidden" or (what == "aria-hidden" and value == "true") or (what == "style" and "display:none" in value.replace(" ", "")):
-            return True
-    return False
+            return YES
+    return mark
 
 
 def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
     """(text, boilerplate, inside an article, characters in links) of each block, in page order; nothing is left out."""
     out: list[tuple[str, bool, bool, int]] = []
-    stack: list[tuple[str, bool]] = []  # open elements and whether they are boilerplate
-    bad = articles = links = 0
+    stack: list[tuple[str, int]] = []  # open elements and how they mark their lines
+    held: Counter[str] = Counter()  # how many of each name are open
+    marked = [0, 0, 0]
+    articles = links = 0
     buffer: list[str] = []
     linked = 0
     at = 0
@@ -68,15 +80,17 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
         if buffer:
             text = _SPACES.sub(" ", entities.unescape("".join(buffer))).strip()
             if text:
-                out.append((text, bad > 0, articles > 0, linked))
+                short = len(text) < SURGE_CHARS or linked >= LINK_SHARE * len(text)
+                out.append((text, marked[YES] > 0 or (marked[WEAK] > 0 and short), articles > 0, linked))
             buffer.clear()
         linked = 0
 
     def close(name: str) -> None:
-        nonlocal bad, articles, links
+        nonlocal articles, links
         while stack:
-            top, dropped = stack.pop()
-            bad -= dropped
+            top, mark = stack.pop()
+            marked[mark] -= 1
+            held[top] -= 1
             articles -= top in ("article", "main")
             links -= top == "a"
             if top == name:
@@ -102,7 +116,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
         if m.group(1):
             if name in _BLOCKS:
                 flush()
-            if any(top == name for top, _ in stack):
+            if held[name]:
                 close(name)
             continue
         if name == "br":
@@ -122,7 +136,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
                     if stack[i][0] in _BLOCKS:
                         break
             like = _SIBLINGS.get(name)
-            if like:
+            if like and any(held[x] for x in like):
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in like:
                         close(stack[i][0])
@@ -137,11 +151,12 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
                 flush()
             at = end.end() if end else len(page)
             continue
-        dropped = _boilerplate(name, m.group(3), articles > 0)
-        if dropped and name not in _BLOCKS:
+        mark = _boilerplate(name, m.group(3), articles > 0)
+        if mark and name not in _BLOCKS:
             flush()
-        stack.append((name, dropped))
-        bad += dropped
+        stack.append((name, mark))
+        marked[mark] += 1
+        held[name] += 1
         articles += name in ("article", "main")
         links += name == "a"
     flush()

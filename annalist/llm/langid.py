@@ -18,6 +18,8 @@ from annalist.llm.common import crc_remainder, fold_arrow, map_arrow, table
 
 #: N-grams of a profile, of a language and of a document.
 PROFILE = 400
+#: Different n-grams that a counting task holds.
+COUNTED = 2_000_000
 UNDETERMINED = "und"
 _BITS = 21  # of a code point: three fit in 63 bits
 _LETTER: np.ndarray | None = None
@@ -66,12 +68,18 @@ def ranked(codes: np.ndarray, counts: np.ndarray, most: int = PROFILE) -> np.nda
 def learn_profiles(docs: DataFrame, most: int = PROFILE) -> dict[str, list[int]]:
     """N-gram codes in rank order for each language of docs (lang, text); null langs and texts teach nothing.
 
-    Each partition adds up its counts before the shuffle, so a hot language costs no more than any other. What reaches
-    the driver is `most` codes for each language.
+    Each partition adds up its counts before the shuffle, so a hot language costs no more than any other, and sends them
+    on when it holds COUNTED of them. What reaches the driver is `most` codes for each language.
     """
 
     def count(parts: Iterator[dict]) -> Iterator[dict]:
         totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def rows() -> Iterator[dict]:
+            for lang, (codes, counts) in totals.items():
+                yield {"lang": [lang] * len(codes), "gram": codes.tolist(), "n": counts.tolist()}
+            totals.clear()
+
         for part in parts:
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(part["lang"], part["text"], strict=True):
@@ -84,8 +92,9 @@ def learn_profiles(docs: DataFrame, most: int = PROFILE) -> dict[str, list[int]]
                     totals[lang] = merged, np.bincount(at, np.concatenate((had, counts))).astype(np.int64)
                 else:
                     totals[lang] = codes, counts
-        for lang, (codes, counts) in totals.items():
-            yield {"lang": [lang] * len(codes), "gram": codes.tolist(), "n": counts.tolist()}
+            if sum(len(codes) for codes, _ in totals.values()) > COUNTED:
+                yield from rows()
+        yield from rows()
 
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = fold_arrow(rows, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

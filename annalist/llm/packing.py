@@ -23,8 +23,10 @@ END_ID = 0
 VOCABULARY = "byte_bpe_50k"
 #: Most words whose ids a worker remembers; beyond that the memory is emptied and filled anew.
 CACHE_WORDS = 300_000
-#: Length classes are ranked in so many parts, each of its own task.
-RANK_PARTS = 256
+#: Pieces of one length are ranked in parts of about so many, so that no length fills a task.
+RANKED = 50_000
+#: Most parts whose first ranks are broadcast; beyond that they are joined by a shuffle.
+BROADCAST_PARTS = 200_000
 
 _ENCODERS: dict[str, object] = {}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -123,8 +125,9 @@ def solve_plan(histogram: dict[int, int], seq_len: int = SEQ_LEN, most_rounds: i
 
     Column generation: the restricted master is a covering linear program, solved by revised simplex from the
     one-length patterns on. The knapsack program gives, for each length, the pattern of largest dual value that holds
-    it; all that still price above 1 enter in turn. It stops when none does, or after most_rounds (the plan then is
-    feasible all the same: what its full patterns leave is packed best fit). Its size depends on seq_len alone.
+    it; those that still price above 1 enter in turn. It stops when none does, which solves the program, when its value is
+    within GAP of all items' length, or after most_rounds, as the last parts of a per cent take many rounds; the plan is
+    complete all the same: what its full patterns leave is packed best fit. Its size depends on seq_len alone.
     """
     lengths = sorted(r for r, n in histogram.items() if n > 0 and 0 < r < seq_len)
     if not lengths:
@@ -140,9 +143,13 @@ def solve_plan(histogram: dict[int, int], seq_len: int = SEQ_LEN, most_rounds: i
     inverse = np.linalg.inv(basis)
     level = np.maximum(inverse @ need, 0)
     pivots = 0
+    bound = need @ np.array(lengths) / seq_len
     for _ in range(most_rounds):
         entered = 0
-        for column in _knapsack(lengths, inverse.sum(axis=0), seq_len):
+        columns = _knapsack(lengths, inverse.sum(axis=0), seq_len)
+        if not columns or level.sum() <= bound * (1 + GAP):
+            break
+        for column in columns:
             if inverse.sum(axis=0) @ column <= 1 + 1e-6:
                 continue
             direction = inverse @ column
@@ -183,6 +190,8 @@ def solve_plan(histogram: dict[int, int], seq_len: int = SEQ_LEN, most_rounds: i
 FULL = 256
 #: Patterns that enter the master between two knapsack programs.
 ENTER = 40
+#: Padding, as a part of all items' length, that the linear program need not go below.
+GAP = 5e-3
 
 
 def _knapsack(lengths: list[int], prices: np.ndarray, seq_len: int) -> list[np.ndarray]:
@@ -258,20 +267,23 @@ def pack(docs: DataFrame, seq_len: int = SEQ_LEN, tokenizer_path: str | None = N
     Full pieces are sequences by themselves. The driver sees the length histogram (under seq_len rows) and the plan.
     """
     spark = docs.sparkSession
-    pieces = settle(cut_pieces(docs, seq_len, tokenizer_path).withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(RANK_PARTS))), "pieces")
-    counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    pieces = settle(cut_pieces(docs, seq_len, tokenizer_path), "pieces")
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    parts = spark.createDataFrame([(r, -(-n // RANKED)) for r, n in histogram.items()], "length long, parts long")  # at most seq_len rows
+    dealt = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("parts"))).drop("parts")
+    few = sum(-(-n // RANKED) for n in histogram.values()) <= BROADCAST_PARTS
+    counts = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("length", "part", F.coalesce("before", F.lit(0)).alias("before"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     full = histogram.pop(seq_len, 0)
     rows = [(seq_len, 0, full, 1, 0, 0)] if full else []
     rows += [(r, a, b, items, first + full, offset) for r, a, b, items, first, offset in slots_of(solve_plan(histogram, seq_len))]
     slots = spark.createDataFrame(rows, "length long, first_rank long, end_rank long, items long, first_sequence long, first_offset long")
     order = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")
-    # before: at most seq_len * RANK_PARTS rows; slots: a few for each length. Both are bounded whatever the corpus.
+    # slots: a few rows for each length, whatever the corpus
     ranked = (
-        pieces.withColumn("nth", F.row_number().over(order) - 1)
-        .join(F.broadcast(before), ["length", "part"])
+        dealt.withColumn("nth", F.row_number().over(order) - 1)
+        .join(F.broadcast(before) if few else before, ["length", "part"])
         .withColumn("rank", F.col("nth") + F.col("before"))
     )
     within = F.col("rank") - F.col("first_rank")

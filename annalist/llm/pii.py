@@ -18,6 +18,8 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("account", "url")
 #: Identifier cues, followed at once or after a few marks by the identifier.
 CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "ssn", "passport")
+#: Digits that an identifier of digits alone may have, by its cue.
+DIGITS = {"iban": (1, 0), "account": (8, 20), "acct": (8, 20), "konto": (8, 20), "compte": (8, 20), "cuenta": (8, 20), "ssn": (9, 9), "passport": (6, 9)}
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "sftp://", "postgres://", "mysql://", "mongodb://", "redis://")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -96,6 +98,8 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 number = m.group(1)
                 if not number[0].isdecimal():  # the longest start of it that validates
                     number = next((number[:n] for n in range(len(number), 14, -1) if number[n - 1] != " " and iban_valid(number[:n])), "")
+                elif not DIGITS[form.lower()][0] <= sum(c.isdecimal() for c in number) <= DIGITS[form.lower()][1]:
+                    number = ""
                 if number:
                     found["account"].append((m.start(1), m.start(1) + len(number)))
         elif m := _USERINFO.match(text, last + 1):
@@ -145,4 +149,5 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *map(count, BASE_KINDS),
         F.sha2(joined(BASE_KINDS), 256).alias("base_sha256"),
         joined(BASE_KINDS + MORE_KINDS).alias("spans"),
+        F.size("found").cast("long").alias("n_found"),
     )

@@ -124,9 +124,65 @@ def test_secrets_in_awkward_regions(monkeypatch):
         assert {s[1:] for s in assigned(text)} == {(0, len(text))}
 
 
+def test_secrets_in_long_runs_take_linear_time():
+    import time
+
+    run = "z" * 300_000
+    for text in (f"{run}%41{run}", f"{run}\\u0041{run}", f"{run}&#65;", "%" + run, "Ab1/" * 80_000, "Ab1-" * 80_000 + "%"):
+        start = time.time()
+        secrets.all_spans(text)
+        assert time.time() - start < 20  # quadratic time would take hours
+    assert [s[0] for s in secrets.all_spans(f"{run}%20password%3Dhunter22")] == ["assign"]
+
+
+def test_secrets_behind_paths_and_in_wide_characters():
+    plain = 'api_key = "Zx81kQpLm29sTT"'
+    for before in ("/a/", "x/", "-", "/ab/c/"):
+        for layer in (plain.encode(), gzip.compress(plain.encode()), plain.encode("utf-16-le"), plain.encode("utf-16-be")):
+            text = f"see {before}{b64encode(layer).decode()} end"
+            hits = [s for s in secrets.all_spans(text) if s[0] == "assign"]
+            assert hits and all(4 <= a < b <= len(text) - 4 for _, a, b in hits), (before, layer)
+
+
+def test_secret_query_on_a_table(spark, texts):
+    rows = {r["doc_id"]: r for r in QUERIES["op8_secrets"](spark, SF).collect()}
+    assert len(rows) == len(texts)
+    for i, text in texts.items():
+        base = sorted(secrets.base_spans(text or ""), key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+        assert rows[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert [rows[i][f"n_{k}"] for k in secrets.KINDS] == [sum(x[0] == k for x in base) for k in secrets.KINDS]
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(rows[i]["spans"].split(","))
+
+
 def test_quality_counts():
-    assert quality.text_metrics("a b c a b c\nx\nx\n\n") == (8, 8, 0, 1, 6, 3, 0, 0, 0)
-    assert quality.text_metrics("")[:6] == (0, 0, 0, 0, 0, 0)
+    assert quality.text_metrics("a b c a b c\nx\nx\n\n") == (8, 8, 0, 1, 6, 3, 8)
+    assert quality.text_metrics("") == (0, 0, 0, 0, 0, 0, 0)
+    assert quality.letters_in("Größe 12 – é1x") == 7
+
+
+def test_fences_follow_their_group(spark):
+    rng = np.random.default_rng(2)
+    text = lambda size, mark="": " ".join("abcdefghijklmnopqrstuvwxyz"[: max(2, int(rng.normal(size, 0.8)))] + mark + str(i) for i in range(80))
+
+    def kept(size, mark):
+        rows = [(i, text(5), "en", "plain") for i in range(120)] + [(1000 + i, text(size, mark), "en", "other") for i in range(120)]
+        rows += [(k, text(s, m), "en", "other") for k, s, m in ((-1, 5, ""), (-2, 11, ""), (-3, 5, "#$%"))]
+        out = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas().set_index("doc_id")
+        assert out.kept[out.index >= 0].all()
+        bounds = out.loc[[0, 1000]]
+        assert bounds.word_length_upper.iloc[0] != bounds.word_length_upper.iloc[1]
+        return [bool(out.kept[k]) for k in (-1, -2, -3)]
+
+    # one text each of five letters, of eleven, and with symbols, beside three kinds of sources
+    assert kept(5, "") == [True, False, False] and kept(11, "") == [False, True, False] and kept(5, "#$%")[2] is True
+
+
+def test_fences_decide_on_the_given_documents(spark):
+    out = quality.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
+    passed = out[~out.base_failed]
+    inside = (passed.word_length >= passed.word_length_lower) & (passed.word_length <= passed.word_length_upper) & (passed.letter_rate >= passed.letter_rate_lower)
+    assert (~passed.kept).sum() > 20 and not (passed.kept & (passed.word_length > passed.word_length_upper)).any()
+    assert (~passed.kept & inside).sum() == 0  # no guard alone rejects
 
 
 def test_language(spark):
@@ -135,6 +191,38 @@ def test_language(spark):
     assert (held.lang == held.lang_pred).mean() > 0.95 and out.score.between(0, 1).all()
 
 
+def test_language_by_plain_distances(spark, texts):
+    def plain(text):
+        words = re.sub(r"[^a-zà-öø-ÿœß]+", " ", text.lower()).split()
+        out = Counter()
+        for w in words:
+            padded = f" {w} "
+            out.update(w)
+            out.update(padded[i : i + 2] for i in range(len(padded) - 1))
+            out.update(padded[i : i + 3] for i in range(len(padded) - 2))
+        return out
+
+    def ranks(counts):
+        code = lambda g: sum((0 if c == " " else ord(c)) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g)) + ((1 << 62) if len(g) == 2 else 0)
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[: langid.PROFILE]]
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    totals = defaultdict(Counter)
+    for r in docs.collect():
+        if r["lang"] and r["text"] and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            totals[r["lang"]] += plain(r["text"])
+    profiles = {k: {g: i for i, g in enumerate(ranks(v))} for k, v in totals.items()}
+    got = {r["doc_id"]: r for r in QUERIES["op3_language"](spark, SF).collect()}
+    for i, text in list(texts.items())[:60]:
+        own = ranks(plain(text or ""))
+        if own:
+            far = {k: sum(abs(p[g] - j) if g in p else langid.PROFILE for j, g in enumerate(own)) for k, p in profiles.items()}
+            best = min(sorted(far), key=far.get)
+            assert got[i]["lang_pred"] == best and got[i]["score"] == pytest.approx(1 - far[best] / (langid.PROFILE * len(own))), i
+        else:
+            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0
+
+
 def test_language_without_letters(spark, awkward):
     out = langid.predict(awkward, {"en": [1]}).collect()
     assert len(out) == len(AWKWARD) and {r["doc_id"]: r["lang_pred"] for r in out}[1] == "und"
@@ -167,6 +255,31 @@ def test_html_by_line_blocks():
     assert html.main_text(f"<article><p>{body[0]}</p>{aside}<p>Last</article>") == body[0] + "\nLast"
 
 
+def test_html_of_awkward_pages(spark):
+    import time
+
+    start = time.time()
+    html.main_text("<div>" * 20_000 + "<p>text</p>" * 2000 + "</span>" * 20_000)
+    assert time.time() - start < 10
+    kept = "A paragraph in a division that is called after a header but holds a good part of the article's text."
+    assert html.main_text(f"<article><div class='header-text'><p>{kept}</div><div class='nav'>Next</div><p>{kept}</article>") == f"{kept}\n{kept}"
+    rows = [(1, "u", None, "a"), (2, None, "", "b"), (None, "u", "<p>" + "word " * 30, "c"), (3, "u", f"<article><p>{'long ' * 40_000}</article>", "d"), (3, "u", f"<article><p>{'long ' * 40_000}</article>", "d")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = html.extract(pages).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 149), (1, 0), (2, 0), (3, 199_999), (3, 199_999)]
+    assert all(r["n_chars"] == len(r["text"]) for r in got) and html.extract(pages.limit(0)).count() == 0
+
+
+def test_html_without_marks_of_an_article(spark):
+    """The window sums find the same text where pages lose <article> and <main>, on nearly all pages."""
+    same = total = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect():
+        plain = re.sub(r"</?(article|main)[^>]*>", "", r["html"])
+        total += 1
+        same += html.main_text(plain) == html.main_text(r["html"])
+    assert same >= 0.9 * total, (same, total)
+
+
 def test_packing(spark, awkward):
     from tokenizers import Tokenizer
 
@@ -190,8 +303,41 @@ def test_packing(spark, awkward):
                 assert offset == at
                 at += length
             assert at <= 1024
-    total = sum(r["length"] for r in packing.pack(spark.read.parquet(f"{SF}/documents.parquet")).collect())
-    assert total > 0
+    rows = packing.pack(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    assert sum(r["length"] for r in rows) > 0.97 * 1024 * len({r["sequence_id"] for r in rows})
+
+
+def test_packing_ranks_a_hot_length_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 7)
+    docs = spark.createDataFrame([(i, "a b c" if i % 3 else "word " * (i % 40)) for i in range(300)], "doc_id long, text string")
+    for few in (packing.BROADCAST_PARTS, 0):
+        monkeypatch.setattr(packing, "BROADCAST_PARTS", few)
+        by_sequence = defaultdict(list)
+        for r in packing.pack(docs, 64).collect():
+            by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+        used = 0
+        for parts in by_sequence.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= 64
+            used += at
+        assert sorted(by_sequence) == list(range(len(by_sequence))) and used > 0.95 * 64 * len(by_sequence)
+
+
+def test_plan_is_near_the_linear_bound():
+    rng = np.random.default_rng(6)
+    for size in (20, 400, 1000):
+        histogram = {int(r): int(n) for r, n in zip(rng.choice(np.arange(1, 1024), size, replace=False), rng.integers(1, 300, size), strict=True)}
+        plan = packing.solve_plan(histogram)
+        got = Counter()
+        for pattern, n in plan:
+            assert sum(r * a for r, a in pattern) <= 1024 and n > 0
+            got.update({r: a * n for r, a in pattern})
+        assert got == histogram
+        least = max(sum(r * n for r, n in histogram.items()) / 1024, sum(n for r, n in histogram.items() if r > 512))
+        assert sum(n for _, n in plan) <= 1.03 * least + 3
 
 
 def test_jaccard_chain(spark):
@@ -204,6 +350,82 @@ def test_jaccard_chain(spark):
     assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in jaccard.keep_one(df, 3, 90).collect()) == [-1, 0, 50, 52, 53]
 
 
+def families(seed, n):
+    """Random texts, many of them near copies of others, over few words and with common passages."""
+    rng = np.random.default_rng(seed)
+    passage = [f"p{i}" for i in range(14)]
+    texts = []
+    for _ in range(n):
+        if texts and rng.random() < 0.6:
+            words = texts[rng.integers(len(texts))].split()
+            for _ in range(rng.integers(0, 4)):
+                words[rng.integers(len(words))] = f"x{rng.integers(400)}"
+            if rng.random() < 0.2:
+                words = words[: -rng.integers(1, 6)] if len(words) > 12 else words
+        else:
+            words = [f"w{i}" for i in rng.integers(0, 60, rng.integers(6, 60))]
+        if rng.random() < 0.3:
+            words = words + passage
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize(("words", "percent", "block"), [(3, 90, 512), (3, 80, 2), (5, 80, 3), (2, 60, 2)])
+def test_jaccard_against_all_pairs(spark, monkeypatch, words, percent, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "_PAIRS", 50)
+    monkeypatch.setattr(jaccard, "HOT", 5 if block == 3 else jaccard.HOT)
+    texts = families(words + percent, 160)
+    sets = [set(zip(*(t.split()[j:] for j in range(words)))) or {tuple(t.split())} for t in texts]  # noqa: B905
+    comp = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
+                comp = [new if c == old else c for c in comp]
+    got = {r["doc_id"]: r for r in jaccard.join_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), words, percent).collect()}
+    assert [got[i]["component_id"] for i in range(len(texts))] == comp and len(set(comp)) < 150
+    assert [got[i]["n_shingles"] for i in range(len(texts))] == list(map(len, sets))
+
+
+def test_bounds_are_bounds():
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (5, 40, 500, 520, 1500, 1600, 4000, 4200, 9000, 80_000):
+        base = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        for changed in (0, n // 20, n // 4):
+            sets.append(np.unique(np.concatenate([base[changed:], rng.integers(0, 1 << 64, changed, dtype=np.uint64)])))
+    sets.append(np.arange(5000, dtype=np.uint64))  # all in one range
+    sets.append(np.arange(100, 5000, dtype=np.uint64))
+    bounds = jaccard.Bounds([jaccard.ranges_of(s) for s in sets], np.array(list(map(len, sets))))
+    a, b = map(np.array, zip(*((i, j) for j in range(len(sets)) for i in range(j)), strict=True))
+    overlap = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+    most = bounds.most(a, b, 80)
+    sizes = bounds.n[a] + bounds.n[b]
+    assert (most >= overlap).all() and (100 * most < 80 * (sizes - most)).sum() > 0.9 * (100 * overlap < 80 * (sizes - overlap)).sum()
+
+
+@pytest.mark.parametrize("round_", [0, None])
+def test_blocks_leave_no_pair_out(spark, monkeypatch, round_):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rng = np.random.default_rng(5)
+    n = rng.integers(20, 60, 60)
+    classes = spark.createDataFrame([(i, bytearray(bytes([int(n[i]) // 4, 200] + [0] * 62))) for i in range(60)], "node long, ranges binary")
+    open_ = spark.createDataFrame([(7, i, int(n[i]), 60, i % 50) for i in range(60)], "h long, node long, n long, c long, comp long")
+    got = {(r["a"], r["b"]) for r in jaccard.blocked_product(open_, classes, 80, round_).collect()}
+    every = {(i, j) for j in range(60) for i in range(j) if i % 50 != j % 50 and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j])}
+    assert got == every if round_ is None else got < every and len({i for p in got for i in p}) > 20
+
+
+def test_keep_one_of_repeated_ids_and_clashing_names(spark):
+    rows = [(1, "b c d e f g", "x"), (1, "a text of its own here", "y"), (2, "b c d e f g", "z"), (None, None, "w"), (3, None, "v"), (3, None, "v")]
+    docs = spark.createDataFrame([(*r, 5, 6) for r in rows], "doc_id long, text string, first_id string, rows int, least int")
+    kept = jaccard.keep_one(docs, 5, 80)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, ""), (1, "a text of its own here"), (1, "b c d e f g"), (3, "")]
+
+
 def test_neighbours(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
     x = np.stack(e.embedding.values).astype(float)
@@ -259,25 +481,131 @@ def test_units_give_the_text_back():
 
 
 def test_unit_probabilities_add_up():
-    mixers = scoring.Mixers(np.zeros((scoring.CONTEXTS, scoring.SLOTS), dtype=np.int16), scoring.initial_weights())
+    mixers = scoring.Mixers(np.zeros((scoring.CONTEXTS, 1 << 16), dtype=np.int16), scoring.initial_weights())
     logs = mixers.code([bytes([b]) for b in range(256)])
     assert np.exp(logs[0]).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one, other = ({r["doc_id"]: r["score"] for r in scoring.score_documents(d).collect()} for d in (docs.coalesce(1), docs.repartition(7, "text")))
+    assert one.keys() == other.keys() and all(one[i] == pytest.approx(other[i], abs=1e-6) for i in one)
+
+
+def test_score_is_what_a_plain_coder_gives(spark):
+    """Bits one by one, from the tables as they are."""
+    docs, groups = scoring._rows(spark.read.parquet(f"{SF}/documents.parquet"))
+    counted = scoring.count_units(docs)
+    shared = spark.sparkContext.broadcast
+    entries = scoring.learn_entries(counted)
+    weights = scoring.learn_mixers(counted, shared(entries), groups)
+    followers = scoring.learn_followers(docs, counted.agg({"n": "sum"}).first()[0])
+    odds = scoring.word_odds(scoring.count_word_cells(docs, shared(followers)))
+    mask, slots = (1 << 64) - 1, entries.shape[1]
+    mix = lambda h: (lambda x: x ^ (x >> 29))(((h ^ (h >> 32)) * 0x9E3779B97F4A7C15) & mask)
+    log_p = lambda z, bit: -np.log1p(np.exp(-z if bit else z))
+
+    def byte_log(unit, m):
+        total = 0.0
+        for i, byte in enumerate(unit):
+            for bit in range(8):
+                known, actual = (byte | 256) >> (8 - bit), (byte >> (7 - bit)) & 1
+                found = []
+                for c, order in enumerate(scoring.ORDERS):
+                    if order:
+                        h = sum((unit[i - k] + 1) << (9 * (k - 1)) for k in range(1, min(order, i) + 1)) & mask
+                    else:
+                        h = sum((unit[k] + 1) * pow(0xD6E8FEB86659FD93, k, 1 << 64) for k in range(i)) & mask
+                    h = ((h + c + 1) * 0x9E3779B97F4A7C15) & mask
+                    h = (((h ^ (h >> 29)) * 0x9E3779B97F4A7C15) & mask) >> 31
+                    found.append(int(entries[c, (h + known * scoring._KNOWN + m * scoring._GROUP) & (slots - 1)]))
+                so_far = found[0] & 7
+                z = sum(float(weights[m, c, e & 7, so_far]) * (e >> 3) / scoring._SCALE for c, e in enumerate(found))
+                total += log_p(min(max(z, -14.0), 14.0), actual)
+        return total
+
+    def plain(text):
+        doc = scoring.units(text)
+        hashes = [scoring.hash_of(u) & mask for u in doc]
+        total, each, row = 0.0, np.zeros(groups), 0
+        for i, unit in enumerate(doc):
+            told = []
+            for (back, held, _), (checks, values) in zip(scoring.FOLLOWED, followers, strict=True):
+                h = back
+                for k in range(1, back + 1):
+                    h = mix(h ^ (hashes[i - k] if i >= k else 1))
+                slot, check = h & (checks.shape[1] - 1), ((h >> 47) | 1) & 0xFFFF
+                told.append([int(values[j, slot]) if checks[j, slot] == check else None for j in range(held)])
+            order = list(dict.fromkeys(v for row_ in told for v in row_ if v is not None))
+            gate = int(np.searchsorted(scoring._STREAKS, row, side="left"))
+            hit = False
+            for turn, cand in enumerate(order[: scoring.CANDIDATES]):
+                state = 0
+                for (_, held, _), of in zip(scoring.FOLLOWED, told, strict=True):
+                    agree = of.count(cand)
+                    state = state * (2 + held) + (1 + agree if agree else int(any(v is not None for v in of)))
+                hit = cand == hashes[i] & 0xFFFFFFFF
+                total += log_p(odds[turn * (len(scoring._STREAKS) + 1) + gate, state], hit)
+                if hit:
+                    break
+            row = row + 1 if order and order[0] == hashes[i] & 0xFFFFFFFF else 0
+            if not hit:
+                each += [byte_log(scoring.coded(unit), m) for m in range(groups)]
+        return (total + np.logaddexp.reduce(each) - np.log(groups)) / np.log(10)
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in scoring.score_documents(spark.read.parquet(f"{SF}/documents.parquet")).where("doc_id % 40 = 2").collect():
+        text = texts[r["doc_id"]] or ""
+        if len(text) < 3000:
+            assert r["score"] == pytest.approx(plain(text), rel=2e-3), r["doc_id"]
+            assert r["bits_per_byte"] == pytest.approx(-r["score"] / np.log10(2) / (len(text.encode()) + 1))
+
+
 def test_mixing(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     out = mixing.mix(docs, labels).toPandas()
     assert len(out) == docs.count() and (out.rate >= 0).all()
     assert np.allclose(out.p_good + out.p_low + out.p_toxic, 1)
+    assert ((out.copies == np.floor(out.rate)) | (out.copies == np.ceil(out.rate))).all()
     assert mixing.mix(docs.limit(0), labels).count() == 0
 
 
+def test_mix_meets_its_targets(spark):
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet((6, 2, 0.3), 400).round(3)
+    p[:, 0] += 1 - p.sum(axis=1)
+    n = rng.integers(50, 800, 400)
+    cells = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(n, p, strict=True)], "n_tokens long, p0 double, p1 double, p2 double")
+    history, attained = mixing.fit_rates(cells)
+    for d in ("good", "low"):
+        assert attained[d][2] == pytest.approx(attained[d][1], rel=0.05)
+    # a dense solve of the same bounded least squares, without snapping
+    start = n @ p
+    goal = start * [mixing.TARGET_SHARES[d] for d in mixing.DOMAINS]
+    scale = np.maximum(start, mixing.LEAST_SCALE * start.sum())
+    a, b = (p * n[:, None] / scale).T, goal / scale
+    r = np.ones(400)
+    for _ in range(20_000):
+        r = np.clip(r - a.T @ (a @ r - b) / np.linalg.norm(a, 2) ** 2, 0, mixing.MAX_RATE)
+    best = ((a @ r - b) ** 2).sum()
+    got = sum(((attained[d][2] - goal[i]) / scale[i]) ** 2 for i, d in enumerate(mixing.DOMAINS))
+    assert got <= best + 1e-3
+    rates = np.array([x[0] for x in cells.select(mixing._rate(history)).collect()])
+    assert (n * rates) @ p == pytest.approx([attained[d][2] for d in mixing.DOMAINS]) and rates.min() >= 0 and rates.max() <= mixing.MAX_RATE
+
+
+def test_copies_have_the_rates_as_means(spark):
+    docs = spark.createDataFrame([(i, "alike words here") for i in range(4000)], "doc_id long, text string")
+    out = mixing.mix(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).toPandas()
+    assert out.rate.nunique() == 1 and out.copies.mean() == pytest.approx(out.rate.iloc[0], abs=0.03)
+
+
 def test_mixing_learns_the_words_of_a_small_language(spark):
     few = [(i, f"el malnacido{' y' * (i % 3)} texto", 2) for i in range(6)]
     rows = few + [(i, f"the rotten{' and' * (i % 3)} text", 2) for i in range(100, 124)] + [(i, f"{'el' if i % 9 else 'the'} texto text word{i % 7}", 0) for i in range(200, 470)]
     base, weights = mixing.learn(spark.createDataFrame(rows, "doc_id long, text string, domain int"))
     for _, text, domain in few:
-        assert (base + weights[:, mixing.features_of(text, {})[0]].sum(axis=1)).argmax() == domain
+        assert (base + weights[:, mixing.features_of(text, mixing._Words())[0]].sum(axis=1)).argmax() == domain
     held = np.array([[0, 3000.0], [0, 500.0], [6, 500.0]])
     docs = np.array([3000, 500, 500])
     assert mixing.surprise(held, docs)[0] > 12 and mixing.surprise(held, docs)[1] == pytest.approx(0) and mixing.surprise(held[:, :1] * 0.5, docs)[0] == 0

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from annalist.functions import ranking, rules, text
+from annalist.functions import ranking, rules, text, trading
+from annalist.functions.policy import policy_of
 from annalist.functions.text import rounded
 from annalist.operators import archive as ops
 from annalist.operators import episodes as folds
@@ -646,3 +647,47 @@ def shadow_report(spark, d):
 def family_totals(spark, d):
     passed = F.col("action").isin("promote", "pin", "reinforce")
     return decisions(spark, d).groupBy(F.col("thing").alias("family")).agg(F.count_if(passed).alias("passed"), F.count_if(~passed).alias("failed"))
+
+
+# Trading memories: three events each, of trading kinds by number.
+_TRADES = """tr AS (SELECT event_id // 3 AS g, CASE event_id % 17 WHEN 0 THEN 'trading_outcome' WHEN 1 THEN 'trading_scorecard' WHEN 2 THEN 'trading_execution_result' WHEN 3 THEN 'trading_market_state' WHEN 4 THEN 'trading_risk_envelope' ELSE 'message' END AS tkind,
+ event_id % 5 AS failed, event_id % 2 AS vetoes, event_id % 3 = 0 AS shift FROM events), tg AS (SELECT g, bool_or(tkind <> 'message') AS routed, bool_or(tkind NOT IN ('message', 'trading_scorecard')) AS fact, bool_or(tkind = 'trading_outcome') AS outcome,
+ bool_or(tkind = 'trading_execution_result' AND failed > 0) AS failure, bool_or(tkind = 'trading_risk_envelope' AND vetoes > 0) AS veto, bool_or(tkind = 'trading_market_state' AND shift) AS shifted FROM tr GROUP BY g)"""
+CLAIM_TEXTS = ("buy long btc", "order book", "btc report", "risk and profit", "calm sea")
+TRADE_TITLES = ("trade-outcome-review", "Risk-Envelope", "crypto-regime-cycle", "execution-cycle", "marble harbor", "learner-state-update")
+
+
+def trades(spark, d) -> DataFrame:
+    n = F.col("event_id")
+    kind = F.when(n % 17 == 0, "trading_outcome").when(n % 17 == 1, "trading_scorecard").when(n % 17 == 2, "trading_execution_result").when(n % 17 == 3, "trading_market_state").when(n % 17 == 4, "trading_risk_envelope").otherwise("message")
+    none, no = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    event = F.struct(
+        kind.alias("kind"), none.alias("route_domain"), none.alias("route_action"), none.alias("source_app"), none.alias("text"), no.alias("fact_eligible"), F.lit(0).alias("submitted"),
+        (n % 5).alias("failed"), (n % 2).alias("vetoes"), no.alias("approved"), (n % 3 == 0).alias("regime_shift"),
+    )
+    return table(spark, d, "events").groupBy(F.expr("event_id div 3").alias("g")).agg(F.collect_list(event).alias("events"))  # three each
+
+
+@query(f"WITH {_TRADES} SELECT g, routed OR g % 5 IN (0, 3) AS trading, fact, (routed OR g % 5 IN (0, 3)) AND NOT fact AS held FROM tg")
+def trading_claims(spark, d):
+    claim = F.get(F.array(*map(F.lit, CLAIM_TEXTS)), (F.col("g") % 5).cast("int"))
+    t = trades(spark, d).select("g", trading.about_trading(claim, F.col("events")).alias("trading"), trading.has_fact(F.col("events")).alias("fact"))
+    return t.withColumn("held", F.col("trading") & ~F.col("fact"))
+
+
+@query(f"WITH {_TRADES} SELECT g, CASE g % 6 WHEN 0 THEN NOT outcome WHEN 1 THEN NOT veto WHEN 2 THEN NOT shifted WHEN 3 THEN NOT (failure OR outcome) WHEN 4 THEN false ELSE true END AS held FROM tg")
+def trading_episodes(spark, d):
+    title = F.get(F.array(*map(F.lit, TRADE_TITLES)), (F.col("g") % 6).cast("int"))
+    return trades(spark, d).select("g", trading.held_back(title, F.col("events")).alias("held"))
+
+
+@query(f"""WITH {_W}, {_D}, x AS (SELECT decision_id, action, score, action = 'pin' AS locked, ['claim', 'episode', 'relation'][decision_id // 5 % 3 + 1] AS type FROM d),
+ y AS (SELECT *, CASE WHEN action = 'promote' THEN score >= 0.58 WHEN action = 'retire' THEN score <= 0.28 ELSE score BETWEEN 0.35 AND 0.82 END AS near FROM x)
+ SELECT decision_id, array_to_string(list_filter([CASE WHEN locked THEN 'hard_locked' END, CASE WHEN type = 'relation' THEN 'artifact_type_ineligible' END, CASE WHEN action NOT IN ('promote', 'leave_candidate', 'retire') THEN 'action_ineligible' END,
+ CASE WHEN NOT near THEN 'score_outside_ambiguity_band' END], lambda r: r IS NOT NULL), ',') AS reasons FROM y""")
+def adjudication_reasons(spark, d):
+    # under a policy whose promotion threshold is 0.68
+    personal = policy_of('{"name": "personal", "promotion_threshold": 0.68, "adjudication": {"enabled": true, "mode": "shadow"}}')
+    kind = F.get(F.array(F.lit("claim"), F.lit("episode"), F.lit("relation")), F.expr("cast(decision_id div 5 % 3 as int)"))
+    reasons = personal.reasons(kind, F.col("action"), F.col("action") == "pin", F.col("score"))
+    return decisions(spark, d).select("decision_id", F.array_join(reasons, ",").alias("reasons"))

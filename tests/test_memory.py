@@ -133,3 +133,24 @@ def test_archive_files(spark, tmp_path):
     write_events(events, str(tmp_path / "archive"))
     found = spark.read.parquet(str(tmp_path / "archive")).where("scope_key = 't::n::w::p'")
     assert found.count() == 1 and "PartitionFilters: [isnotnull(scope_key" in found._jdf.queryExecution().toString()
+
+
+def test_policies_and_second_opinions(spark):
+    import pandas as pd
+
+    from annalist.functions.policy import Policy, policy_of, second_opinion
+
+    assert policy_of("{}") == Policy() and policy_of('{"adjudication": {"enabled": false}}').mode == "off"
+    p = policy_of('{"name": "p", "factor_weights": {"identity_relevance": 0.5, "consequence": 0.5}, "kind_biases": {"note": 0.3}, "adjudication": {"mode": "assist"}}')
+    df = spark.createDataFrame([("note", 1.0, 0.2), ("message", 0.4, 0.2), (None, 2.0, 2.0)], "kind string, a double, b double")
+    scores = [r[0] for r in df.select(p.score({"identity": F.col("a"), "consequence": F.col("b"), "other": F.col("a")}, F.col("kind"))).collect()]
+    assert [round(s, 6) for s in scores] == [0.9, 0.3, 1.0]
+    rows = [("1", "claim", "promote", False, 0.65), ("2", "claim", "promote", True, 0.65), ("3", "relation", "retire", False, 0.1), ("4", "episode", "leave_candidate", False, 0.5), ("5", "claim", "retire", False, 0.25)]
+    decisions = spark.createDataFrame(rows, "artifact_id string, artifact_type string, action string, locked boolean, score double")
+
+    def adjudicator(batch):
+        return pd.DataFrame({"action": ["retire" if a == "promote" else "pin" for a in batch["action"]], "confidence": 0.9, "rationale": "because"})
+
+    told = {r["artifact_id"]: (r["eligible"], r["suggested"], r["final"], r["applied"]) for r in second_opinion(decisions, p, adjudicator).collect()}
+    assert told == {"1": (True, "retire", "retire", True), "2": (False, None, "promote", False), "3": (False, None, "retire", False), "4": (True, "pin", "leave_candidate", False), "5": (True, "pin", "retire", False)}
+    assert not any(r["applied"] for r in second_opinion(decisions, Policy(), adjudicator).collect()) and not any(r["applied"] for r in second_opinion(decisions, p).collect())

@@ -154,3 +154,42 @@ def test_policies_and_second_opinions(spark):
     told = {r["artifact_id"]: (r["eligible"], r["suggested"], r["final"], r["applied"]) for r in second_opinion(decisions, p, adjudicator).collect()}
     assert told == {"1": (True, "retire", "retire", True), "2": (False, None, "promote", False), "3": (False, None, "retire", False), "4": (True, "pin", "leave_candidate", False), "5": (True, "pin", "retire", False)}
     assert not any(r["applied"] for r in second_opinion(decisions, Policy(), adjudicator).collect()) and not any(r["applied"] for r in second_opinion(decisions, p).collect())
+
+
+def test_memory_from_events_to_recall(spark, tmp_path):
+    import pytest
+
+    from annalist.engine import TOOLS, Memory
+
+    m = Memory(spark, str(tmp_path / "m"))
+    t = lambda h, day=1: datetime(2024, 1, day, h)
+    assert m.claims("s").count() == 0 and m.recall("s", "what is the gate").count() == 0
+    m.open_session("a", "s", t(1))
+    m.open_session("b", "s", t(2))
+    m.close_session("b", "s", t(9))
+    assert [(r["session_id"], r["closed_at"]) for r in m.sessions("s").orderBy("session_id").collect()] == [("a", None), ("b", t(9))] and m.preferred_session("s").first()["session_id"] == "a"
+    rows = [
+        ("e1", "s", "a", t(1), "message", "The gate is open", 0.5, 0.9, False, "k1", 1), ("e2", "s", "a", t(2), "message", "the gate is OPEN", 0.5, 0.9, False, "k2", 2), ("e3", "s", "b", t(3, 2), "message", "The gate is open", 0.5, 0.9, False, "k3", 3),
+        ("e4", "s", "b", t(4), "fact_assertion", "remember my name is Ines", 0.9, 0.9, False, "k4", 4), ("e5", "s", "b", t(5), "message", "The pump is blue", 0.1, 0.9, False, "k5", 5), ("e6", "other", "b", t(5), "message", "The pump is red", 0.1, 0.9, True, "k5", 6), ("e7", "s", "a", t(6), "message", "again", 0.1, 0.9, False, "k1", 7),
+    ]
+    events = spark.createDataFrame(rows, "event_id string, scope string, session_id string, ts timestamp, kind string, raw_text string, importance double, confidence double, pinned boolean, idempotency_key string, arrival long")
+    assert tuple(m.ingest_events(events).first()) == (7, 6, 1) and tuple(m.ingest_events(events).first()) == (7, 0, 7)
+    found = {r["canonical"]: (r["evidence"], r["claim_id"]) for r in m.claims("s").collect()}
+    assert {k: v[0] for k, v in found.items()} == {"The gate is open": 3, "operator has name Ines": 1, "The pump is blue": 1}
+    assert m.review_queue("s").count() == 3
+    decided = {r["claim_id"]: r["action"] for r in m.review("s", t(10, 2)).collect()}
+    gate, name, pump = (found[k][1] for k in ("The gate is open", "operator has name Ines", "The pump is blue"))
+    assert decided == {gate: "promote", name: "promote", pump: "leave_candidate"} and m.review_queue("s").count() == 0
+    assert [r["claim_id"] for r in m.recall("s", "what is my name").collect()] == [name]
+    m.apply_decision("s", pump, "pin", t(11, 2))
+    assert [r["claim_id"] for r in m.recall("s", "what is the pump").collect()] == [pump] and m.recall("s", "pump and gate").count() == 3
+    assert m.recall("s", "archive of the gate").count() == 3
+    assert [d["action"] for d in m.explain("s", pump).first()["decisions"]] == ["pin", "leave_candidate"] and m.explain("s", "clm_none").count() == 0
+    with pytest.raises(ValueError):
+        m.apply_decision("s", pump, "forget", t(12, 2))
+    m.upsert_state("s", "mode", "busy", t(1), 3600)
+    m.upsert_state("s", "mode", "idle", t(2), 3600)
+    assert [(r["value"], r["issued_at"]) for r in m.states("s", t(2)).collect()] == [("idle", t(1))] and m.states("s", t(3)).count() == 0
+    assert [r["event_id"] for r in m.timeline("s", "PUMP").collect()] == ["e5"] and m.timeline("s", limit=2).count() == 2
+    assert [r["said"] for r in m.patterns("s").collect()] == ["the gate is open"] and all(hasattr(m, tool) for tool in TOOLS)
+    assert m.get_events("s", events.select("event_id")).count() == 5

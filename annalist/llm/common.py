@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -58,22 +57,22 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str, text_column: str | None
     return df.mapInArrow(run, ddl)
 
 
-def fold_arrow(df: DataFrame, fn: Callable, schema: str, text_column: str | None = "text") -> DataFrame:
+def fold_arrow(df: DataFrame, fn: Callable, schema: str, text_column: str | None = "text", chars: int = CHUNK_CHARS) -> DataFrame:
     """fn(iterator of dicts of column lists) -> iterator of dicts of column lists; one call for each partition."""
     ddl = StructType.fromDDL(schema)
     names = list(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(ddl)
-        for out in fn(slices(batches, names, text_column)):
+        for out in fn(slices(batches, names, text_column, chars)):
             if len(out[ddl[0].name]):
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, ddl)
 
 
-def slices(batches: Iterator[pa.RecordBatch], names: list[str], text_column: str | None) -> Iterator[dict[str, list]]:
-    """Batches cut so that each piece holds about CHUNK_CHARS of text; no row is cut or left out."""
+def slices(batches: Iterator[pa.RecordBatch], names: list[str], text_column: str | None, chars: int = CHUNK_CHARS) -> Iterator[dict[str, list]]:
+    """Batches cut so that each piece holds about so many characters of text; no row is cut or left out."""
     for batch in batches:
         n = batch.num_rows
         if not text_column:
@@ -86,7 +85,7 @@ def slices(batches: Iterator[pa.RecordBatch], names: list[str], text_column: str
         size = 0
         for row in range(n):
             size += lengths[row]
-            if size >= CHUNK_CHARS or row == n - 1:
+            if size >= chars or row == n - 1:
                 part = batch.slice(start, row + 1 - start)
                 yield {c: part.column(i).to_pylist() for i, c in enumerate(names)}
                 start, size = row + 1, 0
@@ -98,12 +97,20 @@ BLOCKS = "block int, part long, counts binary"
 MERGED = 64
 
 
+def _packed(block: np.ndarray) -> bytes:
+    return block.nbytes.to_bytes(8, "little") + pa.compress(block.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True), dtype=dtype)
+
+
 def blocks_of(table: np.ndarray, blocks: int) -> dict:
     """Rows of BLOCKS from a task's table."""
     from pyspark import TaskContext
 
     pieces = np.ascontiguousarray(table).reshape(blocks, -1)
-    return {"block": list(range(blocks)), "part": [TaskContext.get().partitionId()] * blocks, "counts": [zlib.compress(p.tobytes(), 1) for p in pieces]}
+    return {"block": list(range(blocks)), "part": [TaskContext.get().partitionId()] * blocks, "counts": list(map(_packed, pieces))}
 
 
 def merged_blocks(partial: DataFrame, blocks: int | list[int], size: int, merge: np.ufunc, dtype=np.int64, last: Callable | None = None, last_dtype=None) -> np.ndarray:
@@ -118,14 +125,14 @@ def merged_blocks(partial: DataFrame, blocks: int | list[int], size: int, merge:
 
         total = None
         for c in rows["counts"]:
-            one = np.frombuffer(zlib.decompress(c), dtype=dtype)
+            one = _unpacked(c, dtype)
             total = one.copy() if total is None else merge(total, one, out=total)
-        return pd.DataFrame({"block": rows["block"][:1], "part": rows["part"][:1] // MERGED, "counts": [zlib.compress(total.tobytes(), 1)]})
+        return pd.DataFrame({"block": rows["block"][:1], "part": rows["part"][:1] // MERGED, "counts": [_packed(total)]})
 
     def finish(rows):
         out = fold(rows)
         if last:
-            out["counts"] = [zlib.compress(last(np.frombuffer(zlib.decompress(out["counts"][0]), dtype=dtype)).tobytes(), 1)]
+            out["counts"] = [_packed(last(_unpacked(out["counts"][0], dtype)))]
         return out
 
     parts = partial.rdd.getNumPartitions()
@@ -139,7 +146,7 @@ def merged_blocks(partial: DataFrame, blocks: int | list[int], size: int, merge:
     merged = partial.groupBy("block").applyInPandas(finish, BLOCKS).select("block", "counts").toArrow()
     for b, c in zip(merged.column("block"), merged.column("counts"), strict=True):
         i = b.as_py()
-        out[starts[i] : starts[i + 1]] = np.frombuffer(zlib.decompress(c.as_buffer()), dtype=out.dtype)
+        out[starts[i] : starts[i + 1]] = _unpacked(c.as_py(), out.dtype)
     return out
 
 

@@ -25,12 +25,12 @@ DOMAINS = ("good", "low", "toxic")
 #: Target tokens of each domain as a share of the tokens that the domain is expected to hold.
 TARGET_SHARES = {"good": 1.0, "low": 0.5, "toxic": 0.0}
 FEATURES = 1 << 18
-#: Steps at most, ended before when no domain misses its target by more than TOLERANCE of its scale.
-STEPS, STEP_SIZE, TOLERANCE = 80, 0.8, 1e-3
+#: Steps at most, ended before when no domain misses its target by more than TOLERANCE of its scale; later ones are shorter.
+STEPS, STEP_SIZE, DECAY, TOLERANCE = 12, 3.0, 0.1, 1e-3
 MAX_RATE, SNAP = 4.0, 0.1
 #: A domain's misses are scaled by its tokens, or by this share of all tokens if that is more, so that a target that the
 #: bounds on rates rule out (no toxic token at all) doesn't pull large domains from theirs.
-LEAST_SCALE = 0.2
+LEAST_SCALE = 0.5
 #: Posteriors are counted in steps of 1 / GRAIN.
 GRAIN = 1000
 _MARKS = ".,;:!?\"'()[]{}#*$%&|<>=+-_~^/\\"
@@ -252,7 +252,7 @@ def fit_rates(cells: DataFrame, targets: dict[str, float] | None = None, steps:
         best = min(best, (float((residual**2).sum()), k, now), key=lambda b: b[:2])
         if k == steps or np.abs(residual).max() < TOLERANCE:
             break
-        history.append([round(float(x), 9) for x in STEP_SIZE * residual])
+        history.append([round(float(x), 9) for x in STEP_SIZE / (1 + k * DECAY) * residual])
         now = mass(history)
     return history[: best[1]], {d: (float(start[i]), float(goal[i]), float(best[2][i])) for i, d in enumerate(DOMAINS)}
 

@@ -486,6 +486,14 @@ def test_unit_probabilities_add_up():
     assert np.exp(logs[0]).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_fixed_weights_code_alike():
+    rng = np.random.default_rng(8)
+    entries = rng.integers(-32768, 32767, (scoring.CONTEXTS, 1 << 16)).astype(np.int16)
+    weights = scoring.initial_weights() + rng.normal(0, 0.1, scoring.initial_weights().shape)
+    raw = [b"word ", b"\n", b"another one\xff", b"x" * 300 + b" "]
+    assert np.allclose(scoring.Mixers(entries, weights).code(raw), scoring.Mixers(entries, weights, True).code(raw), rtol=1e-3, atol=1e-2)
+
+
 def test_scores_do_not_depend_on_partitions(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     one, other = ({r["doc_id"]: r["score"] for r in scoring.score_documents(d).collect()} for d in (docs.coalesce(1), docs.repartition(7, "text")))

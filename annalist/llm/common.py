@@ -71,6 +71,19 @@ def fold_arrow(df: DataFrame, fn: Callable, schema: str, text_column: str | None
     return df.mapInArrow(run, ddl)
 
 
+def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """fn(iterator of record batches) -> iterator of dicts of column lists or arrays, for numbers that numpy reads as they lie; one call for each partition."""
+    ddl = StructType.fromDDL(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(ddl)
+        for out in fn(b for b in batches if b.num_rows):
+            if len(out[ddl[0].name]):
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+
+    return df.mapInArrow(run, ddl)
+
+
 def slices(batches: Iterator[pa.RecordBatch], names: list[str], text_column: str | None, chars: int = CHUNK_CHARS) -> Iterator[dict[str, list]]:
     """Batches cut so that each piece holds about so many characters of text; no row is cut or left out."""
     for batch in batches:

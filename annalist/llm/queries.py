@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from annalist.llm.clusters import op13_clusters
 from annalist.llm.html import op6_html
 from annalist.llm.jaccard import op5_jaccard
 from annalist.llm.langid import op3_language
 from annalist.llm.mixing import op7_mixing
+from annalist.llm.negatives import op12_negatives
 from annalist.llm.neighbours import op9_neighbours
 from annalist.llm.packing import op10_packing
 from annalist.llm.pii import op4_pii
 from annalist.llm.quality import op2_quality
 from annalist.llm.scoring import op1_scoring
 from annalist.llm.secrets import op8_secrets
+from annalist.llm.toxicity import op11_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_scoring, op2_quality, op3_language, op4_pii, op5_jaccard, op6_html, op7_mixing, op8_secrets, op9_neighbours, op10_packing)
+    for f in (op1_scoring, op2_quality, op3_language, op4_pii, op5_jaccard, op6_html, op7_mixing, op8_secrets, op9_neighbours, op10_packing, op11_toxicity, op12_negatives, op13_clusters)
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -82,4 +85,40 @@ def jaccard_sql(words: int = 3, percent: int = 90) -> str:
     """
 
 
-ORACLE = {"op2_quality": quality_sql(), "op5_jaccard": jaccard_sql()}
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+_WHOLE = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+def negatives_sql(every: int = 100, positives: int = 5, negatives: int = 5, low: int = 80) -> str:
+    return f"""
+    WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE} AS x
+        FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+    s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, v.vec_id, v.label = a.label AS same, CAST(list_sum(list_transform(list_zip(a.x, v.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v AS a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % {every} = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {positives})
+    SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND {low} * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+    QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= {negatives}
+    """
+
+
+def clusters_sql(clusters: int = 40, rounds: int = 5, dimensions: int = 64, seed: int = 2) -> str:
+    """Centroids as rows (k, i, c); each round assigns by the whole distance table and takes exact floored means."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""l{r} AS MATERIALIZED (SELECT k, list(c ORDER BY i) AS c FROM c{r} GROUP BY k),
+        a{r} AS MATERIALIZED (SELECT n, vec_id, x, k, d FROM (SELECT n, vec_id, x, k, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, l{r}) QUALIFY row_number() OVER (PARTITION BY n ORDER BY d, k) = 1)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT k, i, sum(e) AS s, count(*) AS m FROM (SELECT k, unnest(x) AS e, unnest(range(1, {dimensions + 1})) AS i FROM a{r}) GROUP BY ALL),
+        c{r + 1} AS MATERIALIZED (SELECT k, i, coalesce(CAST((s - ((s % m) + m) % m) // m AS BIGINT), c) AS c FROM c{r} LEFT JOIN m{r} USING (k, i))""")
+    return f"""
+    WITH v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, {_WHOLE} AS x FROM embeddings WHERE len(embedding) = {dimensions} AND {_FINITE}),
+    f AS (SELECT x, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), x) - 1 AS k FROM v QUALIFY k < {clusters}),
+    c0 AS MATERIALIZED (SELECT k, unnest(range(1, {dimensions + 1})) AS i, unnest(x) AS c FROM f),
+    {", ".join(steps)}
+    SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN l{rounds} USING (k)
+    """
+
+
+ORACLE = {"op2_quality": quality_sql(), "op5_jaccard": jaccard_sql(), "op12_negatives": negatives_sql(), "op13_clusters": clusters_sql()}

@@ -14,10 +14,11 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import crc_remainder, drop_settled, fold_arrow, settle, table
+from annalist.llm.common import crc_remainder, drop_settled, fold_arrow, map_batches, settle, table
 
 #: Buckets of the hash; the last one is the bias.
 FEATURES = 1 << 22
@@ -122,19 +123,22 @@ def learn(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for part in parts:
             yield {"doc_id": part["doc_id"], "toxic": part["toxic"], "at": [np.unique(buckets(t, known)) for t in part["text"]]}
 
-    def fit(parts: Iterator[dict]) -> Iterator[dict]:
-        data = [(np.append(np.array(at, dtype=np.int32), BIAS), y) for part in parts for at, y in zip(part["at"], part["toxic"], strict=True)]
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        data = []
+        for batch in batches:  # numbers stay in arrays: a text's features are four bytes each
+            flat, ends = np.asarray(batch.column(1).flatten()), np.cumsum(np.asarray(batch.column(1).value_lengths()))
+            data += [(np.append(at, np.int32(BIAS)), y) for at, y in zip(np.split(flat, ends[:-1]), batch.column(0).to_pylist(), strict=True)]
         model = Ftrl(FEATURES)
         for _ in range(PASSES):
             for at, y in data:
                 model.learn(at, y)
         w = model.weights(np.arange(FEATURES + 1))
         at = np.flatnonzero(w)
-        yield {"at": at.tolist(), "weight": w[at].tolist()}
+        yield {"at": at.astype(np.int32), "weight": w[at]}
 
     features = settle(fold_arrow(rows, found, "doc_id long, toxic int, at array<int>"), "toxic-features")
     order = features.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit("order")), "doc_id", "toxic", F.hash("at"))
-    weights = fold_arrow(order.select("toxic", "at"), fit, "at int, weight double", None).orderBy("at").toArrow()
+    weights = map_batches(order.select("toxic", "at"), fit, "at int, weight double").orderBy("at").toArrow()
     drop_settled(features)
     return np.asarray(weights.column("at").combine_chunks()), np.asarray(weights.column("weight").combine_chunks())
 

@@ -22,12 +22,6 @@ __all__ = ["ORACLE", "QUERIES"]
 
 KINDS = ("message", "decision", "note", "state_update", "summary", "fact_assertion", "tool_result")
 ACTIONS = ("promote", "reinforce", "leave_candidate", "fade", "pin", "retire", "mark_disputed", "mark_superseded")
-REACTIONS = """
-funny confusing crazy wild exactly nice cool great okay ok yeah yes happened long
-a an and are as at be but by do did for from get got how i if in is it just me my not of on or so that the this to too very
-really quite rather pretty taking what
-""".split()
-
 _W = r"""w AS (SELECT event_id, user_id AS session_id, ts, event_type AS thing, value, least(1.0, value / 500) AS importance,
  ['message', 'decision', 'note', 'state_update', 'summary', 'fact_assertion', 'tool_result'][event_id % 7 + 1] AS kind,
  CASE event_id % 10 WHEN 0 THEN 'so The ' || event_type || '  is open' WHEN 1 THEN 'what is the ' || event_type WHEN 2 THEN 'My ' || event_type || ' is item ' || user_id || '.'
@@ -64,7 +58,7 @@ def archive(spark, d) -> DataFrame:
 
 def _text() -> F.Column:
     none = F.lit("")
-    return rules.derivation_text(F.col("kind"), F.col("raw_text"), none, F.col("p_raw"), none, F.col("p_interpreted"), F.col("observation"), REACTIONS)
+    return rules.derivation_text(F.col("kind"), F.col("raw_text"), none, F.col("p_raw"), none, F.col("p_interpreted"), F.col("observation"))
 
 
 def derived(spark, d) -> DataFrame:

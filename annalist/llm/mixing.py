@@ -3,10 +3,10 @@
 A classifier learned from the labelled table (softmax regression over the presence of those hashed words and shapes that
 tell domains apart) predicts each document's posterior over domains, in steps of a thousandth. Nonnegative rates of the
 documents are then fitted by projected gradient so that the expected tokens of each domain meet their targets in the
-least-squares sense, starting from the prior rate of 1. A rate after k steps depends on the posterior and the k residual
-vectors alone, so only those small vectors travel, and documents of one posterior are one row of the fit: at most some
-500,000 rows, whatever the corpus. A rate within SNAP of a whole number is projected onto it, so that what belongs to one
-domain is kept or left out as a whole; what the snapping moves is in the residuals, and the other rates make up for it.
+least-squares sense, with momentum, starting from the prior rate of 1. A rate after k steps depends on the posterior and
+the k residual vectors alone, so only those small vectors travel, and documents of one posterior are one row of the fit:
+at most some 500,000 rows, whatever the corpus. At last a rate within SNAP of a whole number is projected onto it, so that
+what belongs to one domain is kept or left out as a whole, and the other rates make up for what that moves.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ DOMAINS = ("good", "low", "toxic")
 #: Target tokens of each domain as a share of the tokens that the domain is expected to hold.
 TARGET_SHARES = {"good": 1.0, "low": 0.5, "toxic": 0.0}
 FEATURES = 1 << 18
-#: Steps at most, ended before when no domain misses its target by more than TOLERANCE of its scale; later ones are shorter.
-STEPS, STEP_SIZE, DECAY, TOLERANCE = 12, 3.0, 0.1, 1e-3
+#: Steps at most, and after snapping; ended before when no domain misses its target by more than TOLERANCE of its scale, or five
+#: steps together lower the squared misses by less than the share SETTLED.
+STEPS, CORRECTIONS, TOLERANCE, SETTLED = 40, 6, 1e-3, 0.01
 MAX_RATE, SNAP = 4.0, 0.1
 #: A domain's misses are scaled by its tokens, or by this share of all tokens if that is more, so that a target that the
 #: bounds on rates rule out (no toxic token at all) doesn't pull large domains from theirs.
@@ -220,41 +221,91 @@ def _text_hash() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def _rate(history: list[list[float]]) -> Column:
-    """The rate as a column of p0, p1, ...: each step moves it against the residuals and back into [0, MAX_RATE]; at last near whole numbers snap."""
-    rate = F.lit(1.0)
-    if history:
-        pull = lambda g: sum((F.col(f"p{i}") * g[i] for i in range(1, len(DOMAINS))), F.col("p0") * g[0])
-        rate = F.aggregate(F.lit(history), F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), F.least(F.lit(MAX_RATE), r - pull(g))))
-    return F.when(F.abs(rate - F.round(rate)) < SNAP, F.round(rate)).otherwise(rate)
+#: The steps of a fit: those with momentum, each a pull on every domain and the momentum after it, and those that make up for snapping.
+Fit = tuple[list[list[float]], list[list[float]]]
 
 
-def fit_rates(cells: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS) -> tuple[list[list[float]], dict[str, tuple[float, float, float]]]:
-    """The residual steps whose replay gives each rate, and for each domain its expected tokens at rate 1, its target and what is attained.
+def _clipped(rate: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(MAX_RATE), rate))
 
-    cells: n_tokens, p0, p1, ... ; targets: shares of each domain's own expected tokens. Of all steps the first k that
-    come nearest to the targets are given.
+
+def _pull(g: Column | list[float]) -> Column:
+    return sum((F.col(f"p{i}") * g[i] for i in range(1, len(DOMAINS))), F.col("p0") * g[0])
+
+
+def _moved(steps: list[list[float]], finish) -> Column:
+    """finish(struct(rate, ahead)) after all steps as a column of p0, p1, ...: each moves `ahead` against the residuals and back into [0, MAX_RATE]."""
+
+    def step(a: Column, g: Column) -> Column:
+        rate = _clipped(a["ahead"] - _pull(g))
+        return F.struct(rate.alias("rate"), (rate + g[len(DOMAINS)] * (rate - a["rate"])).alias("ahead"))
+
+    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
+    return F.aggregate(F.lit(steps), start, step, finish) if steps else finish(start)
+
+
+def _snaps(rate: Column) -> Column:
+    return F.abs(rate - F.round(rate)) < SNAP
+
+
+def _rate(fit: Fit) -> Column:
+    """The rate as a column: near whole numbers snap, and the others move on to make up for what that moves."""
+    steps, corrections = fit
+    on = lambda rate: F.aggregate(F.lit(corrections), rate, lambda r, g: _clipped(r - _pull(g))) if corrections else rate
+    return _moved(steps, lambda a: F.when(_snaps(a["rate"]), F.round(a["rate"])).otherwise(on(a["rate"])))
+
+
+def fit_rates(cells: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS) -> tuple[Fit, dict[str, tuple[float, float, float]]]:
+    """The steps whose replay gives each rate, and for each domain its expected tokens at rate 1, its target and what is attained.
+
+    cells: n_tokens, p0, p1, ... ; targets: shares of each domain's own expected tokens. Projected gradient in the metric
+    of tokens, its step from the largest eigenvalue of the domains' second moments, with momentum that starts anew when
+    the misses grow. It ends when no domain misses its target by TOLERANCE of its scale or the misses have settled. Then
+    whole numbers are snapped to and CORRECTIONS steps at most move the rates that are left; the best of them are given.
     """
+    n = len(DOMAINS)
     shares = np.array([(targets or TARGET_SHARES)[d] for d in DOMAINS])
 
-    def mass(history: list[list[float]]) -> np.ndarray:
-        rated = cells.withColumn("rate", _rate(history))
-        sums = (F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{i}") * F.col("rate")), F.lit(0.0)) for i in range(len(DOMAINS)))
-        return np.array([float(m) for m in rated.agg(*(m.alias(f"m{i}") for i, m in enumerate(sums))).first()])
+    def sums(table: DataFrame, *columns: Column) -> np.ndarray:
+        return np.array([float(x) for x in table.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(f"s{i}") for i, c in enumerate(columns))).first()])
 
-    start = now = mass([])
-    goal = shares * start
+    mass = lambda of: [F.col("n_tokens") * F.col(f"p{i}") * of for i in range(n)]
+    second = lambda of: [F.col("n_tokens") * F.col(f"p{i}") * F.col(f"p{j}") * of for i in range(n) for j in range(n)]
+    first = sums(cells, *mass(F.lit(1.0)), *second(F.lit(1.0)))
+    start, goal = first[:n], shares * first[:n]
     scale = np.maximum(np.maximum(start, LEAST_SCALE * start.sum()), 1.0)
+    miss = lambda m: float((((m - goal) / scale) ** 2).sum())
+
+    def pull(m: np.ndarray, moments: np.ndarray) -> list[float]:
+        steep = np.linalg.eigvalsh(moments.reshape(n, n) / np.outer(scale, scale)).max()
+        return [round(float(x), 12) for x in (m - goal) / scale**2 / max(steep, 1e-300)] if steep > 0 else [0.0] * n
+
     history: list[list[float]] = []
-    best = (np.inf, 0, start)
-    for k in range(steps + 1):
-        residual = (now - goal) / scale
-        best = min(best, (float((residual**2).sum()), k, now), key=lambda b: b[:2])
-        if k == steps or np.abs(residual).max() < TOLERANCE:
+    seen, best, ahead, t = [miss(start)], (miss(start), 0), start, 1.0
+    for k in range(1, steps + 1):
+        if np.abs((ahead - goal) / scale).max() < TOLERANCE or (k > 6 and seen[-6] - min(seen[-5:]) < SETTLED * seen[-6]):
+            break
+        t = 1.0 if len(seen) > 1 and seen[-1] > seen[-2] else t
+        later = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        history.append([*pull(ahead, first[n:]), round((t - 1) / later, 12)])
+        t = later
+        both = sums(cells.withColumn("_a", _moved(history, lambda a: a)), *mass(F.col("_a.rate")), *mass(F.col("_a.ahead")))
+        ahead = both[n:]
+        seen.append(miss(both[:n]))
+        best = min(best, (seen[-1], k))
+    history = history[: best[1]]
+    loose = cells.withColumn("_a", _moved(history, lambda a: a["rate"]))
+    now = sums(cells.withColumn("rate", _rate((history, []))), *mass(F.col("rate")))
+    moments = sums(loose.where(~_snaps(F.col("_a"))), *second(F.lit(1.0)))
+    corrections: list[list[float]] = []
+    least = (miss(now), 0, now)
+    for k in range(1, CORRECTIONS + 1):
+        if not moments.any() or np.abs((now - goal) / scale).max() < TOLERANCE:
             break
-        history.append([round(float(x), 9) for x in STEP_SIZE / (1 + k * DECAY) * residual])
-        now = mass(history)
-    return history[: best[1]], {d: (float(start[i]), float(goal[i]), float(best[2][i])) for i, d in enumerate(DOMAINS)}
+        corrections.append(pull(now, moments))
+        now = sums(cells.withColumn("rate", _rate((history, corrections))), *mass(F.col("rate")))
+        least = min(least, (miss(now), k, now), key=lambda x: x[:2])
+    return (history, corrections[: least[1]]), {d: (float(start[i]), float(goal[i]), float(least[2][i])) for i, d in enumerate(DOMAINS)}
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:

@@ -34,53 +34,62 @@ def staged(events: DataFrame) -> DataFrame:
     """Events (see payloads.events_of) with text, normal (its normalised form), names, relations and claims.
 
     A null or empty text gives none of them. Hinted entities are names if any is sound; a reaction that only its
-    interpretation makes sense of has none.
+    interpretation makes sense of has none. What several rules read is a column of its own, so that it is worked out once.
     """
     c = F.col
     hinted = F.size(F.coalesce("hint_entities", F.array().cast("array<string>"))) > 0
     texts = (c("raw_text"), c("normalized_text"), c("p_raw"), c("p_normalized"))
-    e = events.withColumn("text", rules.derivation_text(c("kind"), *texts, c("p_interpreted"), c("observation"), hinted=hinted))
-    e = e.withColumn("normal", rules.normalised_text(c("text"), *texts))
-    reacts = rules.reacts(c("raw_text"), c("p_raw"), c("p_interpreted"), c("kind"), hinted=hinted)
-    e = e.withColumn("names", dv.phrases(F.when(~reacts, c("text")), c("hint_entities")))
-    return e.withColumn("relations", _relations()).withColumn("claims", _claims())
+    spare = {"raw_text": "raw", "normalized_text": "normalized", "p_raw": "p_raw", "p_normalized": "p_normalized", "p_interpreted": "p_interpreted", "observation": "observation"}
+    e = events.withColumns({f"_{short}": dv.compact(c(name)) for name, short in spare.items()})
+    texts = tuple(c(f"_{n}") for n in ("raw", "normalized", "p_raw", "p_normalized"))
+    e = e.withColumn("_reacts", rules.reacts(texts[0], texts[2], c("_p_interpreted"), c("kind"), hinted=hinted))
+    e = e.withColumn("text", rules.derivation_text(c("kind"), *texts, c("_p_interpreted"), c("_observation"), reacted=c("_reacts")))
+    e = e.withColumn("normal", rules.normalised_text(c("text"), *texts)).withColumn("_bare", dv.without_fillers(c("text")))
+    e = e.withColumn("names", dv.phrases(F.when(~c("_reacts"), c("text")), c("hint_entities")))
+    e = e.withColumn("_sides", dv.relation_sides(c("names")))
+    e = e.withColumns({"_read": dv.relation(c("normal"), c("_sides")), "_fact": rules.memory_fact(c("_bare")), "_copula": dv.copula_claim(c("_bare")), "_first": F.get("names", F.lit(0)), "_low": F.transform("names", F.lower)})
+    e = e.withColumn("_spoken", _spoken())
+    e = e.withColumns({"relations": _relations(), "claims": _claims()})
+    return e.drop(*(f"_{n}" for n in (*spare.values(), "reacts", "bare", "sides", "read", "fact", "copula", "first", "spoken")))
 
 
 def _relations() -> Column:
     """Hinted relations of a known type, else the one that the text states; both sides must be names of the event."""
-    c = F.col
     typed = F.filter("hint_relations", lambda r: r["type"].isin(*dv.RELATION_TYPES))
     hinted = F.transform(typed, lambda r: F.struct(r["src"].alias("src"), r["dst"].alias("dst"), r["type"].alias("type"), F.coalesce(r["confidence"], F.lit(dv.HINT_CONFIDENCE)).alias("confidence")))
-    read = F.filter(F.array(dv.relation(c("normal"), dv.relation_sides(c("names")))), lambda r: r.isNotNull())
-    low = F.transform("names", F.lower)
-    known = lambda r: F.array_contains(low, F.lower(r["src"])) & F.array_contains(low, F.lower(r["dst"]))
+    read = F.array_compact(F.array("_read"))
+    known = lambda r: F.array_contains("_low", F.lower(r["src"])) & F.array_contains("_low", F.lower(r["dst"]))
     return F.filter(F.when(F.coalesce(F.size(hinted), F.lit(0)) > 0, hinted).otherwise(read), known)
 
 
-def _claims() -> Column:
-    """The payload's claims; else a fact as it is asserted; else what a sure statement says of its subject."""
+def _spoken() -> Column:
+    """The claim of an event's own text: a fact as it is asserted, else what a sure statement says of its subject."""
     c = F.col
-    first = F.get("names", F.lit(0))
-
-    def named(x: Column) -> Column:
-        told = rules.profile_claim(F.coalesce(x["subject"], first), x["predicate"], x["object"], F.coalesce(x["canonical"], F.concat_ws(" ", x["predicate"], x["object"])))
-        return F.struct(told["subject"].alias("subject"), told["predicate"].alias("predicate"), told["object"].alias("object"), told["canonical"].alias("canonical"), F.coalesce(x["confidence"], c("confidence")).alias("confidence"), (x["pinned"] | c("pin")).alias("pinned"))
 
     def said(subject: Column, predicate: Column, what: Column, canonical: Column, confidence: Column, pinned: Column) -> Column:
         return F.struct(subject.alias("subject"), predicate.alias("predicate"), what.alias("object"), canonical.alias("canonical"), confidence.cast("double").alias("confidence"), pinned.alias("pinned"))
 
-    text = dv.without_fillers(c("text"))
+    text, fact, copula = c("_bare"), c("_fact"), c("_copula")
     sure, pinned = F.greatest(F.lit(LEAST_FACT_CONFIDENCE), c("confidence")), c("pin") | c("p_pin")
-    fact = rules.memory_fact(text)
     of = lambda s: F.concat_ws(" ", s["subject"], s["predicate"], s["object"])
-    stated = F.when(fact.isNotNull(), said(fact["subject"], fact["predicate"], fact["object"], of(fact), sure, pinned)).otherwise(said(first, F.lit("asserts"), text, F.regexp_replace(text, r"\.+$", ""), sure, pinned))
-    asked = F.coalesce(rules.or_null(dv.without_fillers(c("p_interpreted"))), rules.or_null(text), c("raw_text"))
-    quiet = F.when(c("kind") == "message", dv.asks(F.coalesce("raw_text", F.lit("")), asked) | F.contains(asked, F.lit("?")) | c("unclear")).otherwise(F.lit(False))
+    asserted = said(c("_first"), F.lit("asserts"), text, F.regexp_replace(text, r"\.+$", ""), sure, pinned)
+    stated = F.when(fact.isNotNull(), said(fact["subject"], fact["predicate"], fact["object"], of(fact), sure, pinned)).otherwise(asserted)
+    asked = F.coalesce(rules.or_null(dv.without_fillers(c("_p_interpreted"))), rules.or_null(text), c("_raw"))
+    quiet = F.when(c("kind") == "message", dv.asks(c("_raw"), asked) | F.contains(asked, F.lit("?")) | c("unclear")).otherwise(F.lit(False))
     least = reduce(lambda out, k: F.when(c("kind") == k, LEAST_CONFIDENCE[k]).otherwise(out), LEAST_CONFIDENCE, F.lit(0.0))
-    copula = dv.copula_claim(text)
-    one = F.when(c("kind") == "fact_assertion", stated).when(~quiet & (c("confidence") >= least) & copula.isNotNull(), said(copula["subject"], copula["predicate"], copula["object"], of(copula), c("confidence"), c("pin")))
-    spoken = F.when(c("kind").isin(*CLAIM_KINDS) & (text != ""), one)
-    return F.when(F.size("told_claims") > 0, F.transform("told_claims", named)).otherwise(F.filter(F.array(spoken), lambda x: x.isNotNull()))
+    one = F.when(c("kind") == "fact_assertion", stated).when(copula.isNotNull() & ~quiet & (c("confidence") >= least), said(copula["subject"], copula["predicate"], copula["object"], of(copula), c("confidence"), c("pin")))
+    return F.when(c("kind").isin(*CLAIM_KINDS) & (text != ""), one)
+
+
+def _claims() -> Column:
+    """The payload's claims, the first name standing for a subject that isn't told; else the claim of the text."""
+    c = F.col
+
+    def named(x: Column) -> Column:
+        told = rules.profile_claim(F.coalesce(x["subject"], c("_first")), x["predicate"], x["object"], F.coalesce(x["canonical"], F.concat_ws(" ", x["predicate"], x["object"])))
+        return F.struct(told["subject"].alias("subject"), told["predicate"].alias("predicate"), told["object"].alias("object"), told["canonical"].alias("canonical"), F.coalesce(x["confidence"], c("confidence")).alias("confidence"), (x["pinned"] | c("pin")).alias("pinned"))
+
+    return F.when(F.size("told_claims") > 0, F.transform("told_claims", named)).otherwise(F.array_compact(F.array("_spoken")))
 
 
 def artifacts_of(events: DataFrame) -> DataFrame:
@@ -92,8 +101,7 @@ def artifacts_of(events: DataFrame) -> DataFrame:
     """
     c = F.col
     names = F.col("names")
-    low = F.transform(names, F.lower)
-    fresh = F.filter(F.array_distinct(F.transform("claims", lambda x: x["subject"])), lambda s: s.isNotNull() & ~F.array_contains(low, F.lower(s)))
+    fresh = F.filter(F.array_distinct(F.transform("claims", lambda x: x["subject"])), lambda s: s.isNotNull() & ~F.array_contains("_low", F.lower(s)))
     title = rules.episode_title(c("episode_hint"), F.get(names, F.lit(0)), c("text"), c("kind"))
     queued = lambda kind, what, trigger, priority: _row("queue", name=F.lit(kind), canonical=what, trigger=F.lit(trigger), priority=priority)
     edge = lambda r: F.concat_ws(" ", r["src"], r["type"], r["dst"])
@@ -110,7 +118,7 @@ def artifacts_of(events: DataFrame) -> DataFrame:
         F.when(c("session_id").isNotNull(), episode),
     ]
     e = staged(events).withColumn("fresh", fresh).withColumn("title", title)
-    every = F.concat(*(F.coalesce(p, _none()) for p in parts))
+    every = F.concat(*(F.coalesce(p, _none()) for p in parts))  # an explode of one array, so each event is worked on once
     return e.select("event_id", "scope_key", "session_id", "ts", "arrival", F.explode(every).alias("a")).select("event_id", "scope_key", "session_id", "ts", "arrival", "a.*")
 
 

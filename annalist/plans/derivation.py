@@ -70,7 +70,8 @@ def documents(spark, d) -> DataFrame:
         session_id=F.concat(lit("conv-"), "conv_id"), kind=F.when(col("role") == "user", "message").when(col("role") == "assistant", "summary").otherwise("note"), raw_text=col("text"),
         hints=F.struct(F.array(F.concat_ws(" ", lit("conv"), "conv_id", "role")).alias("entities")), scores=score(lit(0.3), F.when(col("turn") == 0, 0.8).otherwise(0.9)),
     )
-    return customers.unionByName(orders).unionByName(parts).unionByName(suppliers).unionByName(turns)
+    every = customers.unionByName(orders).unionByName(parts).unionByName(suppliers).unionByName(turns)
+    return every.repartition(F.xxhash64("doc"))  # as lines of one archive: what reads them is planned once, not for each table that they are made of
 
 
 _SCOPE = "{{'tenant': 'Acme ', 'namespace': 'memory', 'workspace': {}, 'project': 'p'}}"
@@ -122,7 +123,7 @@ _RULES = rf"""x AS (SELECT doc ->> '$.event_id' AS event_id, lower(concat_ws('::
   coalesce(CAST(doc ->> '$.structured_payload.needs_clarification' AS BOOLEAN), false) AS unclear, coalesce(CAST(doc ->> '$.hints.pin' AS BOOLEAN), false) AS pin, doc ->> '$.hints.entities[*]' AS hints, doc -> '$.hints.relations[*]' AS rels, doc ->> '$.hints.episode_hint' AS hint,
   CAST(doc ->> '$.scores.importance' AS DOUBLE) AS importance, CAST(doc ->> '$.scores.confidence' AS DOUBLE) AS confidence, doc -> '$.structured_payload.claims[*]' AS told, nullif(trim(coalesce(doc ->> '$.structured_payload.lease_key', doc ->> '$.structured_payload.key')), '') AS lease_key,
   doc -> '$.structured_payload.value' AS value, coalesce(nullif(CAST(doc ->> '$.structured_payload.ttl_seconds' AS BIGINT), 0), nullif(CAST(doc ->> '$.structured_payload.ttl' AS BIGINT), 0), 3600) AS ttl FROM docs),
- y AS (SELECT *, list_distinct(list_transform(hints, lambda h: regexp_replace(trim(h), '^(the|a|an|of|to|for|and|or|by) ', ''))) AS spelled, regexp_extract_all(lower(coalesce(said, own)), '[a-z0-9_''-]+') AS words, len(regexp_extract_all(lower(coalesce(meant, '')), '[a-z0-9_''-]+')) AS n_meant FROM x),
+ y AS (SELECT *, list_transform(hints, lambda h: regexp_replace(trim(h), '^(the|a|an|of|to|for|and|or|by) ', '')) AS spelled, regexp_extract_all(lower(coalesce(said, own)), '[a-z0-9_''-]+') AS words, len(regexp_extract_all(lower(coalesce(meant, '')), '[a-z0-9_''-]+')) AS n_meant FROM x),
  z AS (SELECT *, coalesce(len(hints) = 0 AND meant IS NOT NULL AND kind <> 'fact_assertion' AND len(words) BETWEEN 1 AND 4 AND n_meant >= greatest(8, 3 * len(words)) AND len(list_filter(words, lambda w: w NOT IN ({_REACTIONS}))) = 0, false) AS reacts FROM y),
  t AS (SELECT *, CASE WHEN kind = 'tool_result' AND seen IS NOT NULL THEN seen WHEN said IS NOT NULL AND (coalesce(regexp_matches(lower(own), '{_INTERPRETIVE}'), false) OR coalesce(lower(own) = lower(meant), false)) THEN said WHEN reacts THEN meant ELSE coalesce(own, said, p_normal, meant, '') END AS text,
   list_filter(spelled, lambda h, i: list_position(list_transform(spelled, lambda g: lower(g)), lower(h)) = i) AS names FROM z),
@@ -180,7 +181,7 @@ def artifact_tables(spark, d):
 @query("")
 def derived_episodes(spark, d):
     # the episodes of all events of a session, related ones joined, in order of time; turns of a conversation end with their session
-    e = artifacts.artifacts_of(payloads.events_of(payloads.parsed(documents(spark, d)))).where("artifact = 'episode'")
+    e = derived(spark, d).where("artifact = 'episode'")
     events = e.select(F.xxhash64("event_id").alias("event_id"), F.xxhash64("session_id").alias("session_id"), "ts", F.col("name").alias("title"), F.split("object", ", ").alias("entities"), "confidence")
     closes = e.where(F.startswith("session_id", F.lit("conv-"))).groupBy(F.xxhash64("session_id").alias("session_id")).agg(F.max("ts").alias("ts"))
     return episodes.episodes_of(episodes.episode_changes(events, closes))

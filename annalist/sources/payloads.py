@@ -71,9 +71,9 @@ def events_of(variants: DataFrame) -> DataFrame:
     scope = scope_of()
     if nested:
         outer = F.lower(F.concat_ws("::", *(F.trim(F.coalesce(at(k, of="within"), F.lit(""))) for k in ("tenant", "namespace", "workspace", "project"))))
-        scope = F.when(at("scope", "variant").isNull(), outer).otherwise(scope)
+        scope = F.when(truthy(at("scope", "variant")).isNull(), outer).otherwise(scope)
     return v.where(at("kind").isNotNull()).select(
-        filled(at("event_id")).alias("event_id"), scope.alias("scope_key"), session.alias("session_id"), F.to_timestamp(at("timestamp")).alias("ts"), at("arrival", "long").alias("arrival"),
+        filled(at("event_id")).alias("event_id"), scope.alias("scope_key"), session.alias("session_id"), F.try_to_timestamp(at("timestamp")).alias("ts"), at("arrival", "long").alias("arrival"),
         F.lower(F.trim(at("kind"))).alias("kind"), at("raw_text").alias("raw_text"), at("normalized_text").alias("normalized_text"), at(f"{p}.raw_text").alias("p_raw"),
         at(f"{p}.normalized_text").alias("p_normalized"), at(f"{p}.interpreted_text").alias("p_interpreted"), at(f"{p}.tool_observation_text").alias("observation"),
         F.coalesce(at(f"{p}.needs_clarification", "boolean"), F.lit(False)).alias("unclear"), F.coalesce(at("hints.pin", "boolean"), F.lit(False)).alias("pin"),

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from annalist.plans.memory import ORACLE, QUERIES
+from annalist.plans.all import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents labels benchmark conversations".split()

@@ -122,6 +122,14 @@ def artifacts_of(events: DataFrame) -> DataFrame:
     return e.select("event_id", "scope_key", "session_id", "ts", "arrival", F.explode(every).alias("a")).select("event_id", "scope_key", "session_id", "ts", "arrival", "a.*")
 
 
+def key() -> Column:
+    """What tells artifacts of a scope and kind apart: a lease's or entity's folded name, an episode's session and title, else name, predicate and object."""
+    c = F.col
+    folded = lambda *names: F.concat_ws("\x1f", *(F.coalesce(rules.folded(c(n)), F.lit("")) for n in names))
+    alone, queued = folded("name"), folded("name", "canonical", "trigger")
+    return F.when(c("artifact").isin("lease", "entity"), alone).when(c("artifact") == "episode", folded("session_id", "name")).when(c("artifact") == "queue", queued).otherwise(folded("name", "predicate", "object"))
+
+
 def upserted(artifacts: DataFrame) -> DataFrame:
     """One row for each artifact of a scope, by its folded name, predicate and object (a lease by its key, an episode by session and title).
 
@@ -129,12 +137,9 @@ def upserted(artifacts: DataFrame) -> DataFrame:
     confidence, pinned if ever, the number of events as evidence, a lease's latest value, and of what is queued the first
     priority. All of it is partial aggregation, so a hot artifact costs its tasks one row each.
     """
-    c = F.col
-    folded = lambda *names: F.concat_ws("\x1f", *(F.coalesce(rules.folded(c(n)), F.lit("")) for n in names))
-    key = F.when(c("artifact").isin("lease", "entity"), folded("name")).when(c("artifact") == "episode", folded("session_id", "name")).when(c("artifact") == "queue", folded("name", "canonical", "trigger")).otherwise(folded("name", "predicate", "object"))
     order = F.struct("arrival", "event_id")
     first, last = (lambda n: F.min_by(n, order).alias(n)), (lambda n: F.max_by(n, order).alias(n))
-    g = artifacts.withColumn("key", key).groupBy("scope_key", "artifact", "key").agg(
+    g = artifacts.withColumn("key", key()).groupBy("scope_key", "artifact", "key").agg(
         *map(first, ("name", "predicate", "canonical", "trigger", "priority")), *map(last, ("object", "ttl")), F.max("confidence").alias("confidence"), F.bool_or("pinned").alias("pinned"),
         F.count_distinct("event_id").alias("evidence"), F.min_by("ts", order).alias("first_seen"), F.max_by("ts", order).alias("last_seen"),
     )

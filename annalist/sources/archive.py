@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows as written into the folder that the cluster shares for checkpoints, for what is read several times; a lost executor costs a re-read."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="annalist-"))  # a local session that names none, as in tests
+    return df.checkpoint()
+
+
 def scope_key(scope) -> F.Column:
     return F.lower(F.concat_ws("::", *(F.trim(scope[k]) for k in ("tenant", "namespace", "workspace", "project"))))
 

@@ -76,7 +76,7 @@ def events_of(variants: DataFrame) -> DataFrame:
         filled(at("event_id")).alias("event_id"), scope.alias("scope_key"), session.alias("session_id"), F.try_to_timestamp(at("timestamp")).alias("ts"), at("arrival", "long").alias("arrival"),
         F.lower(F.trim(at("kind"))).alias("kind"), at("raw_text").alias("raw_text"), at("normalized_text").alias("normalized_text"), at(f"{p}.raw_text").alias("p_raw"),
         at(f"{p}.normalized_text").alias("p_normalized"), at(f"{p}.interpreted_text").alias("p_interpreted"), at(f"{p}.tool_observation_text").alias("observation"),
-        F.coalesce(at(f"{p}.needs_clarification", "boolean"), F.lit(False)).alias("unclear"), F.coalesce(at("hints.pin", "boolean"), F.lit(False)).alias("pin"),
+        at(f"{p}.route_domain").alias("route_domain"), at(f"{p}.route_action").alias("route_action"), F.coalesce(at(f"{p}.needs_clarification", "boolean"), F.lit(False)).alias("unclear"), F.coalesce(at("hints.pin", "boolean"), F.lit(False)).alias("pin"),
         F.coalesce(at(f"{p}.pin", "boolean"), F.lit(False)).alias("p_pin"), F.filter(F.transform(at("hints.entities", "array<variant>"), lambda x: filled(F.try_variant_get(x, "$", "string"))), lambda x: x.isNotNull()).alias("hint_entities"),
         F.filter(F.transform(at("hints.relations", "array<variant>"), relation), lambda r: r["src"].isNotNull() & r["dst"].isNotNull()).alias("hint_relations"),
         at("hints.episode_hint").alias("episode_hint"), F.coalesce(at("scores.importance", "double"), F.lit(0.5)).alias("importance"), F.coalesce(at("scores.confidence", "double"), F.lit(0.5)).alias("confidence"),

@@ -327,12 +327,19 @@ def members_of(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame
     return members, settle(members.groupBy(*of).agg(F.sum("n_tokens").alias("n_tokens")).coalesce(8), "cells")
 
 
+def _cell() -> Column:
+    """A posterior's number, from its first two parts; the last is what they leave of GRAIN."""
+    return F.round(F.col("p0") * GRAIN).cast("int") * (GRAIN + 1) + F.round(F.col("p1") * GRAIN).cast("int")
+
+
 def _mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None) -> DataFrame:
     """mix() with the hash of each row's text."""
     members, cells = members_of(docs, labels)
     history, _ = fit_rates(cells, targets)
     draw = F.pmod(F.xxhash64(F.coalesce("doc_id", "text_hash"), F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rated = members.withColumn("rate", _rate(history))
+    # a rate for each posterior, some 500,000 at most, worked out once and sent to the rows
+    rates = settle(cells.select(_cell().alias("cell"), _rate(history).alias("rate")), "rates")
+    rated = members.withColumn("cell", _cell()).join(F.broadcast(rates), "cell")
     return rated.select("doc_id", "text_hash", "n_tokens", *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"))
 
 

@@ -14,6 +14,7 @@ from annalist.functions import ranking, rules, text
 from annalist.functions.policy import Policy
 from annalist.operators import archive as ops
 from annalist.operators import derive
+from annalist.sources.archive import settled
 from annalist.streaming.ingest import stored
 
 EVENTS = "event_id string, scope string, session_id string, ts timestamp, kind string, raw_text string, importance double, confidence double, pinned boolean, idempotency_key string, arrival long"
@@ -51,15 +52,17 @@ class Memory:
 
     # events and states
     def ingest_events(self, events: DataFrame) -> DataFrame:
-        """Appends events whose idempotency key is new in their scope, the first arrival of each; offered, accepted and duplicates."""
+        """Appends events whose idempotency key is new in their scope, the first arrival of each; offered, accepted and duplicates.
+
+        An event without a key goes by its event_id; those with neither count as one.
+        """
         named = {f.name: f.dataType for f in self.spark.createDataFrame([], EVENTS).schema}
-        rows = events.select(*(F.col(c).cast(t) for c, t in named.items()))
+        rows = events.select(*(F.col(c).cast(t) for c, t in named.items())).withColumn("idempotency_key", F.coalesce("idempotency_key", "event_id", F.lit("")))
         first = ops.first_by(rows, ["scope", "idempotency_key"], ["arrival", "event_id"])
-        known = self._log("events", EVENTS).join(F.broadcast(rows.select("scope").distinct()), "scope", "left_semi").select("scope", "idempotency_key")
-        new = first.join(known, ["scope", "idempotency_key"], "left_anti").select(*named)
-        before = self._log("events", EVENTS).count()
+        known = self._log("events", EVENTS).join(F.broadcast(rows.select("scope").distinct()), "scope", "left_semi").select("scope", F.coalesce("idempotency_key", "event_id", F.lit("")).alias("idempotency_key"))
+        new = settled(first.join(known, ["scope", "idempotency_key"], "left_anti").select(*named))
         self._append("events", new)
-        offered, accepted = rows.count(), self._log("events", EVENTS).count() - before
+        offered, accepted = rows.count(), new.count()
         return self.spark.createDataFrame([(offered, accepted, offered - accepted)], "offered long, accepted long, duplicates long")
 
     def events(self, scope: str) -> DataFrame:
@@ -171,7 +174,8 @@ class Memory:
         spread = F.greatest("sessions", "days")
         blend = F.lit(0.4) * F.least(one, F.col("source")) + F.lit(0.35) * F.least(one, spread / F.col("support")) + F.lit(0.25) * F.least(one, F.col("support") / 5)
         ranked = g.where("sessions >= 2 or days >= 2").withColumn("confidence", text.rounded(blend))
-        return ranked.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("confidence"), F.desc("said")))).where(F.col("place") <= limit)
+        order = [F.desc("confidence"), F.desc("said")]
+        return ranked.orderBy(*order).limit(max(1, limit)).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # over as many rows as are asked for
 
 
 #: The tools by name, for a host that dispatches calls.

@@ -174,6 +174,8 @@ def test_memory_from_events_to_recall(spark, tmp_path):
     ]
     events = spark.createDataFrame(rows, "event_id string, scope string, session_id string, ts timestamp, kind string, raw_text string, importance double, confidence double, pinned boolean, idempotency_key string, arrival long")
     assert tuple(m.ingest_events(events).first()) == (7, 6, 1) and tuple(m.ingest_events(events).first()) == (7, 0, 7)
+    keyless = spark.createDataFrame([(i, "k", "a", t(1), "message", "x", 0.1, 0.1, False, None, 1) for i in ("a", "b", "b")], events.schema)
+    assert tuple(m.ingest_events(keyless).first()) == (3, 2, 1) and tuple(m.ingest_events(keyless).first()) == (3, 0, 3)
     found = {r["canonical"]: (r["evidence"], r["claim_id"]) for r in m.claims("s").collect()}
     assert {k: v[0] for k, v in found.items()} == {"The gate is open": 3, "operator has name Ines": 1, "The pump is blue": 1}
     assert m.review_queue("s").count() == 3

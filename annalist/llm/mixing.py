@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,19 +50,34 @@ def _feature(part: str) -> int:
     return zlib.crc32(part.encode("utf-8", "surrogatepass")) % FEATURES
 
 
-class _Words(dict):
-    """What a worker remembers of words: their features, only those weighed if some are; whether they are in capitals."""
+#: A worker forgets its words between texts once it knows so many.
+REMEMBERED = 600_000
+
+
+class _Words:
+    """What a worker remembers of words: features, only those weighed if some are, of words that have any; which are in capitals."""
 
     def __init__(self, weighed: np.ndarray | None = None):
         self.weighed = None if weighed is None else frozenset(weighed.tolist())
-
-    def __missing__(self, word: bytes) -> tuple[tuple[int, ...], bool]:
-        if len(self) > 400_000:
-            self.clear()
-        parts, capitals = _parts(word)
-        found = {_feature(p) for p in parts + [_CAPITALS] * capitals}
-        self[word] = out = tuple(found if self.weighed is None else found & self.weighed), capitals
-        return out
+        self.met: set[bytes] = set()
+        self.telling: dict[bytes, tuple[int, ...]] = {}
+        self.capitals: set[bytes] = set()
+
+    def meet(self, words: set[bytes]) -> None:
+        if len(self.met) > REMEMBERED:
+            self.met.clear()
+            self.telling.clear()
+            self.capitals.clear()
+        for word in words - self.met:
+            parts, capitals = _parts(word)
+            found = {_feature(p) for p in parts + [_CAPITALS] * capitals}
+            if self.weighed is not None:
+                found &= self.weighed
+            if found:
+                self.telling[word] = tuple(found)
+            if capitals:
+                self.capitals.add(word)
+        self.met |= words
 
 
 def _shapes(text: str, n_words: int, n_different: int, n_capitals: int) -> list[str]:
@@ -86,13 +102,9 @@ def features_of(text: str | None, known: _Words) -> tuple[list[int], int]:
     """The different features of a text, words and shapes, and its number of words."""
     words = text.encode("utf-8", "surrogatepass").split() if text else []  # at ASCII white space
     different = set(words)
-    found: set[int] = set()
-    capitals = 0
-    for f, c in map(known.__getitem__, different):
-        if f:
-            found.update(f)
-        capitals += c
-    found.update(map(_feature, _shapes(text or "", len(words), len(different), capitals)))
+    known.meet(different)
+    found = set(chain.from_iterable(map(known.telling.__getitem__, known.telling.keys() & different)))
+    found.update(map(_feature, _shapes(text or "", len(words), len(different), len(known.capitals & different))))
     return sorted(found), len(words)
 
 

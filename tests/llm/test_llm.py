@@ -36,7 +36,8 @@ def texts(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_rows_as_sql(spark, name):
     duck = duckdb.connect()
-    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for name_ in ("documents", "embeddings"):
+        duck.sql(f"CREATE VIEW {name_} AS SELECT * FROM '{SF}/{name_}.parquet'")
     expected = duck.sql(ORACLE[name])
     df = QUERIES[name](spark, SF)
     assert sorted(map(repr, map(tuple, df.select(*expected.columns).collect()))) == sorted(map(repr, expected.fetchall()))

@@ -46,7 +46,7 @@ def staged(events: DataFrame) -> DataFrame:
     e = e.withColumn("text", rules.derivation_text(c("kind"), *texts, c("_p_interpreted"), c("_observation"), reacted=c("_reacts")))
     e = e.withColumn("normal", rules.normalised_text(c("text"), *texts)).withColumn("_bare", dv.without_fillers(c("text")))
     e = e.withColumn("names", dv.phrases(F.when(~c("_reacts"), c("text")), c("hint_entities")))
-    e = e.withColumn("_sides", dv.relation_sides(c("names")))
+    e = e.withColumn("_sides", F.when(dv.has_cue(c("normal")), dv.relation_sides(c("names"))))  # of no use without a cue
     e = e.withColumns({"_read": dv.relation(c("normal"), c("_sides")), "_fact": rules.memory_fact(c("_bare")), "_copula": dv.copula_claim(c("_bare")), "_first": F.get("names", F.lit(0)), "_low": F.transform("names", F.lower)})
     e = e.withColumn("_spoken", _spoken())
     e = e.withColumns({"relations": _relations(), "claims": _claims()})
@@ -59,7 +59,7 @@ def _relations() -> Column:
     hinted = F.transform(typed, lambda r: F.struct(r["src"].alias("src"), r["dst"].alias("dst"), r["type"].alias("type"), F.coalesce(r["confidence"], F.lit(dv.HINT_CONFIDENCE)).alias("confidence")))
     read = F.array_compact(F.array("_read"))
     known = lambda r: F.array_contains("_low", F.lower(r["src"])) & F.array_contains("_low", F.lower(r["dst"]))
-    return F.filter(F.when(F.coalesce(F.size(hinted), F.lit(0)) > 0, hinted).otherwise(read), known)
+    return dv.let(hinted, lambda h: F.filter(F.when(F.coalesce(F.size(h), F.lit(0)) > 0, h).otherwise(read), known))
 
 
 def _spoken() -> Column:
@@ -86,8 +86,8 @@ def _claims() -> Column:
     c = F.col
 
     def named(x: Column) -> Column:
-        told = rules.profile_claim(F.coalesce(x["subject"], c("_first")), x["predicate"], x["object"], F.coalesce(x["canonical"], F.concat_ws(" ", x["predicate"], x["object"])))
-        return F.struct(told["subject"].alias("subject"), told["predicate"].alias("predicate"), told["object"].alias("object"), told["canonical"].alias("canonical"), F.coalesce(x["confidence"], c("confidence")).alias("confidence"), (x["pinned"] | c("pin")).alias("pinned"))
+        told_claim = rules.profile_claim(F.coalesce(x["subject"], c("_first")), x["predicate"], x["object"], F.coalesce(x["canonical"], F.concat_ws(" ", x["predicate"], x["object"])))
+        return dv.let(told_claim, lambda t: F.struct(*(t[n].alias(n) for n in ("subject", "predicate", "object", "canonical")), F.coalesce(x["confidence"], c("confidence")).alias("confidence"), (x["pinned"] | c("pin")).alias("pinned")))
 
     return F.when(F.size("told_claims") > 0, F.transform("told_claims", named)).otherwise(F.array_compact(F.array("_spoken")))
 
@@ -138,9 +138,10 @@ def upserted(artifacts: DataFrame) -> DataFrame:
     priority. All of it is partial aggregation, so a hot artifact costs its tasks one row each.
     """
     order = F.struct("arrival", "event_id")
-    first, last = (lambda n: F.min_by(n, order).alias(n)), (lambda n: F.max_by(n, order).alias(n))
+    at_first, at_last = ("name", "predicate", "canonical", "trigger", "priority"), ("object", "ttl")
+    # what goes by one order is one value, so that the order is held once for all of it
     g = artifacts.withColumn("key", key()).groupBy("scope_key", "artifact", "key").agg(
-        *map(first, ("name", "predicate", "canonical", "trigger", "priority")), *map(last, ("object", "ttl")), F.max("confidence").alias("confidence"), F.bool_or("pinned").alias("pinned"),
-        F.count_distinct("event_id").alias("evidence"), F.min_by("ts", order).alias("first_seen"), F.max_by("ts", order).alias("last_seen"),
+        F.min_by(F.struct(*at_first, "ts"), order).alias("f"), F.max_by(F.struct(*at_last, "ts"), order).alias("l"), F.max("confidence").alias("confidence"), F.bool_or("pinned").alias("pinned"), F.count_distinct("event_id").alias("evidence"),
     )
-    return g
+    of = lambda held, names: (F.col(f"{held}.{n}").alias(n) for n in names)
+    return g.select("scope_key", "artifact", "key", *of("f", at_first), *of("l", at_last), "confidence", "pinned", "evidence", F.col("f.ts").alias("first_seen"), F.col("l.ts").alias("last_seen"))

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_CLAIM = ("subject_name", "subject", "predicate", "object_text", "object", "canonical_claim")
+_CLAIM = "struct<subject_name:string,subject:string,predicate:string,object_text:string,object:string,canonical_claim:string,confidence:double,pinned:boolean>"
+_RELATION = "struct<src:string,source:string,dst:string,target:string,type:string,relation_type:string,confidence:double>"
+_PAYLOAD = f"""struct<raw_text:string,normalized_text:string,interpreted_text:string,tool_observation_text:string,route_domain:string,route_action:string,needs_clarification:boolean,pin:boolean,
+claims:array<{_CLAIM}>,claim:variant,fact:variant,value_json:variant,value:variant,ttl_seconds:bigint,ttl:bigint,lease_key:string,key:string>""".replace("\n", "")
+_SCOPE = "struct<tenant:string,namespace:string,workspace:string,project:string>"
+#: What is read of an event, all by one walk through its document; a field that isn't there or is of another type is null.
+_EVENT = f"""struct<event_id:string,session_id:string,timestamp:string,arrival:bigint,kind:string,raw_text:string,normalized_text:string,idempotency_key:string,scope:{_SCOPE},
+structured_payload:{_PAYLOAD},hints:struct<pin:boolean,entities:array<string>,relations:array<{_RELATION}>,episode_hint:string>,scores:struct<importance:double,confidence:double>>""".replace("\n", "")
 #: JSON of values that count as absent.
 _EMPTY = ("null", '""', "0", "0.0", "false", "{}", "[]")
 
@@ -25,10 +32,6 @@ def truthy(value: Column) -> Column:
     return F.when(~F.to_json(value).isin(*_EMPTY), value)
 
 
-def scope_of(prefix: str = "scope") -> Column:
-    return F.lower(F.concat_ws("::", *(F.trim(F.coalesce(at(f"{prefix}.{k}"), F.lit(""))) for k in ("tenant", "namespace", "workspace", "project"))))
-
-
 def parsed(docs: DataFrame, column: str = "doc") -> DataFrame:
     """v, the parsed document, of each row; what is no JSON is null there and gives no event."""
     return docs.select(F.try_parse_json(column).alias("v"))
@@ -41,12 +44,11 @@ def host_events(docs: DataFrame, column: str = "doc") -> DataFrame:
 
 
 def _claim(x: Column, speaker: bool) -> Column:
-    """One claim of a payload; speaker: whether `subject` may stand for `subject_name`."""
-    get = lambda name, kind="string": F.try_variant_get(x, f"$.{name}", kind)
-    subject = F.coalesce(filled(get("subject_name")), filled(get("subject"))) if speaker else filled(get("subject_name"))
+    """One claim of a payload (see _CLAIM); speaker: whether `subject` may stand for `subject_name`."""
+    subject = F.coalesce(filled(x["subject_name"]), filled(x["subject"])) if speaker else filled(x["subject_name"])
     return F.struct(
-        subject.alias("subject"), filled(get("predicate")).alias("predicate"), F.coalesce(filled(get("object_text")), filled(get("object"))).alias("object"),
-        filled(get("canonical_claim")).alias("canonical"), F.nullif(get("confidence", "double"), F.lit(0.0)).alias("confidence"), F.coalesce(get("pinned", "boolean"), F.lit(False)).alias("pinned"),
+        subject.alias("subject"), filled(x["predicate"]).alias("predicate"), F.coalesce(filled(x["object_text"]), filled(x["object"])).alias("object"),
+        filled(x["canonical_claim"]).alias("canonical"), F.nullif(x["confidence"], F.lit(0.0)).alias("confidence"), F.coalesce(x["pinned"], F.lit(False)).alias("pinned"),
     )
 
 
@@ -56,30 +58,33 @@ def events_of(variants: DataFrame) -> DataFrame:
     Missing scores are 0.5. A claim without predicate or object, a relation hint without a side, and items of another
     type are left out. Of a lease, ttl falls back to an hour, and a value that is no object is wrapped into one.
     """
-    p = "structured_payload"
     sound = lambda c: c["predicate"].isNotNull() & c["object"].isNotNull()
-    listed = F.filter(F.transform(at(f"{p}.claims", "array<variant>"), lambda x: _claim(x, True)), sound)
-    single = F.filter(F.array(_claim(F.coalesce(truthy(at(f"{p}.claim", "variant")), truthy(at(f"{p}.fact", "variant"))), False)), sound)
-    value = F.coalesce(truthy(at(f"{p}.value_json", "variant")), truthy(at(f"{p}.value", "variant")), F.parse_json(F.lit("{}")))
-    wrapped = F.when(F.schema_of_variant(value).startswith("OBJECT"), F.to_json(value)).otherwise(F.concat(F.lit('{"value":'), F.to_json(value), F.lit("}")))
-    ttl = lambda name: F.nullif(at(f"{p}.{name}", "long"), F.lit(0))
-    get = lambda x, *names: F.coalesce(*(filled(F.try_variant_get(x, f"$.{n}", "string")) for n in names))
-    relation = lambda x: F.struct(get(x, "src", "source").alias("src"), get(x, "dst", "target").alias("dst"), get(x, "type", "relation_type").alias("type"), F.nullif(F.try_variant_get(x, "$.confidence", "double"), F.lit(0.0)).alias("confidence"))
+    get = lambda x, *names: F.coalesce(*(filled(x[n]) for n in names))
+    relation = lambda x: F.struct(get(x, "src", "source").alias("src"), get(x, "dst", "target").alias("dst"), get(x, "type", "relation_type").alias("type"), F.nullif(x["confidence"], F.lit(0.0)).alias("confidence"))
+    joined = lambda s: F.lower(F.concat_ws("::", *(F.trim(F.coalesce(s[k], F.lit(""))) for k in ("tenant", "namespace", "workspace", "project"))))
     nested = {"of", "within"} <= set(variants.columns)
-    session = F.coalesce(filled(at("session_id")), F.col("of")) if nested else filled(at("session_id"))
-    v = variants.withColumn("v", F.coalesce("v", F.parse_json(F.lit("null"))))
-    scope = scope_of()
+    # an explode of one, so that the test of the kind isn't moved below the parsing, which would then be done twice
+    v = variants.withColumn("e", F.explode(F.array(F.try_variant_get("v", "$", _EVENT)))).where("e.kind is not null")
+    e = lambda name: F.col(f"e.{name}")
+    p = lambda name: e(f"structured_payload.{name}")
+    session, scope = filled(e("session_id")), joined(e("scope"))
     if nested:
-        outer = F.lower(F.concat_ws("::", *(F.trim(F.coalesce(at(k, of="within"), F.lit(""))) for k in ("tenant", "namespace", "workspace", "project"))))
-        scope = F.when(truthy(at("scope", "variant")).isNull(), outer).otherwise(scope)
-    return v.where(at("kind").isNotNull()).select(
-        filled(at("event_id")).alias("event_id"), scope.alias("scope_key"), session.alias("session_id"), F.try_to_timestamp(at("timestamp")).alias("ts"), at("arrival", "long").alias("arrival"),
-        F.lower(F.trim(at("kind"))).alias("kind"), at("raw_text").alias("raw_text"), at("normalized_text").alias("normalized_text"), at(f"{p}.raw_text").alias("p_raw"),
-        at(f"{p}.normalized_text").alias("p_normalized"), at(f"{p}.interpreted_text").alias("p_interpreted"), at(f"{p}.tool_observation_text").alias("observation"),
-        at(f"{p}.route_domain").alias("route_domain"), at(f"{p}.route_action").alias("route_action"), F.coalesce(at(f"{p}.needs_clarification", "boolean"), F.lit(False)).alias("unclear"), F.coalesce(at("hints.pin", "boolean"), F.lit(False)).alias("pin"),
-        F.coalesce(at(f"{p}.pin", "boolean"), F.lit(False)).alias("p_pin"), F.filter(F.transform(at("hints.entities", "array<variant>"), lambda x: filled(F.try_variant_get(x, "$", "string"))), lambda x: x.isNotNull()).alias("hint_entities"),
-        F.filter(F.transform(at("hints.relations", "array<variant>"), relation), lambda r: r["src"].isNotNull() & r["dst"].isNotNull()).alias("hint_relations"),
-        at("hints.episode_hint").alias("episode_hint"), F.coalesce(at("scores.importance", "double"), F.lit(0.5)).alias("importance"), F.coalesce(at("scores.confidence", "double"), F.lit(0.5)).alias("confidence"),
-        F.when(F.size(listed) > 0, listed).otherwise(single).alias("told_claims"), F.coalesce(filled(at(f"{p}.lease_key")), filled(at(f"{p}.key"))).alias("lease_key"),
-        wrapped.alias("lease_value"), F.coalesce(ttl("ttl_seconds"), ttl("ttl"), F.lit(3600)).alias("ttl"), filled(at("idempotency_key")).alias("idempotency_key"),
+        session = F.coalesce(session, F.col("of"))
+        scope = F.when(truthy(at("scope", "variant")).isNull(), joined(F.try_variant_get("within", "$", _SCOPE))).otherwise(scope)
+    # each is a column of its own, so that it is worked out once
+    v = v.withColumns({"_session": session, "_scope": scope, "_value": F.coalesce(truthy(p("value_json")), truthy(p("value"))), "_one": F.coalesce(truthy(p("claim")), truthy(p("fact"))), "_listed": F.filter(F.transform(p("claims"), lambda x: _claim(x, True)), sound)})
+    v = v.withColumns({"_value": F.coalesce("_value", F.parse_json(F.lit("{}"))), "_one": F.try_variant_get("_one", "$", _CLAIM)})
+    wrapped = F.when(F.schema_of_variant("_value").startswith("OBJECT"), F.to_json("_value")).otherwise(F.concat(F.lit('{"value":'), F.to_json("_value"), F.lit("}")))
+    single = F.filter(F.array(_claim(F.col("_one"), False)), sound)
+    ttl = lambda name: F.nullif(p(name), F.lit(0))
+    return v.select(
+        filled(e("event_id")).alias("event_id"), F.col("_scope").alias("scope_key"), F.col("_session").alias("session_id"), F.try_to_timestamp(e("timestamp")).alias("ts"), e("arrival").alias("arrival"),
+        F.lower(F.trim(e("kind"))).alias("kind"), e("raw_text").alias("raw_text"), e("normalized_text").alias("normalized_text"), p("raw_text").alias("p_raw"),
+        p("normalized_text").alias("p_normalized"), p("interpreted_text").alias("p_interpreted"), p("tool_observation_text").alias("observation"),
+        p("route_domain").alias("route_domain"), p("route_action").alias("route_action"), F.coalesce(p("needs_clarification"), F.lit(False)).alias("unclear"), F.coalesce(e("hints.pin"), F.lit(False)).alias("pin"),
+        F.coalesce(p("pin"), F.lit(False)).alias("p_pin"), F.filter(F.transform(e("hints.entities"), filled), lambda x: x.isNotNull()).alias("hint_entities"),
+        F.filter(F.transform(e("hints.relations"), relation), lambda r: r["src"].isNotNull() & r["dst"].isNotNull()).alias("hint_relations"),
+        e("hints.episode_hint").alias("episode_hint"), F.coalesce(e("scores.importance"), F.lit(0.5)).alias("importance"), F.coalesce(e("scores.confidence"), F.lit(0.5)).alias("confidence"),
+        F.when(F.size("_listed") > 0, F.col("_listed")).otherwise(single).alias("told_claims"), F.coalesce(filled(p("lease_key")), filled(p("key"))).alias("lease_key"),
+        wrapped.alias("lease_value"), F.coalesce(ttl("ttl_seconds"), ttl("ttl"), F.lit(3600)).alias("ttl"), filled(e("idempotency_key")).alias("idempotency_key"),
     )

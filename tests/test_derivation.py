@@ -86,3 +86,16 @@ def test_episodes_of_the_tables(spark):
     names = "title status start_at end_at updated_at entities confidence events".split()
     assert {(r["session_id"], r["episode"]): tuple(r[n] for n in names) for r in QUERIES["derived_episodes"](spark, SF).collect()} == expected
     assert sum(v[1] == "closed" for v in expected.values()) == len({k for k in expected if k[0] in ends})
+
+
+def test_a_document_is_parsed_and_walked_once(spark):
+    events = payloads.events_of(payloads.parsed(spark.createDataFrame([("{}",)], "doc string")))
+    plan = events._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parsejson(") == 1 and plan.count("variant_get(") == 2  # the event, and a single claim
+
+
+def test_fields_of_other_types_leave_the_rest_alone(spark):
+    doc = event(1, "note", structured_payload={"needs_clarification": [1], "claims": {"predicate": "x"}, "claim": {}, "fact": {"subject": "not read", "predicate": " p ", "object": 3, "confidence": "0.5", "pinned": {}}, "ttl": "x"}, hints={"pin": [], "entities": 4, "relations": [[1], {"src": 1, "target": "b"}]}, scores={"importance": {}, "confidence": "0.25"})
+    (row,) = payloads.events_of(payloads.parsed(spark.createDataFrame([(json.dumps(doc),)], "doc string"))).collect()
+    assert (row["unclear"], row["pin"], row["hint_entities"], row["ttl"], row["importance"], row["confidence"]) == (False, False, None, 3600, 0.5, 0.25)
+    assert [tuple(c) for c in row["told_claims"]] == [(None, "p", "3", None, 0.5, False)] and [tuple(r) for r in row["hint_relations"]] == [("1", "b", None, None)]

@@ -449,7 +449,8 @@ def pattern_episodes(spark, d):
 
 @query(f"WITH {_EDGES}, g AS (SELECT src AS anchor, count(*) AS support, count(DISTINCT dst) AS neighbours FROM e GROUP BY src) SELECT anchor, support, neighbours, greatest(least(CAST(1 AS DOUBLE), support / CAST(3 AS DOUBLE)), least(CAST(1 AS DOUBLE), neighbours / CAST(4 AS DOUBLE))) AS consistency FROM g WHERE support >= 2")
 def pattern_relations(spark, d):
-    g = _edges(spark, d).groupBy(F.col("src").alias("anchor")).agg(F.count("*").alias("support"), F.count_distinct("dst").alias("neighbours")).where("support >= 2")
+    # edges are one for each pair, so those of a source that have an end are as many as its neighbours
+    g = _edges(spark, d).groupBy(F.col("src").alias("anchor")).agg(F.count("*").alias("support"), F.count("dst").alias("neighbours")).where("support >= 2")
     return g.withColumn("consistency", F.greatest(F.least(F.lit(1.0), F.col("support") / 3), F.least(F.lit(1.0), F.col("neighbours") / 4)))
 
 

@@ -29,3 +29,9 @@ def test_same_rows_as_sql(spark, duck, name):
     expected = duck.sql(ORACLE[name])
     assert sorted(df.columns) == sorted(expected.columns)
     assert rows(df.columns, map(tuple, df.collect())) == rows(expected.columns, expected.fetchall())
+
+
+def test_graph_queries_tell_nothing_apart_twice(spark):
+    for name in ("pattern_relations", "graph_summary"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "distinct" not in plan and "expand" not in plan

@@ -349,8 +349,11 @@ def archive_density(spark, d):
 @query(f"WITH {_EDGES}, n AS (SELECT 's' || src AS node FROM e UNION SELECT 'p' || dst FROM e) SELECT (SELECT count(*) FROM n) AS endpoints, (SELECT count(*) FROM e) AS edges, (SELECT count(DISTINCT src) FROM e) AS sources")
 def graph_summary(spark, d):
     e = _edges(spark, d)
-    ends = e.select(F.explode(F.array(F.concat(F.lit("s"), "src"), F.concat(F.lit("p"), "dst"))).alias("node"), F.lit(None).cast("long").alias("src"), F.lit(0).alias("edge"))
-    return ends.unionByName(e.select(F.lit(None).cast("string").alias("node"), "src", F.lit(1).alias("edge"))).agg(F.count_distinct("node").alias("endpoints"), F.sum("edge").alias("edges"), F.count_distinct("src").alias("sources"))
+    end = lambda side: F.struct(F.lit(side).alias("side"), F.col(side).alias("key"))
+    # each end once with its edges, so that nothing is told apart but by one aggregation
+    ends = e.select(F.explode(F.array(end("src"), end("dst"))).alias("of")).groupBy("of.side", "of.key").agg(F.count("*").alias("n"))
+    source = F.col("side") == "src"
+    return ends.agg(F.count("key").alias("endpoints"), F.coalesce(F.sum(F.when(source, F.col("n"))), F.lit(0)).alias("edges"), F.count(F.when(source, F.col("key"))).alias("sources"))
 
 
 @query(f"""WITH {_W}, {_D}, {_L} SELECT layer, count(*) AS n FROM (SELECT 'archive' AS layer FROM w UNION ALL SELECT 'belief' FROM st WHERE remember = 'remembered' UNION ALL SELECT 'candidate' FROM st WHERE remember = 'candidate' UNION ALL SELECT 'graph' FROM lineitem) GROUP BY layer""")

@@ -4,15 +4,16 @@ Rows of the incidence matrix are the different shingle sets (equal sets are one
 that can decide are multiplied: of each row, in one global order that puts widespread shingles last, the first
 n - ceil(t n) + 1; two rows linked at threshold t share one of them, and their sizes lie within t of each other.
 
-The product is taken in two grains. In the coarse one a row is its counts in ranges of hashes; two rows' sum of minima
-bounds their overlap, and pairs below what their sizes demand are discarded. In the fine one the overlaps of the
-pairs left are accumulated from the whole sets, a row against a block of rows at a time.
+The product is taken in two grains. In the coarse one a row is the parities of its counts in ranges of hashes; where two
+rows' parities differ, one has a hash that the other hasn't, which bounds their overlap, and pairs below what their
+sizes demand are discarded. In the fine one the overlaps of the pairs left are accumulated from the whole sets, a row
+against a block of rows at a time.
 
 What is wanted are the components of the links, so large groups of near copies need not be multiplied out. In rounds the
 rows of a column that lie in different components are dealt into blocks, and each row is tried with its best partner
 among those before it in the block, so that a block of near copies becomes one component at once, until a round links
-nothing; a column none of whose pairs passes the coarse product is left out after the first one. At last every pair left
-across components is taken, block by block, blocks of one size band meeting only those of the same band and the next,
+nothing; a column of one block that has few pairs has all of them tried in one round, and is left out after it. At last
+every pair left across components is taken, block by block, blocks of one size band meeting only those of the same band and the next,
 beyond which sizes differ too much. No link between different sets is lost to the components.
 """
 
@@ -35,16 +36,18 @@ SLOTS = 1 << 21
 _SLOT_BLOCKS = 32
 #: Most rows whose ids are broadcast to pick the texts that a product needs; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 300_000
-#: Ranges of hashes that sets of up to so many hashes are counted in, a byte each; 255 stands for that or more.
-RANGES = ((512, 64), (1536, 128), (4096, 256), (float("inf"), 512))
+#: Bytes that hold the parities of sets of up to so many hashes, a bit for each range of hashes.
+RANGES = ((512, 64), (1536, 128), (4096, 256), (8192, 512), (16384, 1024), (float("inf"), 2048))
 #: Columns whose slot counts more rows than this are hot: they are counted in parts. All others are no longer than this.
 HOT = 1_000_000
 #: Rows of a block, about; a column of at most twice so many is one block.
 BLOCK = 512
 #: Hashes of the sets that one row is multiplied with at once, about.
 MULTIPLIED = 1 << 20
-#: Pairs whose bounds are taken at once.
-_PAIRS = 1 << 17
+#: Pairs of a block of near copies are tried all at once if there are at most so many for each row.
+FEW_PAIRS = 2
+#: Pairs whose bounds are taken at once, and bytes of parities, about.
+_PAIRS, _PARITIES = 1 << 17, 1 << 24
 _CACHE = 400_000
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _HASHES: dict[bytes, int] = {}
@@ -107,9 +110,9 @@ def _key(s: np.ndarray) -> bytes:
 
 
 def ranges_of(s: np.ndarray) -> bytes:
-    size = next(r for most, r in RANGES if len(s) <= most)
-    counts = np.bincount((s >> np.uint64(65 - size.bit_length())).astype(np.int64), minlength=size)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    bits = 8 * next(r for most, r in RANGES if len(s) <= most)
+    counts = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def row_heads(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
@@ -226,39 +229,44 @@ def _within(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 class Bounds:
-    """The most that rows can overlap, from their counts in ranges (as bytes) and sizes.
+    """The most that rows can overlap, from the parities of their counts in ranges and their sizes.
 
-    That is the sum of minima, taken in the fewest ranges first and in as many as both rows have where that doesn't
-    discard a pair; or the smaller size, where both have a full range.
+    A range whose parities differ holds a hash of one row alone. They are compared in the fewest ranges first, and in as
+    many as both rows have where that doesn't discard a pair.
     """
 
     def __init__(self, ranges: list[bytes], n: np.ndarray):
         self.n, size = n, np.array([len(r) for r in ranges])
-        self.full = np.array([255 in r for r in ranges])
         self.levels = []
         for _, least in RANGES:
             rows = np.flatnonzero(size >= least)
             if len(rows):
                 place = np.full(len(n), -1)
                 place[rows] = np.arange(len(rows))
-                counts = np.stack([np.frombuffer(ranges[i], dtype=np.uint8).reshape(least, -1).sum(axis=1, dtype=np.uint16) for i in rows])
-                self.levels.append((place, counts))
+                # a range of a shorter row is several of a longer one's, whose parities add up
+                parities = np.stack([np.bitwise_xor.reduce(np.frombuffer(ranges[i], dtype=np.uint64).reshape(-1, least // 8), axis=0) for i in rows])
+                self.levels.append((place, parities))
 
     def most(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
         both = self.n[a] + self.n[b]
         out = np.minimum(self.n[a], self.n[b])
-        at = np.flatnonzero(~(self.full[a] & self.full[b]))
-        for place, counts in self.levels:
+        at = np.arange(len(a))
+        for place, parities in self.levels:
             at = at[(100 * out[at] >= percent * (both[at] - out[at])) & (place[a[at]] >= 0) & (place[b[at]] >= 0)]
-            out[at] = np.minimum(counts[place[a[at]]], counts[place[b[at]]]).sum(axis=1, dtype=np.int64)
+            step = max(1, _PARITIES // (8 * parities.shape[1]))
+            for i in range(0, len(at), step):
+                some = at[i : i + step]
+                apart = np.bitwise_count(parities[place[a[some]]] ^ parities[place[b[some]]]).sum(axis=1, dtype=np.int64)
+                out[some] = np.minimum(out[some], (both[some] - apart) // 2)
         return out
 
 
 def blocked_product(open_: DataFrame, classes: DataFrame, percent: int, round_: int | None) -> DataFrame:
-    """h, a < b: pairs of rows that share a column h, lie in different components and aren't discarded by the coarse product.
+    """h, a < b, rest: pairs of rows that share a column h, lie in different components and aren't discarded by the coarse product.
 
     open_: h, node, n, c (rows of the column, or more), comp. A column of at most 2 * BLOCK rows is one block. In a round a longer one is dealt into blocks
-    by a hash of the round, and of each row's pairs with rows before it in its block the one of the largest bound is given.
+    by a hash of the round. Of a column that is one block and has few pairs all are given in a round; of others, of each
+    row's pairs with rows before it in its block, the one of the largest bound, and rest tells that there may be more.
     Without a round
     every pair is: a longer column is dealt by size band and hash, and a task takes two blocks of one band or of two that
     follow each other. No task holds more than about 2 * BLOCK rows however long the column.
@@ -268,7 +276,7 @@ def blocked_product(open_: DataFrame, classes: DataFrame, percent: int, round_:
     none = F.lit(0)
     if round_ is not None:
         own = F.when(F.col("long"), F.pmod(F.xxhash64("node", F.lit(round_)), F.ceil(F.col("c") / F.lit(BLOCK)))).otherwise(none).cast("int")
-        met = rows.select("h", own.alias("i"), none.alias("j"), none.alias("own"), "node", "n", "comp")
+        met = rows.select("h", own.alias("i"), none.alias("j"), F.col("long").cast("int").alias("own"), "node", "n", "comp")
     else:
         banded = rows.withColumn("band", F.when(F.col("long"), band).otherwise(none))
         sizes = banded.where("long").groupBy("h", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("k"))
@@ -306,6 +314,7 @@ def blocked_product(open_: DataFrame, classes: DataFrame, percent: int, round_:
             later = ends - 1 - np.arange(len(node))  # rows of the group after each
             cross = np.repeat(two, sizes)
             found_a, found_b, found_w = [], [], []
+            block = np.repeat(np.arange(len(lists)), sizes)
             at = 0
             total = np.cumsum(later)
             while at < len(node):
@@ -321,14 +330,24 @@ def blocked_product(open_: DataFrame, classes: DataFrame, percent: int, round_:
                 found_w.append(most[near] / (n[a] + n[b])[near])
                 at = to
             a, b, w = np.concatenate(found_a), np.concatenate(found_b), np.concatenate(found_w)
+            rest = np.zeros(len(a), dtype=bool)
             if best and len(a):
+                # in a round, own tells the blocks of longer columns
+                rest = ((np.bincount(block[a], minlength=len(lists)) > FEW_PAIRS * sizes)[block] | (own == 1))[a]
                 order = np.lexsort((-w, b))
-                first = order[np.append(True, b[order][1:] != b[order][:-1])]
-                a, b = a[first], b[first]
+                first = np.append(True, b[order][1:] != b[order][:-1])
+                kept = np.sort(order[first | ~rest[order]])
+                a, b, rest = a[kept], b[kept], rest[kept]
             lo, hi = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (columns[a], lo, hi)], names=["h", "a", "b"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (columns[a], lo, hi)), pa.array(rest)], names=["h", "a", "b", "rest"])
 
-    return grouped.select("h", "j", "m").mapInArrow(multiply, "h long, a long, b long")
+    return grouped.select("h", "j", "m").mapInArrow(multiply, "h long, a long, b long, rest boolean")
+
+
+def unfinished(lists: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of lists whose columns may have pairs beyond those of a round; of columns longer than a block not all were tried."""
+    short = lists.where(F.col("c") <= 2 * BLOCK).join(pairs.where("rest").select("h").distinct(), "h", "left_semi")
+    return short.unionByName(lists.where(F.col("c") > 2 * BLOCK))
 
 
 def shared_columns(classes: DataFrame) -> DataFrame:
@@ -343,9 +362,7 @@ def link_components(docs: DataFrame, classes: DataFrame, words: int, percent: in
     """node, comp of every row of classes (node, n, head, hot, ranges, first_id, key) that is linked; None if none is."""
     lists = settle(shared_columns(classes), "lists")
     first = settle(blocked_product(lists.withColumn("comp", F.col("node")), classes, percent, 0), "pairs")
-    # a column of one block without any pair links nothing; of longer ones not all pairs were tried
-    short = lists.where(F.col("c") <= 2 * BLOCK).join(first.select("h").distinct(), "h", "left_semi")
-    left = settle(short.unionByName(lists.where(F.col("c") > 2 * BLOCK)), "left")
+    left = settle(unfinished(lists, first), "left")
     drop_settled(lists)
     fresh = tried = settle(first.select("a", "b").distinct(), "tried")
     drop_settled(first)
@@ -362,11 +379,13 @@ def link_components(docs: DataFrame, classes: DataFrame, words: int, percent: in
         mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h")
         open_ = settle(placed.join(mixed, "h", "left_semi"), "open")
         drop_settled(left)
-        left = open_.drop("comp")
-        left._settled_at = open_._settled_at
         # rounds go on as long as they link anything; then all pairs left
         round_ = round_ + 1 if more else None
-        fresh = settle(blocked_product(open_, classes, percent, round_).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "tried")
+        pairs = settle(blocked_product(open_, classes, percent, round_), "pairs")
+        left = open_.drop("comp") if round_ is None else settle(unfinished(open_.drop("comp"), pairs), "left")
+        drop_settled(open_)
+        fresh = settle(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "tried")
+        drop_settled(pairs)
         tried = tried.union(fresh)
 
 

@@ -407,6 +407,35 @@ def test_bounds_are_bounds():
     assert (most >= overlap).all() and (100 * most < 80 * (sizes - most)).sum() > 0.9 * (100 * overlap < 80 * (sizes - overlap)).sum()
 
 
+def test_bounds_discard_what_is_somewhat_alike():
+    """Pairs of a similarity of two thirds are told from those of 0.8 before their whole sets are sent."""
+    rng = np.random.default_rng(6)
+    sets = []
+    for n in (200, 400, 500, 1000, 3000):
+        base = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        for changed in (n // 20, n // 5):
+            sets.append(np.unique(np.concatenate([base[changed:], rng.integers(0, 1 << 64, changed, dtype=np.uint64)])))
+        sets.append(np.unique(base))
+    bounds = jaccard.Bounds([jaccard.ranges_of(s) for s in sets], np.array(list(map(len, sets))))
+    third = np.arange(2, len(sets), 3)
+    may = lambda a: 100 * (most := bounds.most(a, third, 80)) >= 80 * (bounds.n[a] + bounds.n[third] - most)
+    assert may(third - 2).all() and not may(third - 1).any()
+
+
+def test_a_round_tries_all_of_few_pairs(spark):
+    """Column 7 has three pairs, given at once and done with; of column 8 each row has one partner, and more may follow."""
+    bits = lambda i: bytearray(bytes([1 << (i % 8)] + [0] * 63))
+    classes = spark.createDataFrame([(i, bits(i)) for i in range(20)], "node long, ranges binary")
+    rows = [(7, i, n, 3, i) for i, n in enumerate((95, 100, 105))] + [(8, i, 100, 16, i) for i in range(4, 20)] + [(9, i, 10 ** (i + 1), 3, i) for i in range(3)]
+    open_ = spark.createDataFrame(rows, "h long, node long, n long, c long, comp long")
+    pairs = jaccard.blocked_product(open_, classes, 90, 0).cache()
+    got = {h: [(r["a"], r["b"], r["rest"]) for r in pairs.where(f"h = {h}").collect()] for h in (7, 8, 9)}
+    assert sorted(got[7]) == [(0, 1, False), (0, 2, False), (1, 2, False)] and got[9] == []
+    assert len(got[8]) == 15 and all(r for _, _, r in got[8])
+    left = jaccard.unfinished(open_, pairs)
+    assert {r["h"] for r in left.collect()} == {8}
+
+
 @pytest.mark.parametrize("round_", [0, None])
 def test_blocks_leave_no_pair_out(spark, monkeypatch, round_):
     monkeypatch.setattr(jaccard, "BLOCK", 4)

@@ -92,6 +92,17 @@ def _claims() -> Column:
     return F.when(F.size("told_claims") > 0, F.transform("told_claims", named)).otherwise(F.array_compact(F.array("_spoken")))
 
 
+def titled(events: DataFrame) -> DataFrame:
+    """staged() with the title of each event's episode; one who reads the titles alone has no relations and claims worked out."""
+    c = F.col
+    return staged(events).withColumn("title", rules.episode_title(c("episode_hint"), F.get(c("names"), F.lit(0)), c("text"), c("kind")))
+
+
+def dominant(names: Column) -> Column:
+    """The first names of an event, which stand for its episode, in one text."""
+    return F.array_join(F.slice(names, 1, DOMINANT), ", ")
+
+
 def artifacts_of(events: DataFrame) -> DataFrame:
     """A row for each artifact of each event, with event_id, scope_key, session_id, ts and arrival: leases, entities, relations, claims, episodes and what is queued for review.
 
@@ -102,11 +113,10 @@ def artifacts_of(events: DataFrame) -> DataFrame:
     c = F.col
     names = F.col("names")
     fresh = F.filter(F.array_distinct(F.transform("claims", lambda x: x["subject"])), lambda s: s.isNotNull() & ~F.array_contains("_low", F.lower(s)))
-    title = rules.episode_title(c("episode_hint"), F.get(names, F.lit(0)), c("text"), c("kind"))
     queued = lambda kind, what, trigger, priority: _row("queue", name=F.lit(kind), canonical=what, trigger=F.lit(trigger), priority=priority)
     edge = lambda r: F.concat_ws(" ", r["src"], r["type"], r["dst"])
     lease = F.array(_row("lease", name=c("lease_key"), object=c("lease_value"), canonical=c("lease_key"), ttl=c("ttl")))
-    episode = F.array(_row("episode", name=c("title"), object=F.array_join(F.slice(names, 1, DOMINANT), ", "), canonical=c("title"), confidence=c("confidence")), queued("episode", c("title"), "episode_activity", F.lit(EPISODE_PRIORITY)))
+    episode = F.array(_row("episode", name=c("title"), object=dominant(names), canonical=c("title"), confidence=c("confidence")), queued("episode", c("title"), "episode_activity", F.lit(EPISODE_PRIORITY)))
     parts = [
         F.when((c("kind") == "state_update") & c("lease_key").isNotNull(), lease),
         F.transform(names, lambda n: _row("entity", name=n, canonical=n, predicate=F.lit("mentioned"))),
@@ -117,7 +127,7 @@ def artifacts_of(events: DataFrame) -> DataFrame:
         F.transform(F.filter("claims", lambda x: ~x["pinned"]), lambda x: queued("claim", x["canonical"], "derived_claim", c("importance"))),
         F.when(c("session_id").isNotNull(), episode),
     ]
-    e = staged(events).withColumn("fresh", fresh).withColumn("title", title)
+    e = titled(events).withColumn("fresh", fresh)
     every = F.concat(*(F.coalesce(p, _none()) for p in parts))  # an explode of one array, so each event is worked on once
     return e.select("event_id", "scope_key", "session_id", "ts", "arrival", F.explode(every).alias("a")).select("event_id", "scope_key", "session_id", "ts", "arrival", "a.*")
 

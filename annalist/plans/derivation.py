@@ -181,7 +181,8 @@ def artifact_tables(spark, d):
 @query("")
 def derived_episodes(spark, d):
     # the episodes of all events of a session, related ones joined, in order of time; turns of a conversation end with their session
-    e = derived(spark, d).where("artifact = 'episode'")
-    events = e.select(F.xxhash64("event_id").alias("event_id"), F.xxhash64("session_id").alias("session_id"), "ts", F.col("name").alias("title"), F.split("object", ", ").alias("entities"), "confidence")
-    closes = e.where(F.startswith("session_id", F.lit("conv-"))).groupBy(F.xxhash64("session_id").alias("session_id")).agg(F.max("ts").alias("ts"))
+    every = payloads.events_of(payloads.parsed(documents(spark, d))).where("session_id is not null")
+    session = F.xxhash64("session_id").alias("session_id")
+    events = artifacts.titled(every).select(F.xxhash64("event_id").alias("event_id"), session, "ts", "title", F.split(artifacts.dominant(F.col("names")), ", ").alias("entities"), "confidence")
+    closes = every.where(F.startswith("session_id", F.lit("conv-"))).groupBy(session).agg(F.max("ts").alias("ts"))
     return episodes.episodes_of(episodes.episode_changes(events, closes))

@@ -99,3 +99,10 @@ def test_fields_of_other_types_leave_the_rest_alone(spark):
     (row,) = payloads.events_of(payloads.parsed(spark.createDataFrame([(json.dumps(doc),)], "doc string"))).collect()
     assert (row["unclear"], row["pin"], row["hint_entities"], row["ttl"], row["importance"], row["confidence"]) == (False, False, None, 3600, 0.5, 0.25)
     assert [tuple(c) for c in row["told_claims"]] == [(None, "p", "3", None, 0.5, False)] and [tuple(r) for r in row["hint_relations"]] == [("1", "b", None, None)]
+
+
+def test_episodes_work_out_no_relations_or_claims(spark):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    plan = QUERIES["derived_episodes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert "tool_observation_text" in plan and "depends upon" not in plan and "has name" not in plan

@@ -2,15 +2,17 @@
 
 Rows of the incidence matrix are the different shingle sets (equal sets are one row), columns are shingles. Only columns
 that can decide are multiplied: of each row, in one global order that puts widespread shingles last, the first
-n - ceil(t n) + 1; two rows linked at threshold t share one of them, and their sizes lie within t of each other.
+n - ceil(t n) + 1; two rows linked at threshold t share one of them, and their sizes lie within t of each other. In the
+shorter row it is among the first n - ceil(2t / (1 + t) n) + 1, its inner columns, as what a longer row shares with it is more.
 
 The product is taken in two grains. In the coarse one a row is the parities of its counts in ranges of hashes; where two
 rows' parities differ, one has a hash that the other hasn't, which bounds their overlap, and pairs below what their
 sizes demand are discarded. In the fine one the overlaps of the pairs left are accumulated from the whole sets, a row
 against a block of rows at a time.
 
-What is wanted are the components of the links, so large groups of near copies need not be multiplied out. In rounds the
-rows of a column that lie in different components are dealt into blocks, and each row is tried with its best partner
+What is wanted are the components of the links, so large groups of near copies need not be multiplied out. Near copies
+share most of their columns, so the first round takes a few columns of each row, by a hash of the column; columns whose
+rows it brings into one component are done, and of those that have the same rows one is enough. In rounds the rows of a column that lie in different components are dealt into blocks, and each row is tried with its best partner
 among those before it in the block, so that a block of near copies becomes one component at once, until a round links
 nothing; a column of one block that has few pairs has all of them tried in one round, and is left out after it. At last
 every pair left across components is taken, block by block, blocks of one size band meeting only those of the same band and the next,
@@ -44,6 +46,8 @@ HOT = 1_000_000
 BLOCK = 512
 #: Hashes of the sets that one row is multiplied with at once, about.
 MULTIPLIED = 1 << 20
+#: Columns of each row that the first round takes.
+FIRST_COLUMNS = 3
 #: Pairs of a block of near copies are tried all at once if there are at most so many for each row.
 FEW_PAIRS = 2
 #: Pairs whose bounds are taken at once, and bytes of parities, about.
@@ -350,20 +354,45 @@ def unfinished(lists: DataFrame, pairs: DataFrame) -> DataFrame:
     return short.unionByName(lists.where(F.col("c") > 2 * BLOCK))
 
 
-def shared_columns(classes: DataFrame) -> DataFrame:
-    """h, node, n, c: the rows of the columns that more than one row has (c rows)."""
-    of = lambda name: classes.select("node", "n", F.explode(name).alias("h"))
-    cold = of("head").withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1")  # at most HOT rows each
-    counts = of("hot").groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    return cold.unionByName(of("hot").join(counts, "h")).select("h", "node", "n", "c")
+def shared_columns(classes: DataFrame, percent: int) -> DataFrame:
+    """h, node, n, c: the rows of the columns that more than one row has (c rows), but for rows that can meet none there.
+
+    Of two linked rows the shorter has a shared column among its inner ones. So a column that is an inner one of no row is
+    left out, and a row of which it is no inner one meets only rows as short as itself of which it is. A row whose next
+    shorter and next longer one differ too much in size meets none.
+    """
+    both = 100 + percent
+    inner = lambda at: at < F.expr(f"n - (2 * {percent} * n + {both - 1}) div {both} + 1")
+    of = lambda name, before: classes.select("node", "n", before.alias("before"), F.posexplode(name).alias("at", "h")).select("h", "node", "n", inner(F.col("at") + F.col("before")).alias("inner"))
+    told = {"c": F.count("*"), "shortest": F.min(F.when(F.col("inner"), F.col("n")))}
+    meets = F.col("inner") | (F.col("shortest") <= F.col("n"))
+    w = Window.partitionBy("h")
+    by_size = w.orderBy("n")
+    within = lambda short, long: F.coalesce(F.lit(100) * short >= F.lit(percent) * long, F.lit(False))
+    cold = of("head", F.lit(0)).withColumns({k: x.over(w) for k, x in told.items()}).where((F.col("c") > 1) & meets)  # at most HOT rows each
+    cold = cold.withColumns({"before": F.lag("n").over(by_size), "after": F.lead("n").over(by_size)}).where(within(F.col("before"), F.col("n")) | within(F.col("n"), F.col("after")))
+    hot = of("hot", F.size("head"))
+    counts = hot.groupBy("h").agg(*(x.alias(k) for k, x in told.items()))
+    return cold.select("h", "node", "n", "c").unionByName(hot.join(counts, "h").where((F.col("c") > 1) & meets).select("h", "node", "n", "c"))
+
+
+def first_columns(lists: DataFrame) -> DataFrame:
+    """Of each row of lists FIRST_COLUMNS of its columns, those that come first by a hash, so that rows of the same columns take the same."""
+    order = Window.partitionBy("node").orderBy(F.xxhash64("h"), "h")
+    return lists.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= FIRST_COLUMNS).drop("nth")
+
+
+def open_columns(placed: DataFrame) -> DataFrame:
+    """h of the columns whose rows (h, node, comp) lie in different components yet, one for each set of rows: columns of the same rows give the same pairs."""
+    rows = (F.count("*"), F.bit_xor(F.xxhash64("node")), F.bit_xor(F.xxhash64("node", F.lit(1))))  # 128 bits tell sets apart, as they do in keys
+    found = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.struct(*rows).alias("rows")).where("lo != hi")
+    return found.groupBy("rows").agg(F.min("h").alias("h")).select("h")
 
 
 def link_components(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame | None:
     """node, comp of every row of classes (node, n, head, hot, ranges, first_id, key) that is linked; None if none is."""
-    lists = settle(shared_columns(classes), "lists")
-    first = settle(blocked_product(lists.withColumn("comp", F.col("node")), classes, percent, 0), "pairs")
-    left = settle(unfinished(lists, first), "left")
-    drop_settled(lists)
+    left = settle(shared_columns(classes, percent), "lists")
+    first = settle(blocked_product(first_columns(left).withColumn("comp", F.col("node")), classes, percent, 0), "pairs")
     fresh = tried = settle(first.select("a", "b").distinct(), "tried")
     drop_settled(first)
     labels, round_ = None, 0
@@ -375,9 +404,7 @@ def link_components(docs: DataFrame, classes: DataFrame, words: int, percent: in
         if round_ is None:
             return labels
         placed = left.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if labels is not None else left.withColumn("comp", F.col("node"))
-        # columns whose rows lie in different components yet
-        mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h")
-        open_ = settle(placed.join(mixed, "h", "left_semi"), "open")
+        open_ = settle(placed.join(open_columns(placed), "h", "left_semi"), "open")
         drop_settled(left)
         # rounds go on as long as they link anything; then all pairs left
         round_ = round_ + 1 if more else None

@@ -448,6 +448,30 @@ def test_blocks_leave_no_pair_out(spark, monkeypatch, round_):
     assert got == every if round_ is None else got < every and len({i for p in got for i in p}) > 20
 
 
+def test_near_copies_are_not_sent_by_each_column(spark, monkeypatch):
+    """Long near copies share some hundred columns, and long texts of a similarity of 0.7 some dozens; each is met by a few of them."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 1000)]
+    changed = lambda at: [f"x{rng.integers(10**9)}" if i in at else w for i, w in enumerate(base)]
+    texts = [base, changed({500}), changed(set(range(0, 1000, 30)))]
+    sent = []
+    blocked = jaccard.blocked_product
+    monkeypatch.setattr(jaccard, "blocked_product", lambda open_, *rest: sent.append(open_.count()) or blocked(open_, *rest))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join_components(docs, 5, 80).collect()}
+    assert got == {0: 0, 1: 0, 2: 2} and sum(sent) <= 3 * (jaccard.FIRST_COLUMNS + 2 * 7)  # of three rows there are seven sets
+
+
+def test_rows_meet_in_inner_columns(spark):
+    """A shorter row's inner column is met by a longer one's outer one, not the other way round, and not across sizes."""
+    heads = {0: (100, range(0, 20)), 1: (90, [19, *range(100, 118)]), 2: (105, [200, *range(201, 219), 118]), 3: (60, range(200, 213)), 4: (100, [300, *range(302, 320)]), 5: (101, range(302, 321))}
+    classes = spark.createDataFrame([(i, n, list(h), []) for i, (n, h) in heads.items()], "node long, n long, head array<long>, hot array<long>")
+    got = {}
+    for r in jaccard.shared_columns(classes, 80).collect():
+        got.setdefault(r["h"], set()).add(r["node"])
+    assert got.pop(19) == {0, 1} and not set(got) & {200, 201} and all(v == {4, 5} for v in got.values()) and 302 in got and 319 not in got
+
+
 def test_keep_one_of_repeated_ids_and_clashing_names(spark):
     rows = [(1, "b c d e f g", "x"), (1, "a text of its own here", "y"), (2, "b c d e f g", "z"), (None, None, "w"), (3, None, "v"), (3, None, "v")]
     docs = spark.createDataFrame([(*r, 5, 6) for r in rows], "doc_id long, text string, first_id string, rows int, least int")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,13 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows as written into the folder that the cluster shares for checkpoints, for what is read several times; a lost executor costs a re-read."""
-    sc = df.sparkSession.sparkContext
+    """The rows as written into the folder that the cluster shares for checkpoints, for what is read several times; a lost executor costs a re-read.
+
+    They lie there as Parquet, so that a reader of few columns reads those alone, and small tables are known to be small.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="annalist-"))  # a local session that names none, as in tests
-    return df.checkpoint()
+    path = f"{sc.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scope_key(scope) -> F.Column:

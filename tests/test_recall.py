@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from annalist.operators import recall
+from annalist.sources.archive import settled
 
 T = datetime(2024, 1, 1)
 ARTIFACT = "scope_key string, kind string, ref string, name string, predicate string, object string, canonical string, confidence double, evidence long, pinned boolean, last_seen timestamp, remember string, activation string, weight double, state_pinned boolean"
@@ -75,3 +76,9 @@ def test_empty_tables(spark, memory):
     none = recall.Stored(*(getattr(memory, f).limit(0) for f in ("artifacts", "support", "events", "sessions", "leases")))
     q = spark.createDataFrame([("a", "s", "what is the gate")], "qid string, scope_key string, query string")
     assert recall.bundles(q, none).count() == 0 and recall.bundles(q.limit(0), memory).count() == 0
+
+
+def test_readers_of_settled_rows_read_their_columns_alone(spark):
+    rows = settled(spark.createDataFrame([("a", [("x", 1.5)], None), (None, None, T)], "k string, pairs array<struct<n:string,w:double>>, ts timestamp"))
+    assert {(r["k"], r["pairs"] and r["pairs"][0]["w"], r["ts"]) for r in rows.collect()} == {("a", 1.5, None), (None, None, T)}
+    assert "ReadSchema: struct<k:string>" in rows.select("k")._jdf.queryExecution().toString()

@@ -725,3 +725,41 @@ def test_pipeline(spark, monkeypatch):
     assert given[3] == {i: secrets.redact(t) for i, t in given[2].items()}
     assert set(given[4]) <= set(given[3]) and all(given[4][i] == given[3][i] for i in given[4])
     assert set(pieces.doc_id) == set(given[4]) and pieces.length.max() <= 1024
+
+
+def test_what_units_share_is_coded_once():
+    rng = np.random.default_rng(5)
+    raw = sorted({bytes(rng.choice(list(b"ab"), int(rng.integers(1, 40))).tolist()) + b" " for _ in range(3000)} | {b"a" * 15 + b" ", b"a" * 16 + b" ", b"a" * 17 + b" ", b"\xff"})
+    data, heads, _ = scoring.layout(raw)
+    fresh, source = scoring.shared_bytes(data, heads)
+    assert fresh.sum() < 0.8 * len(data) and np.array_equal(data[fresh][source], data)
+    entries = rng.integers(-32768, 32767, (scoring.CONTEXTS, 1 << 16)).astype(np.int16)
+    mixers = scoring.Mixers(entries, scoring.initial_weights(), True)
+    alone = np.concatenate([mixers.code([r]) for r in raw], axis=1)
+    assert np.array_equal(mixers.code(raw), alone) and np.array_equal(mixers.code(raw[::-1]), alone[:, ::-1])
+
+
+def test_a_full_memory_keeps_common_units(monkeypatch):
+    monkeypatch.setattr(scoring, "REMEMBERED", 50)
+    mixers = scoring.Mixers(np.zeros((scoring.CONTEXTS, 1 << 16), dtype=np.int16), scoring.initial_weights(), True)
+    memory = scoring._Memory(mixers, np.array([scoring.hash_of(b"the")]), np.array([9]))
+    for k in range(20):
+        doc = [b"the", b"pump\n", *(b"%d" % i for i in range(k * 10, k * 10 + 10)), b"the" + scoring.END]
+        at = memory.learn([doc])
+        memory.spell(at)
+        assert [memory.units[i] for i in at] == doc and len(memory.units) <= 63 and memory.place[b"the"] == at[0]
+        assert memory.columns[1][at].tolist() == [True, False, *[False] * 10, True] and memory.done[at].all()
+    assert at[0] == memory.units.index(b"the") < 3  # held since the beginning, while rare ones were let go
+
+
+def test_entries_are_counted_a_context_at_a_time(spark):
+    counted = spark.createDataFrame([(b"pump", 0, 3, 0), (b"gate\n", 1, 1, 1), (b"\xff", 0, 5, 2), (b"unseen", 0, 0, 4)], "unit binary, group int, n long, m long")
+    slots = scoring.LEAST_SLOTS
+    every = np.zeros((scoring.CONTEXTS, slots * 2), dtype=np.float32)
+    raw, group, n = [b"pump ", b"gate\n", b"\xff"], np.array([0, 1, 0]), np.array([3, 1, 5])
+    scoring.count_bits(raw, group, n, every)
+    for c in range(scoring.CONTEXTS):
+        one = np.zeros((1, slots * 2), dtype=np.float32)
+        scoring.count_bits(raw, group, n, one, only=c)
+        assert np.array_equal(one[0], every[c])
+    assert np.array_equal(scoring.learn_entries(counted), scoring.entries_of(every))

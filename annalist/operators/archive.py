@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Rows that a task holds, about, where their number grows with the table.
+TASK_ROWS = 250_000
+
 
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key: idempotent ingest, latest-per-key, first-wins merges."""
@@ -53,6 +56,12 @@ def merge_preferred(preferred: DataFrame, others: DataFrame, key: str, order: li
     return top_by(first_by(both, [key], [F.col("_p"), *order]), ["session_id"], [F.col("_p"), *order], k).drop("_p")
 
 
+def dealing(rows: DataFrame):
+    """A function that deals a table by keys over one task for each TASK_ROWS of these rows, where that is more than the session's number of shuffle partitions."""
+    n = -(-rows.count() // TASK_ROWS)
+    return lambda df, *keys: df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def neighbourhood(edges: DataFrame, side: str, other: str) -> DataFrame:
     """Both directions of each edge as (node, neighbour): a union of equi-filters in place of an OR join."""
     return edges.select(F.col(side).alias("node"), F.col(other).alias("neighbour"), "confidence").union(edges.select(F.col(other), F.col(side), "confidence"))

@@ -164,8 +164,12 @@ def relation_upsert(spark, d):
 
 @query(f"WITH {_EDGES}, b AS (SELECT 's' || src AS node, 'p' || dst AS neighbour, confidence FROM e UNION ALL SELECT 'p' || dst, 's' || src, confidence FROM e) SELECT node, neighbour, confidence, row_number() OVER (PARTITION BY node ORDER BY confidence DESC, neighbour) AS rank FROM b QUALIFY rank <= 5")
 def relation_neighborhood(spark, d):
-    e = _edges(spark, d).select(F.concat(F.lit("s"), "src").alias("src"), F.concat(F.lit("p"), "dst").alias("dst"), "confidence")
-    return ops.top_by(ops.neighbourhood(e, "src", "dst"), ["node"], [F.desc("confidence"), "neighbour"], 5)
+    # rows are dealt over tasks of a fixed size, edges before they are added up and nodes before they are ranked, so that a task's memory doesn't grow with the table
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), "l_discount")
+    dealt = ops.dealing(li)
+    edges = dealt(li, "src", "dst").groupBy("src", "dst").agg(F.max(F.col("l_discount") * 10).alias("confidence"))
+    e = edges.select(F.concat(F.lit("s"), "src").alias("src"), F.concat(F.lit("p"), "dst").alias("dst"), "confidence")
+    return ops.top_by(dealt(ops.neighbourhood(e, "src", "dst"), "node"), ["node"], [F.desc("confidence"), "neighbour"], 5)
 
 
 @query(f"WITH {_T} SELECT session_id, arg_min(kind, event_id) AS name, arg_max(ts, event_id) AS last_seen, array_to_string(list_sort(list(DISTINCT kind)), ',') AS aliases, count(*) AS mentions FROM t GROUP BY session_id")

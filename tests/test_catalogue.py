@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from annalist.operators import archive
 from annalist.plans.all import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +36,12 @@ def test_graph_queries_tell_nothing_apart_twice(spark):
     for name in ("pattern_relations", "graph_summary"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
         assert "distinct" not in plan and "expand" not in plan
+
+
+def test_neighbours_are_dealt_over_tasks_of_a_fixed_size(spark, duck, monkeypatch):
+    monkeypatch.setattr(archive, "TASK_ROWS", 500)
+    df = QUERIES["relation_neighborhood"](spark, SF)
+    count = duck.sql("SELECT count(*) FROM lineitem").fetchall()[0][0]
+    assert df.rdd.getNumPartitions() == -(-count // 500) > 4
+    expected = duck.sql(ORACLE["relation_neighborhood"])
+    assert rows(df.columns, map(tuple, df.collect())) == rows(expected.columns, expected.fetchall())

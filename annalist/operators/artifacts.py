@@ -103,33 +103,64 @@ def dominant(names: Column) -> Column:
     return F.array_join(F.slice(names, 1, DOMINANT), ", ")
 
 
-def artifacts_of(events: DataFrame) -> DataFrame:
-    """A row for each artifact of each event, with event_id, scope_key, session_id, ts and arrival: leases, entities, relations, claims, episodes and what is queued for review.
+def artifacts_of(events: DataFrame, queue: bool = True) -> DataFrame:
+    """A row for each artifact of each event, with event_id, scope_key, session_id, ts and arrival: leases, entities, relations, claims, episodes and, unless left out, what is queued for review.
 
     An event is read once and gives all of its rows by one explode; nothing is shuffled. A claim's subject that is no
     name of the event is an entity too. Only events of a session have an episode. A pinned claim is remembered at once
     and not queued. Repeated events give their rows again, for the upsert to count once by event_id.
     """
     c = F.col
-    names = F.col("names")
     fresh = F.filter(F.array_distinct(F.transform("claims", lambda x: x["subject"])), lambda s: s.isNotNull() & ~F.array_contains("_low", F.lower(s)))
     queued = lambda kind, what, trigger, priority: _row("queue", name=F.lit(kind), canonical=what, trigger=F.lit(trigger), priority=priority)
     edge = lambda r: F.concat_ws(" ", r["src"], r["type"], r["dst"])
-    lease = F.array(_row("lease", name=c("lease_key"), object=c("lease_value"), canonical=c("lease_key"), ttl=c("ttl")))
-    episode = F.array(_row("episode", name=c("title"), object=dominant(names), canonical=c("title"), confidence=c("confidence")), queued("episode", c("title"), "episode_activity", F.lit(EPISODE_PRIORITY)))
     parts = [
-        F.when((c("kind") == "state_update") & c("lease_key").isNotNull(), lease),
-        F.transform(names, lambda n: _row("entity", name=n, canonical=n, predicate=F.lit("mentioned"))),
+        _lease(), _mentions(),
         F.transform(c("fresh"), lambda n: _row("entity", name=n, canonical=n, predicate=F.lit("subject"))),
         F.transform("relations", lambda r: _row("relation", name=r["src"], predicate=r["type"], object=r["dst"], canonical=edge(r), confidence=r["confidence"])),
-        F.transform("relations", lambda r: queued("relation", edge(r), "derived_relation", F.lit(RELATION_PRIORITY))),
         F.transform("claims", lambda x: _row("claim", name=x["subject"], predicate=x["predicate"], object=x["object"], canonical=x["canonical"], confidence=x["confidence"], pinned=x["pinned"])),
-        F.transform(F.filter("claims", lambda x: ~x["pinned"]), lambda x: queued("claim", x["canonical"], "derived_claim", c("importance"))),
-        F.when(c("session_id").isNotNull(), episode),
+        _episode(),
     ]
-    e = titled(events).withColumn("fresh", fresh)
+    if queue:
+        parts += [
+            F.transform("relations", lambda r: queued("relation", edge(r), "derived_relation", F.lit(RELATION_PRIORITY))),
+            F.transform(F.filter("claims", lambda x: ~x["pinned"]), lambda x: queued("claim", x["canonical"], "derived_claim", c("importance"))),
+            F.when(c("session_id").isNotNull(), F.array(queued("episode", c("title"), "episode_activity", F.lit(EPISODE_PRIORITY)))),
+        ]
+    return _each(titled(events).withColumn("fresh", fresh), parts)
+
+
+def _lease() -> Column:
+    lease = _row("lease", name=F.col("lease_key"), object=F.col("lease_value"), canonical=F.col("lease_key"), ttl=F.col("ttl"))
+    return F.when((F.col("kind") == "state_update") & F.col("lease_key").isNotNull(), F.array(lease))
+
+
+def _mentions() -> Column:
+    return F.transform("names", lambda n: _row("entity", name=n, canonical=n, predicate=F.lit("mentioned")))
+
+
+def _episode() -> Column:
+    c = F.col
+    return F.when(c("session_id").isNotNull(), F.array(_row("episode", name=c("title"), object=dominant(c("names")), canonical=c("title"), confidence=c("confidence"))))
+
+
+def _each(events: DataFrame, parts: list[Column]) -> DataFrame:
     every = F.concat(*(F.coalesce(p, _none()) for p in parts))  # an explode of one array, so each event is worked on once
-    return e.select("event_id", "scope_key", "session_id", "ts", "arrival", F.explode(every).alias("a")).select("event_id", "scope_key", "session_id", "ts", "arrival", "a.*")
+    return events.select("event_id", "scope_key", "session_id", "ts", "arrival", F.explode(every).alias("a")).select("event_id", "scope_key", "session_id", "ts", "arrival", "a.*")
+
+
+def unqueued(events: DataFrame) -> DataFrame:
+    """artifacts_of() less what is queued, for settled events: those that say nothing have no rules of texts applied.
+
+    Without a text, a told claim or a hinted relation an event has its lease, its hinted names and its episode alone.
+    """
+    c = F.col
+    texts = ("raw_text", "normalized_text", "p_raw", "p_normalized", "p_interpreted", "observation")
+    held = lambda name: F.coalesce(F.size(name), F.lit(0)) > 0
+    says = (F.concat_ws("", *texts) != "") | held("told_claims") | held("hint_relations")
+    silent = events.where(~says).withColumn("names", dv.phrases(F.lit(None).cast("string"), c("hint_entities")))
+    silent = silent.withColumn("title", rules.episode_title(c("episode_hint"), F.get(c("names"), F.lit(0)), F.lit(""), c("kind")))
+    return artifacts_of(events.where(says), queue=False).unionByName(_each(silent, [_lease(), _mentions(), _episode()]))
 
 
 def key() -> Column:
@@ -150,8 +181,32 @@ def upserted(artifacts: DataFrame) -> DataFrame:
     order = F.struct("arrival", "event_id")
     at_first, at_last = ("name", "predicate", "canonical", "trigger", "priority"), ("object", "ttl")
     # what goes by one order is one value, so that the order is held once for all of it
-    g = artifacts.withColumn("key", key()).groupBy("scope_key", "artifact", "key").agg(
+    keyed = artifacts if "key" in artifacts.columns else artifacts.withColumn("key", key())
+    g = keyed.groupBy("scope_key", "artifact", "key").agg(
         F.min_by(F.struct(*at_first, "ts"), order).alias("f"), F.max_by(F.struct(*at_last, "ts"), order).alias("l"), F.max("confidence").alias("confidence"), F.bool_or("pinned").alias("pinned"), F.count_distinct("event_id").alias("evidence"),
     )
     of = lambda held, names: (F.col(f"{held}.{n}").alias(n) for n in names)
     return g.select("scope_key", "artifact", "key", *of("f", at_first), *of("l", at_last), "confidence", "pinned", "evidence", F.col("f.ts").alias("first_seen"), F.col("l.ts").alias("last_seen"))
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """scope_key, artifact, key, last_seen and ttl of each artifact (rows with key), as upserted() has them."""
+    # the hash comes first, so that rows are sorted by a number
+    g = rows.groupBy(F.xxhash64("scope_key", "artifact", "key").alias("_h"), "scope_key", "artifact", "key").agg(F.max_by(F.struct("ts", "ttl"), F.struct("arrival", "event_id")).alias("l"))
+    return g.select("scope_key", "artifact", "key", F.col("l.ts").alias("last_seen"), F.col("l.ttl").alias("ttl"))
+
+
+def ends(rows: DataFrame) -> DataFrame:
+    """The first and last arrivals of each artifact, all of them where arrivals are alike, by aggregations of numbers alone."""
+    by = ["scope_key", "artifact", "key"]
+    at = F.coalesce("arrival", F.lit(-(2**63)))  # a null comes first
+    span = rows.groupBy(*by).agg(F.min(at).alias("_from"), F.max(at).alias("_to"))
+    return rows.join(F.broadcast(span), by).where((at == F.col("_from")) | (at == F.col("_to"))).drop("_from", "_to")
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """upserted() for few artifacts of many rows (with key): what goes by order is taken from their ends, evidence is counted by itself."""
+    by = ["scope_key", "artifact", "key"]
+    tally = rows.select(*by, "event_id").distinct().groupBy(*by).agg(F.count("event_id").alias("evidence"))
+    most = rows.groupBy(*by).agg(F.max("confidence").alias("confidence"), F.bool_or("pinned").alias("pinned"))
+    return upserted(ends(rows)).drop("confidence", "pinned", "evidence").join(most, by).join(tally, by)

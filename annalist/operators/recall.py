@@ -8,6 +8,7 @@ the postings of the query's rarest word are read. Everything is a join by scope,
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,8 @@ class Stored:
     activation, weight (score and influence), state_pinned. support: scope_key, kind, ref, session_id. events: scope_key,
     ref, session_id, ts, arrival, raw_text, normalized_text, p_raw, route_domain, route_action, importance, confidence.
     sessions: scope_key, session_id, kind, opened_at, closed_at. leases: scope_key, ref, refreshed_at, active ones alone.
+    described: where there is one, artifacts have no columns but scope_key, kind, ref, name, predicate, object and last_seen, of
+    which an entity's name may be folded, and it gives all columns of those asked for (scope_key, kind, ref).
     """
 
     artifacts: DataFrame
@@ -41,6 +44,7 @@ class Stored:
     events: DataFrame
     sessions: DataFrame
     leases: DataFrame
+    described: Callable[[DataFrame], DataFrame] | None = None
 
 
 def asked(queries: DataFrame) -> DataFrame:
@@ -84,19 +88,26 @@ def _found_names(queries: DataFrame, artifacts: DataFrame) -> DataFrame:
         return artifacts.select(F.lit(None).cast("string").alias("qid"), "kind", "ref", "last_seen").limit(0)
     names = artifacts.where("kind = 'entity'").select("scope_key", "kind", "ref", "last_seen", rules.folded(F.col("name")).alias("low"))
     parts = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low") - n + 1)), lambda i: F.substr("low", i, n)))))
-    index = names.select("scope_key", "kind", "ref", "last_seen", F.explode(parts).alias("part"))
+    asked_for = settled(words.select("scope_key", "part").distinct())
+    # what no query asks for is left out before anything is sorted
+    index = names.select("scope_key", "kind", "ref", "last_seen", F.explode(parts).alias("part")).join(asked_for, ["scope_key", "part"], "left_semi")
     postings = top_by(index, ["scope_key", "part"], [F.desc("last_seen"), "ref"], OVER * BUDGET["entity"]).drop("rank")
     found = words.join(postings, ["scope_key", "part"]).select("qid", "kind", "ref", "last_seen").distinct()
     return top_by(found, ["qid"], [F.desc("last_seen"), "ref"], OVER * BUDGET["entity"]).drop("rank")
 
 
+def _rarest(words: DataFrame, n: DataFrame) -> DataFrame:
+    """ask, scope_key and the word of fewest rows (n by scope_key and word) of each ask; asks with a word that no row holds have none."""
+    rarest = words.join(n, ["scope_key", "word"], "left").groupBy("ask", "scope_key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r"))
+    return rarest.where("r.n > 0").select("ask", "scope_key", F.col("r.word").alias("word"))
+
+
 def _by_rarest(asks: DataFrame, held: DataFrame) -> DataFrame:
     """ask, ref: rows (scope_key, word, ref) that hold the rarest word of each ask (ask, scope_key, words); asks with a word that none holds have none."""
     words = asks.select("ask", "scope_key", F.explode("words").alias("word"))
     wanted = held.join(words.select("scope_key", "word").distinct(), ["scope_key", "word"], "left_semi")
-    n = wanted.groupBy("scope_key", "word").agg(F.count("*").alias("n"))
-    rarest = words.join(n, ["scope_key", "word"], "left").groupBy("ask", "scope_key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r")).select("ask", "scope_key", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
-    return rarest.where("n > 0").join(wanted, ["scope_key", "word"]).select("ask", "ref")
+    rarest = _rarest(words, wanted.groupBy("scope_key", "word").agg(F.count("*").alias("n")))
+    return rarest.join(wanted, ["scope_key", "word"]).select("ask", "ref")
 
 
 def _found_relations(queries: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -123,7 +134,7 @@ def _candidates(queries: DataFrame, m: Stored) -> DataFrame:
     newest = _first(slim, ["scope_key"])
     keyed = queries.select("qid", "scope_key", "session", "preferred", "intent")
     by_scope = keyed.join(newest, "scope_key").select("qid", "kind", "ref", "last_seen", F.lit(2).alias("place"))
-    in_session = m.support.join(queries.where(c("preferred").isNotNull()).select("scope_key", c("preferred").alias("session_id")).distinct(), ["scope_key", "session_id"], "left_semi").join(slim, ["scope_key", "kind", "ref"])
+    in_session = m.support.join(queries.where(c("preferred").isNotNull()).select("scope_key", c("preferred").alias("session_id")).distinct(), ["scope_key", "session_id"], "left_semi").distinct().join(slim, ["scope_key", "kind", "ref"])
     own = keyed.join(_first(in_session, ["scope_key", "session_id"]), (keyed["scope_key"] == in_session["scope_key"]) & (keyed["preferred"] == in_session["session_id"])).select("qid", "kind", "ref", "last_seen", F.lit(0).alias("place"))
     found = _found_names(queries, m.artifacts).unionByName(_found_relations(queries, m.artifacts)).select("qid", "kind", "ref", "last_seen", F.lit(1).alias("place"))
     every = by_scope.unionByName(own).unionByName(found).groupBy("qid", "kind", "ref").agg(F.max("last_seen").alias("last_seen"), F.min("place").alias("place"))
@@ -149,7 +160,9 @@ def _when(test: Column, value: float) -> Column:
 def ranked(queries: DataFrame, m: Stored) -> DataFrame:
     """Shown artifacts of each query with their score, kind by kind: qid, kind, ref, score."""
     c = F.col
-    rows = settled(_candidates(queries, m)).join(queries.drop("preferred", "session"), "qid").join(m.artifacts.drop("last_seen"), ["scope_key", "kind", "ref"])
+    rows = settled(_candidates(queries, m)).join(queries.drop("preferred", "session"), "qid")
+    known = settled(m.described(settled(rows.select("scope_key", "kind", "ref").distinct()))) if m.described else m.artifacts
+    rows = rows.join(known.drop("last_seen"), ["scope_key", "kind", "ref"])
     said = F.when(c("kind") == "relation", F.concat_ws(" ", "name", F.replace("predicate", F.lit("_"), F.lit(" ")), "object")).when(c("kind") == "claim", c("canonical")).otherwise(c("name"))
     rows = rows.withColumn("said", said).withColumn("tw", text.token_set(c("said")))
     rows = rows.withColumns({"lex": _share("qw", "tw"), "con": _share("qc", "tw")}).withColumn("topical", text.topical(c("con"), c("lex"), F.size("qc") > 0))
@@ -199,15 +212,22 @@ def events_for(queries: DataFrame, m: Stored) -> DataFrame:
     """qid, ref, score and raw_text of the events that may be shown, the filters of a query's focus kept only where they leave some."""
     c = F.col
     most = OVER_EVENTS * BUDGET["event"]
-    e = m.events.withColumn("st", _search_text()).withColumn("tw", text.token_set(c("st")))
+    e = m.events.withColumn("st", _search_text())
     slim = e.select("scope_key", "session_id", "ref", "ts")
     recent, live = c("intent") == "recent", c("mode") == "default"
     # all words of the query in the event: first arrivals
     asks = queries.where(~recent & (F.size("qw") > 0)).select("qid", "scope_key", F.array_sort("qw").alias("words"))
-    each = asks.select("scope_key", "words").distinct().withColumn("ask", F.xxhash64("scope_key", "words"))
-    met = _by_rarest(each, e.select("scope_key", "ref", F.explode("tw").alias("word"))).join(each, "ask").join(e.select("scope_key", "ref", "ts", "arrival", "tw"), ["scope_key", "ref"]).where(F.size(F.array_except("words", "tw")) == 0)
+    each = settled(asks.select("scope_key", "words").distinct().withColumn("ask", F.xxhash64("scope_key", "words")))
+    told = settled(e.where("st <> ''").select("scope_key", "ref", "ts", "arrival", text.token_set(c("st")).alias("tw")))
+    words = each.select("ask", "scope_key", F.explode("words").alias("word"))
+    wanted = settled(words.select("scope_key", "word").distinct())
+    n = told.select("scope_key", F.explode("tw").alias("word")).join(wanted, ["scope_key", "word"], "left_semi").groupBy("scope_key", "word").agg(F.count("*").alias("n"))
+    # each event meets the asks whose rarest word it holds, and no event is sent anywhere before it is found to hold the others
+    rarest = settled(_rarest(words, n).join(each.select("ask", "words"), "ask").select("ask", "scope_key", "word", "words"))
+    held = told.select("scope_key", "ref", "ts", "arrival", "tw", F.explode("tw").alias("word"))
+    met = held.join(rarest, ["scope_key", "word"]).where(F.size(F.array_except("words", "tw")) == 0).select("ask", "ref", "ts", "arrival")
     first = top_by(met, ["ask"], ["arrival", "ref"], most).select("ask", "ref", "ts")
-    found = asks.withColumn("ask", F.xxhash64("scope_key", "words")).join(first, "ask").select("qid", "ref", "ts", F.lit(1).alias("place"))
+    found = settled(asks.withColumn("ask", F.xxhash64("scope_key", "words")).join(first, "ask").select("qid", "ref", "ts", F.lit(1).alias("place")))
     newest = top_by(slim, ["scope_key"], [F.desc("ts"), "ref"], most).select("scope_key", "ref", "ts")
     keyed = queries.select("qid", "scope_key", "preferred")
     fallback = keyed.join(found.select("qid").distinct(), "qid", "left_anti").join(newest, "scope_key").select("qid", "ref", "ts", F.lit(1).alias("place"))
@@ -220,7 +240,8 @@ def events_for(queries: DataFrame, m: Stored) -> DataFrame:
     every = every.withColumn("alone", alone).where(~c("alone") | (c("place") == 0))
     every = settled(every.withColumn("at", F.row_number().over(w.orderBy("place", F.desc("ts"), "ref"))).where(c("at") <= most))
     kinds = m.sessions.select("scope_key", "session_id", c("kind").alias("session_kind"))
-    rows = every.drop("ts").join(e, ["scope_key", "ref"]).join(kinds, ["scope_key", "session_id"], "left")
+    shown = e.join(settled(every.select("scope_key", "ref").distinct()), ["scope_key", "ref"], "left_semi")
+    rows = every.drop("ts").join(shown.withColumn("tw", text.token_set(c("st"))), ["scope_key", "ref"]).join(kinds, ["scope_key", "session_id"], "left")
     rows = rows.withColumns({"lex": _share("qw", "tw"), "con": _share("qc", "tw")}).withColumn("topical", text.topical(c("con"), c("lex"), F.size("qc") > 0))
     names = F.arrays_overlap("tw", F.array(F.lit("name"), F.lit("live")))
     project = rules.has_any(F.lower("st"), rules.PROJECT_EVENT_MARKERS)

@@ -32,25 +32,33 @@ def asked(spark, d) -> DataFrame:
 
 def stored(spark, d) -> recall.Stored:
     """The derived archive as recall reads it. Editorial states follow confidence and pins, as of a review that has passed."""
-    c = F.col
-    events = settled(payloads.events_of(payloads.parsed(documents(spark, d))))
-    rows = settled(artifacts.artifacts_of(events))
-    up = settled(artifacts.upserted(rows))
-    sure = c("confidence")
-    state = lambda *of: F.when(c("kind") == "entity", None).when(c("pinned"), of[0]).when(sure >= 0.9, of[1]).when(sure >= 0.8, of[2]).when(sure >= 0.62, of[3]).when(sure >= 0.5, of[4])
-    known = up.where(c("artifact").isin(*recall.RANKED)).select("scope_key", c("artifact").alias("kind"), F.concat_ws(":", "artifact", "key").alias("ref"), "name", "predicate", "object", "canonical", "confidence", "evidence", F.coalesce("pinned", F.lit(False)).alias("pinned"), "last_seen")
-    lit = F.lit
-    known = known.withColumns({
-        "remember": state(lit("remembered"), lit("remembered"), lit("remembered"), lit("candidate"), lit("retired")), "activation": state(lit("active"), lit("active"), lit("dormant"), lit("suppressed"), lit("suppressed")),
-        "weight": state(lit(2.0), sure * 1.5, sure, lit(0.0), lit(0.2)), "state_pinned": F.coalesce(state(lit(True), lit(False), lit(False), lit(False), lit(False)), lit(False)),
-    })
-    leases = up.where("artifact = 'lease'").select("scope_key", F.concat_ws(":", "artifact", "key").alias("ref"), c("last_seen").alias("refreshed_at"), "ttl")
+    c, lit = F.col, F.lit
+    events = settled(payloads.events_of(payloads.parsed(documents(spark, d))).drop("idempotency_key").withColumn("lease_value", lit(None).cast("string")))  # no bundle shows what a lease holds
+    rows = settled(artifacts.unqueued(events).withColumn("key", artifacts.key()))
+    ref = F.concat_ws(":", "artifact", "key").alias("ref")
+    last = settled(artifacts.latest(rows.where("artifact <> 'relation'")))
+    # an entity is found by its folded name, which is its key
+    found = last.where(c("artifact").isin(*recall.RANKED)).select("scope_key", c("artifact").alias("kind"), ref, F.when(c("artifact") == "entity", c("key")).alias("name"), lit(None).cast("string").alias("predicate"), lit(None).cast("string").alias("object"), "last_seen")
+    edges = artifacts.upserted(rows.where("artifact = 'relation'")).select("scope_key", c("artifact").alias("kind"), ref, "name", "predicate", "object", "last_seen")
+
+    def described(wanted: DataFrame) -> DataFrame:
+        of = wanted.select("scope_key", c("kind").alias("artifact"), "ref")
+        up = artifacts.described(settled(rows.withColumn("ref", ref).join(of, ["scope_key", "artifact", "ref"], "left_semi").drop("ref")))
+        sure = c("confidence")
+        state = lambda *of: F.when(c("kind") == "entity", None).when(c("pinned"), of[0]).when(sure >= 0.9, of[1]).when(sure >= 0.8, of[2]).when(sure >= 0.62, of[3]).when(sure >= 0.5, of[4])
+        known = up.select("scope_key", c("artifact").alias("kind"), ref, "name", "predicate", "object", "canonical", "confidence", "evidence", F.coalesce("pinned", lit(False)).alias("pinned"), "last_seen")
+        return known.withColumns({
+            "remember": state(lit("remembered"), lit("remembered"), lit("remembered"), lit("candidate"), lit("retired")), "activation": state(lit("active"), lit("active"), lit("dormant"), lit("suppressed"), lit("suppressed")),
+            "weight": state(lit(2.0), sure * 1.5, sure, lit(0.0), lit(0.2)), "state_pinned": F.coalesce(state(lit(True), lit(False), lit(False), lit(False), lit(False)), lit(False)),
+        })
+
+    leases = last.where("artifact = 'lease'").select("scope_key", ref, c("last_seen").alias("refreshed_at"), "ttl")
     now = leases.agg(F.max("refreshed_at").alias("now"))  # one row
     active = leases.join(F.broadcast(now)).where(F.expr("refreshed_at + make_dt_interval(0, 0, 0, ttl) > now")).select("scope_key", "ref", "refreshed_at")
-    support = rows.where(c("artifact").isin(*recall.RANKED) & c("session_id").isNotNull()).select("scope_key", c("artifact").alias("kind"), F.concat_ws(":", "artifact", artifacts.key()).alias("ref"), "session_id").distinct()
+    support = rows.where(c("artifact").isin(*recall.RANKED) & c("session_id").isNotNull()).select("scope_key", c("artifact").alias("kind"), ref, "session_id")
     kind = F.when(F.startswith("session_id", lit("conv-")), "interaction").when(F.startswith("session_id", lit("NATION")), "import").otherwise("runtime")
     sessions = events.where(c("session_id").isNotNull()).groupBy("scope_key", "session_id").agg(F.min("ts").alias("opened_at"), F.max("ts").alias("last")).select("scope_key", "session_id", kind.alias("kind"), "opened_at", F.when(kind == "interaction", c("last")).alias("closed_at"))
-    return recall.Stored(settled(known), settled(support), events.withColumn("ref", F.concat_ws(":", lit("event"), "event_id")), settled(sessions), settled(active))
+    return recall.Stored(found.unionByName(settled(edges)), support, events.withColumn("ref", F.concat_ws(":", lit("event"), "event_id")), settled(sessions), settled(active), described)
 
 
 def _has_any(x: str, markers) -> str:

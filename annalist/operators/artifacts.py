@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from annalist.functions import derivation as dv
 from annalist.functions import rules
 from annalist.operators.episodes import DOMINANT
+from annalist.sources.archive import settled
 
 #: The fields of an artifact. name: a lease's key, an entity, a relation's or claim's subject, an episode's title, or the kind of what is queued.
 ARTIFACT = {
@@ -19,6 +20,8 @@ ARTIFACT = {
 CLAIM_KINDS = ("message", "decision", "summary", "note", "fact_assertion", "tool_result")
 #: The least confidence of a message and of a tool's result that states a claim, and the priorities of what is queued.
 LEAST_CONFIDENCE = {"message": dv.MESSAGE_CONFIDENCE, "tool_result": 0.7}
+#: Lists of hints that are sent to all tasks at most, with the names in them.
+MOST_LISTS = 100_000
 LEAST_FACT_CONFIDENCE, RELATION_PRIORITY, EPISODE_PRIORITY = 0.7, 0.35, 0.3
 
 
@@ -158,7 +161,7 @@ def unqueued(events: DataFrame) -> DataFrame:
     texts = ("raw_text", "normalized_text", "p_raw", "p_normalized", "p_interpreted", "observation")
     held = lambda name: F.coalesce(F.size(name), F.lit(0)) > 0
     says = (F.concat_ws("", *texts) != "") | held("told_claims") | held("hint_relations")
-    silent = events.where(~says).withColumn("names", dv.phrases(F.lit(None).cast("string"), c("hint_entities")))
+    silent = _with_hinted_names(events.where(~says))
     silent = silent.withColumn("title", rules.episode_title(c("episode_hint"), F.get(c("names"), F.lit(0)), F.lit(""), c("kind")))
     return artifacts_of(events.where(says), queue=False).unionByName(_each(silent, [_lease(), _mentions(), _episode()]))
 
@@ -189,6 +192,16 @@ def upserted(artifacts: DataFrame) -> DataFrame:
     return g.select("scope_key", "artifact", "key", *of("f", at_first), *of("l", at_last), "confidence", "pinned", "evidence", F.col("f.ts").alias("first_seen"), F.col("l.ts").alias("last_seen"))
 
 
+def _with_hinted_names(events: DataFrame) -> DataFrame:
+    """names of events without a text, worked out once for each list of hints where lists are few."""
+    names = dv.phrases(F.lit(None).cast("string"), F.col("hint_entities"))
+    lists = settled(events.select("hint_entities").distinct())
+    if lists.count() > MOST_LISTS:
+        return events.withColumn("names", names)
+    known = settled(lists.where("hint_entities is not null").withColumn("names", names))
+    return events.join(F.broadcast(known), "hint_entities", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+
+
 def latest(rows: DataFrame) -> DataFrame:
     """scope_key, artifact, key, last_seen and ttl of each artifact (rows with key), as upserted() has them."""
     # the hash comes first, so that rows are sorted by a number

@@ -33,8 +33,8 @@ def asked(spark, d) -> DataFrame:
 def stored(spark, d) -> recall.Stored:
     """The derived archive as recall reads it. Editorial states follow confidence and pins, as of a review that has passed."""
     c, lit = F.col, F.lit
-    events = settled(payloads.events_of(payloads.parsed(documents(spark, d))).drop("idempotency_key").withColumn("lease_value", lit(None).cast("string")))  # no bundle shows what a lease holds
-    rows = settled(artifacts.unqueued(events).withColumn("key", artifacts.key()))
+    events = settled(payloads.events_of(payloads.parsed(documents(spark, d))).drop("idempotency_key").withColumn("lease_value", lit(None).cast("string")), many_rules=True)  # no bundle shows what a lease holds
+    rows = settled(artifacts.unqueued(events).withColumn("key", artifacts.key()), many_rules=True)
     ref = F.concat_ws(":", "artifact", "key").alias("ref")
     last = settled(artifacts.latest(rows.where("artifact <> 'relation'")))
     # an entity is found by its folded name, which is its key

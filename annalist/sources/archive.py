@@ -23,10 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
+#: The longest method that the JVM compiles, in bytes; longer ones it interprets.
+LONGEST_METHOD = 8000
+
+
+def settled(df: DataFrame, many_rules: bool = False) -> DataFrame:
     """The rows as written into the folder that the cluster shares for checkpoints, for what is read several times; a lost executor costs a re-read.
 
     They lie there as Parquet, so that a reader of few columns reads those alone, and small tables are known to be small.
+    many_rules: whether the rows are made by so many expressions that the one method made of a stage's would be too long to be compiled.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -35,7 +40,14 @@ def settled(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="annalist-"))  # a local session that names none, as in tests
     path = f"{sc.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    if many_rules:  # such stages are run expression by expression then, in methods that are compiled
+        spark.conf.set(limit, min(int(before), LONGEST_METHOD))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(limit, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

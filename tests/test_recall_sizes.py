@@ -11,12 +11,20 @@ T = datetime(2024, 1, 1)
 SILENT = ['{"event_id": "s1", "arrival": 1, "kind": "state_update", "session_id": "a", "hints": {"entities": ["the Pump", null, "pump"]}, "structured_payload": {"key": "k", "ttl": 5}}', '{"event_id": "s2", "kind": "Note", "raw_text": " ", "session_id": "a"}', '{"event_id": "s3", "kind": "note", "hints": {"episode_hint": "Repairs"}, "session_id": "b"}', '{"event_id": "s4", "kind": "note", "session_id": "b", "hints": {"entities": ["Gate", "Pump"], "relations": [{"src": "gate", "dst": "pump", "type": "uses"}]}}']
 
 
-def test_events_that_say_nothing_give_the_same_artifacts_by_the_short_way(spark):
+def test_events_that_say_nothing_give_the_same_artifacts_by_the_short_way(spark, monkeypatch):
     docs = documents(spark, "/root/testdata/sf0.001").unionByName(spark.createDataFrame([(s,) for s in SILENT], "doc string"))
     events = settled(payloads.events_of(payloads.parsed(docs)))
     rows = lambda df: sorted(map(repr, df.collect()))
     short = rows(artifacts.unqueued(events))
     assert len(short) > 1000 and short == rows(artifacts.artifacts_of(events).where("artifact <> 'queue'"))
+    monkeypatch.setattr(artifacts, "MOST_LISTS", 0)
+    assert short == rows(artifacts.unqueued(events))
+
+
+def test_rows_of_many_rules_leave_the_session_as_it_was(spark):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    assert settled(spark.range(3), many_rules=True).count() == 3 and spark.conf.get(limit) == before
 
 
 def test_ends_and_latest_rows_give_the_upsert_with_ties_and_nulls(spark):
